@@ -169,12 +169,15 @@ def slice_groups(
     descending: bool = False,
     row_limit: int = GROUP_ROW_LIMIT,
     max_rows_per_key: int | None = None,
+    spread_ties: Column | None = None,
 ) -> SlicedGroups:
     """Prepare ordered work per key without putting a hot key into one task.
 
     One light aggregate finds keys above ``row_limit`` and the quantile borders of their order
     column. Their rows get a slice number from those borders; every other key stays in slice 0.
     ``max_rows_per_key`` states a bound the caller has proven and skips the search.
+    ``spread_ties`` (a whole number per row) lets rows with one and the same order value fill several
+    slices; it is for callers to whom the order among ties means nothing.
     """
     keys = tuple(keys)
     names = (order_by, *tie_breakers)
@@ -192,7 +195,9 @@ def slice_groups(
     step = max(row_limit // 2, -(-int(summary["rows"]) // MAX_BORDERS))
     spark = df.sparkSession
     if summary["k"] > MAX_BORDERS:
-        return slice_groups(df, keys, order_by, tie_breakers, descending, row_limit * 4)
+        return slice_groups(
+            df, keys, order_by, tie_breakers, descending, row_limit * 4, spread_ties=spread_ties
+        )
     grid = [i / 1024 for i in range(1, 1024)]
     if keys:
         hot_rows = df.join(hot.drop("_rows"), list(keys), "left_semi")
@@ -203,17 +208,19 @@ def slice_groups(
         F.count(F.lit(1)).alias("_rows"),
     )
     pick = F.greatest(F.lit(1), (F.lit(1024) * F.lit(step) / F.col("_rows")).cast("int"))
-    borders = borders.select(
-        *keys,
-        F.array_distinct(
-            F.filter(F.col("_grid"), lambda _, i: F.pmod(i + 1, pick) == 0)
-        ).alias("_borders"),
-    )
+    picked = F.filter(F.col("_grid"), lambda _, i: F.pmod(i + 1, pick) == 0)
+    if spread_ties is None:
+        picked = F.array_distinct(picked)
+    borders = borders.select(*keys, picked.alias("_borders"))
     # Collected once, so every branch of the plan sees the same borders even after task retries.
     rows = borders.collect()
     lookup = F.broadcast(spark.createDataFrame(rows, borders.schema))
     joined = df.join(lookup, list(keys), "left") if keys else df.crossJoin(lookup)
     passed = F.size(F.filter(F.col("_borders"), lambda b: b < F.col(order_by)))
+    if spread_ties is not None:
+        # A value equal to several borders owns all slices between them.
+        owned = F.size(F.filter(F.col("_borders"), lambda b: b == F.col(order_by))) + 1
+        passed = passed + F.pmod(spread_ties, owned).cast("int")
     frame = joined.withColumn(
         "_slice", F.coalesce(F.when(F.col("_borders").isNotNull(), passed), F.lit(0))
     ).drop("_borders")
