@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.functions import scalars as S
@@ -24,21 +24,42 @@ def linspace(start: float, stop: float, n: int) -> list[float]:
     return [start + i * step for i in range(n - 1)] + [stop]
 
 
-def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Positives and negatives per distinct score."""
+def prediction_counts(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Positives and negatives per distinct (score, prediction): all that any metric needs.
+
+    It is the only aggregate over the predictions; its shuffle is shared by everything built on it.
+    """
     y = F.col("y")
-    return pred.where(F.col("p").isNotNull()).groupBy(*keys, "p").agg(
+    yhat = F.col("yhat") if "yhat" in pred.columns else F.lit(None).cast("int").alias("yhat")
+    return pred.groupBy(*keys, "p", yhat).agg(
         S.count_where(y == 1).alias("n_pos"), S.count_where(y == 0).alias("n_neg")
     )
 
 
+def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Positives and negatives per distinct score."""
+    counts = pred if "n_pos" in pred.columns else prediction_counts(pred, keys)
+    return counts.where(F.col("p").isNotNull()).groupBy(*keys, "p").agg(
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")
+    )
+
+
 def running_counts(
-    pred: DataFrame, keys: Sequence[str] = KEYS, row_limit: int = O.GROUP_ROW_LIMIT
+    pred: DataFrame, keys: Sequence[str] = KEYS, row_limit: int = O.GROUP_ROW_LIMIT,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """:func:`score_counts` plus counts at or below each score and the group totals."""
+    """:func:`score_counts` plus counts at or below each score and the group totals.
+
+    ``max_rows`` is a proven bound on the rows per key; small groups skip the search for hot ones.
+    """
     counts = score_counts(pred, keys)
-    groups = O.slice_groups(counts, keys, "p", row_limit=row_limit)
+    groups = O.slice_groups(counts, keys, "p", row_limit=row_limit, max_rows_per_key=max_rows)
     running = O.running_totals(groups, ["n_pos", "n_neg"])
+    if not groups.sliced:
+        # The group is whole in its task already, so its totals cost no further pass.
+        whole = Window.partitionBy(*keys)
+        return running.withColumns({
+            "pos": F.sum("n_pos").over(whole), "neg": F.sum("n_neg").over(whole)})
     totals = counts.groupBy(*keys).agg(F.sum("n_pos").alias("pos"), F.sum("n_neg").alias("neg"))
     return running.join(totals, list(keys), "left") if keys else running.crossJoin(totals)
 
@@ -50,10 +71,11 @@ def _u_statistic() -> Column:
 
 
 def ranking_metrics(
-    pred: DataFrame, keys: Sequence[str] = KEYS, row_limit: int = O.GROUP_ROW_LIMIT
+    pred: DataFrame, keys: Sequence[str] = KEYS, row_limit: int = O.GROUP_ROW_LIMIT,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """roc_auc (ties count half) and avg_precision (step sum); null when a class is missing."""
-    running = running_counts(pred, keys, row_limit)
+    running = running_counts(pred, keys, row_limit, max_rows)
     # At or above a score: totals minus what lies strictly below.
     tp = F.col("pos") - F.col("run_n_pos") + F.col("n_pos")
     fp = F.col("neg") - F.col("run_n_neg") + F.col("n_neg")
@@ -76,16 +98,16 @@ def _f1(precision: Column, recall: Column) -> Column:
 
 def confusion(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Counts, accuracy, precision, recall and F1 (0 on empty denominators) and Brier score."""
-    y, yhat = F.col("y"), F.col("yhat")
-    cells = pred.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_test"),
-        S.count_where(y == 1).alias("n_pos"),
-        S.count_where(y == 0).alias("n_neg"),
-        S.count_where((y == 0) & (yhat == 0)).alias("tn"),
-        S.count_where((y == 0) & (yhat == 1)).alias("fp"),
-        S.count_where((y == 1) & (yhat == 0)).alias("fn"),
-        S.count_where((y == 1) & (yhat == 1)).alias("tp"),
-        F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier_score"),
+    counts = pred if "n_pos" in pred.columns else prediction_counts(pred, keys)
+    yhat, p = F.col("yhat"), F.col("p")
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, c)), F.lit(0))
+    scored = F.when(p.isNotNull(), pos + neg)
+    cells = counts.groupBy(*keys).agg(
+        F.sum(pos + neg).alias("n_test"), F.sum(pos).alias("n_pos"), F.sum(neg).alias("n_neg"),
+        total(neg, yhat == 0).alias("tn"), total(neg, yhat == 1).alias("fp"),
+        total(pos, yhat == 0).alias("fn"), total(pos, yhat == 1).alias("tp"),
+        (F.sum(pos * (p - 1) * (p - 1) + neg * p * p) / F.sum(scored)).alias("brier_score"),
     )
     precision = S.ratio("tp", F.col("tp") + F.col("fp"))
     recall = S.ratio("tp", F.col("tp") + F.col("fn"))
@@ -105,10 +127,12 @@ def calibration_error(
     A score of exactly 1.0 lies past the last bin: it enters no bin but stays in the row count.
     """
     edges = linspace(0.0, 1.0, bins + 1)
-    scored = pred.where(F.col("p").isNotNull())
+    counts = pred if "n_pos" in pred.columns else prediction_counts(pred, keys)
+    scored = counts.where(F.col("p").isNotNull())
     binned = scored.withColumn("_bin", S.edges_passed("p", edges, inclusive=True) - 1)
+    n = F.col("n_pos") + F.col("n_neg")
     cells = binned.groupBy(*keys, "_bin").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_y"), F.sum("p").alias("_p")
+        F.sum(n).alias("_n"), F.sum("n_pos").alias("_y"), F.sum(F.col("p") * n).alias("_p")
     )
     inside = (F.col("_bin") >= 0) & (F.col("_bin") < bins)
     gap = F.when(inside, F.abs(F.col("_y") - F.col("_p"))).otherwise(0.0)
@@ -123,12 +147,15 @@ METRIC_COLUMNS = (
 
 def evaluate(
     pred: DataFrame, keys: Sequence[str] = KEYS, bins: int = 10,
-    row_limit: int = O.GROUP_ROW_LIMIT,
+    row_limit: int = O.GROUP_ROW_LIMIT, max_rows: int | None = None,
 ) -> DataFrame:
     """The full metric table, one row per key; score metrics are null without scores."""
     keys = list(keys)
-    table = confusion(pred, keys)
-    for extra in (ranking_metrics(pred, keys, row_limit), calibration_error(pred, keys, bins)):
+    counts = prediction_counts(pred, keys)
+    table = confusion(counts, keys)
+    for extra in (
+        ranking_metrics(counts, keys, row_limit, max_rows), calibration_error(counts, keys, bins)
+    ):
         table = table.join(extra, keys, "left")
     return table.select(*keys, *METRIC_COLUMNS)
 

@@ -1 +1,257 @@
-"""placeholder"""
+"""Baselines, models, oversampling, segments, attributions and ablation on the driver tables.
+
+Model fits use few rounds and trees here; the full settings are the defaults of the library.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from lapse.operators import ablation as AB
+from lapse.operators import assemble as A
+from lapse.operators import attribution as AT
+from lapse.operators import metrics as M
+from lapse.operators import models as ML
+from lapse.operators import oversample as OS
+from lapse.operators import profile as P
+from lapse.operators import segments as SG
+from lapse.operators.features import feature_columns
+from lapse.plans import compare, sensitivity
+from lapse.plans.driver import sql as Q
+from lapse.plans.driver.registry import query
+from lapse.plans.run import run_pipeline
+from lapse.session import checkpoint_dir
+from lapse.settings import ModelSettings, Settings
+from lapse.sources import driver as D
+from lapse.sources import driver_adapters as DA
+
+FEW = ModelSettings(
+    lr_max_iter=50, rf_trees=10, rf_depth=5, gbt_rounds=5, gbt_depth=3, boost2_rounds=5,
+    svm_max_iter=10, svm_folds=2)
+SHORT = Settings(models=FEW, ablation_trees=5, ablation_folds=2, bootstrap_replicates=50)
+
+_SUBSCRIBERS = f"""
+s AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn,
+             {Q.stable_hash('c_custkey', 'native42')} AS h FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k, count(*) OVER (PARTITION BY churn) AS n FROM s),
+split AS (SELECT customer_id, churn, k <= round((1 - 0.7) * n) AS held FROM r)"""
+
+
+def _subscribers(spark, sf):
+    events = DA.STAR_SUBSCRIBERS.events(spark, sf)
+    return DA.STAR_SUBSCRIBERS.split(events)
+
+
+def _orders(spark, sf):
+    events = DA.STAR_ORDERS.events(spark, sf)
+    return DA.STAR_ORDERS.split(events)
+
+
+def _shared_folder(spark) -> str:
+    """Where a fitted ensemble is written so that tasks can read its nodes back."""
+    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="run-")
+    return f"{base}/models/{uuid.uuid4().hex}"
+
+
+@query("M8 M9 M6", f"""
+WITH {_SUBSCRIBERS.strip()},
+base AS (SELECT avg(churn) AS rate, (sum(churn) > count(*) - sum(churn))::INT AS top FROM split WHERE NOT held)
+SELECT 'majority_class' AS model, customer_id, churn AS y, NULL::DOUBLE AS p, top AS yhat FROM split, base WHERE held
+UNION ALL
+SELECT 'random_baseline', customer_id, churn, rate,
+       (({Q.stable_hash('customer_id', 'baseline42')}) / {float(16**15)!r}::DOUBLE < rate)::INT
+FROM split, base WHERE held""")
+def baseline_predictions(spark, sf):
+    data = _subscribers(spark, sf)
+    return ML.majority_baseline(data.train, data.test).unionByName(
+        ML.random_baseline(data.train, data.test))
+
+
+@query("M1 M2 M3 M4 M5 M6 M10 E1 W8")
+def model_metrics(spark, sf):
+    """Five classifiers on the order matrix, evaluated on the later snapshot."""
+    data = _orders(spark, sf)
+    trained = ML.train_models(data.train, None, FEW)
+    return M.evaluate(trained.predict(data.test))
+
+
+@query("M11 W7")
+def top_importances(spark, sf):
+    data = _orders(spark, sf)
+    trained = ML.train_models(data.train, None, FEW, names=["random_forest", "lightgbm"])
+    return ML.top_features(trained.importances(spark), 5)
+
+
+@query("M7 M6 V10", f"""
+WITH {_SUBSCRIBERS.strip()},
+c AS (SELECT churn, count(*) AS n FROM split WHERE NOT held GROUP BY 1)
+SELECT churn, false AS synthetic, n AS rows FROM c
+UNION ALL SELECT churn, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
+def oversampled_class_counts(spark, sf):
+    data = _subscribers(spark, sf)
+    made = OS.oversample(data.train)
+    return made.groupBy("churn", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("M7")
+def oversampled_rows(spark, sf):
+    """The synthetic rows themselves; their geometry is checked in the tests."""
+    return OS.oversample(_subscribers(spark, sf).train).where("synthetic")
+
+
+@query("W8", f"""
+WITH {Q.SCORES.strip()},
+g AS (SELECT d.lang AS model, p.y, p.p FROM pred p JOIN documents d ON d.doc_id = p.customer_id),
+c AS (SELECT model, p, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM g GROUP BY 1, 2),
+r AS (SELECT *, sum(n0) OVER (PARTITION BY model ORDER BY p ROWS UNBOUNDED PRECEDING) AS up FROM c),
+a AS (SELECT model, sum(n1 * (up - n0 + 0.5 * n0))::DOUBLE / nullif(sum(n1) * sum(n0), 0) AS auc FROM r GROUP BY 1)
+SELECT model, round(auc, 9) AS roc_auc FROM a ORDER BY auc DESC NULLS LAST, model LIMIT 1""")
+def best_model_row(spark, sf):
+    """Highest AUC, nulls last: here the language whose documents are ranked best."""
+    lang = D.table(spark, sf, "documents").select(F.col("doc_id").alias("customer_id"), "lang")
+    scored = D.document_scores(spark, sf).drop("model").join(lang, "customer_id")
+    metrics = M.evaluate(scored.withColumnRenamed("lang", "model"))
+    return ML.best_model(metrics).select("model", F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query("T6 T7 A10")
+def customer_segments(spark, sf):
+    data = _orders(spark, sf)
+    found = SG.segment_customers(data.train.drop("churn"))
+    return P.segment_centroids(found.rows)
+
+
+@query("T6", """
+WITH f AS (SELECT unnest(['price', 'size']) AS feature, unnest([p_retailprice, p_size::DOUBLE]) AS v FROM part)
+SELECT feature, median(v) AS median, CASE WHEN quantile_cont(v, 0.75) > quantile_cont(v, 0.25)
+  THEN quantile_cont(v, 0.75) - quantile_cont(v, 0.25) ELSE 1 END AS spread FROM f GROUP BY 1""")
+def robust_scaling(spark, sf):
+    parts = D.table(spark, sf, "part").select(
+        F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    return SG.robust_scaling(parts, ["price", "size"])
+
+
+@query("T8", """
+WITH m AS (SELECT avg(c_acctbal) AS a, avg(c_nationkey) AS n FROM customer)
+SELECT c_custkey AS customer_id, round(0.5 * (c_acctbal - a), 6) AS balance,
+       round(-2.0 * (c_nationkey - n), 6) AS nation FROM customer, m""")
+def linear_attributions(spark, sf):
+    """Coefficient times distance from the background mean."""
+    rows = D.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"),
+        F.col("c_nationkey").cast("double").alias("nation"))
+    table = AT.linear_attribution(rows, ["balance", "nation"], [0.5, -2.0])
+    return table.select(
+        "customer_id", F.round("balance", 6).alias("balance"), F.round("nation", 6).alias("nation"))
+
+
+@query("T10", """
+WITH m AS (SELECT avg(c_acctbal) AS a, avg(c_nationkey) AS n FROM customer)
+SELECT 'balance' AS feature, round(avg(abs(0.5 * (c_acctbal - a))), 6) AS mean_abs FROM customer, m
+UNION ALL SELECT 'nation', round(avg(abs(-2.0 * (c_nationkey - n))), 6) FROM customer, m""")
+def mean_absolute_attributions(spark, sf):
+    rows = D.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"),
+        F.col("c_nationkey").cast("double").alias("nation"))
+    names = ["balance", "nation"]
+    table = AT.mean_absolute(AT.linear_attribution(rows, names, [0.5, -2.0]), names)
+    return table.withColumn("mean_abs", F.round("mean_abs", 6))
+
+
+@query("T9 T10 K8")
+def tree_attributions(spark, sf):
+    """Shapley values of a fitted forest for every test row."""
+    data = _orders(spark, sf)
+    trained = ML.train_models(data.train, None, FEW, names=["random_forest"])
+    path = _shared_folder(spark)
+    trained.models["random_forest"].write().save(path)
+    return AT.tree_attribution(data.test, trained.features, AT.tree_nodes(spark, path))
+
+
+@query("T11 V8", """
+WITH t AS (SELECT 22 + count(DISTINCT o_orderpriority) AS n FROM orders)
+SELECT "group", n_columns, (n - n_columns)::INT AS n_remaining
+FROM (VALUES ('purchase', 3), ('monetary', 4), ('inactivity', 1), ('review', 5),
+  ('delivery', 4), ('payment', 2), ('cadence', 3)) AS g("group", n_columns), t""")
+def ablation_groups(spark, sf):
+    """Which columns of the order matrix each group removes; the one-hot columns follow the data."""
+    table = A.global_table(*_order_cut(spark, sf), DA.STAR_ORDERS.groups)
+    return AB.group_coverage(feature_columns(table), "star_orders", spark)
+
+
+def _order_cut(spark, sf):
+    from lapse.operators import labels as L
+
+    events = D.market_events(spark, sf)
+    return events, L.global_cutoffs(D.market_events(spark, sf, False), 180)
+
+
+@query("T12 T13")
+def ablation_scores(spark, sf):
+    data = _subscribers(spark, sf)
+    train = data.train.withColumnsRenamed({"balance": "total_spent", "nation": "total_orders"})
+    return AB.run_ablation(
+        train, "star_subscribers", folds=2, trees=5, models=["logistic_regression"], settings=FEW)
+
+
+@query("T13", """
+WITH a AS (SELECT 'm' || (c_nationkey % 3) AS model,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'all_features' ELSE 'without_' || lower(c_mktsegment) END AS feature_set,
+  avg(c_acctbal) AS auc FROM customer GROUP BY 1, 2),
+d AS (SELECT a.model, replace(a.feature_set, 'without_', '') AS g, f.auc - a.auc AS drop
+      FROM a JOIN a f ON a.model = f.model AND f.feature_set = 'all_features' WHERE a.feature_set <> 'all_features')
+SELECT model, arg_max(g, drop) AS dominant_feature_group, round(max(drop), 6) AS auc_drop FROM d GROUP BY 1""")
+def dominant_feature_groups(spark, sf):
+    """The largest drop per model, on scores taken from customer balances."""
+    table = D.table(spark, sf, "customer").groupBy(
+        F.concat(F.lit("m"), F.col("c_nationkey") % 3).alias("model"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "all_features")
+        .otherwise(F.concat(F.lit("without_"), F.lower("c_mktsegment"))).alias("feature_set"),
+    ).agg(F.avg("c_acctbal").alias("mean_roc_auc"))
+    return AB.dominant_groups(table).withColumn("auc_drop", F.round("auc_drop", 6))
+
+
+@query("W12 T15", """
+WITH y AS (SELECT o_orderstatus AS dataset, o_orderpriority AS model, year(o_orderdate) AS w,
+  round(avg(o_totalprice), 4) AS auc FROM orders GROUP BY 1, 2, 3)
+SELECT dataset, model, count(*) AS n_windows, round(arg_min(auc, w), 2) AS first_auc,
+       round(arg_max(auc, w), 2) AS last_auc, round(arg_max(auc, w) - arg_min(auc, w), 2) AS trend
+FROM y GROUP BY 1, 2 HAVING count(*) > 1""")
+def score_trend(spark, sf):
+    """Last minus first score over windows, on yearly mean prices."""
+    table = D.table(spark, sf, "orders").groupBy(
+        F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("model"),
+        F.year("o_orderdate").alias("churn_window_days"),
+    ).agg(F.round(F.avg("o_totalprice"), 4).alias("roc_auc"))
+    trend = compare.auc_trend(table)
+    return trend.withColumns({c: F.round(c, 2) for c in ("first_auc", "last_auc", "trend")})
+
+
+@query("T15")
+def window_sensitivity(spark, sf):
+    """Models per window on the order stream."""
+    events = DA.STAR_ORDERS.events(spark, sf)
+    return sensitivity.window_sensitivity(
+        DA.STAR_ORDERS, events, [90, 270], SHORT, models=["logistic_regression"])
+
+
+@query("F1 F3 L12 V2 V3")
+def pipeline_metrics(spark, sf):
+    """A whole run on the order stream with one model: load, checks, split, fit, evaluate."""
+    result = run_pipeline(
+        spark, DA.STAR_ORDERS, sf, settings=SHORT, models=("logistic_regression",),
+        steps=("curves", "risk", "errors", "checks"))
+    return result.metrics
+
+
+@query("F1 L5 M7")
+def oversampled_pipeline_metrics(spark, sf):
+    """The same workflow on the user-disjoint route with oversampling."""
+    settings = Settings(models=FEW, min_test_users=5)
+    result = run_pipeline(
+        spark, DA.STAR_SHIPMENTS, sf, settings=settings, use_smote=True,
+        models=("logistic_regression",), steps=())
+    return result.metrics
