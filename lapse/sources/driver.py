@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lapse.functions import scalars as S
 from lapse.functions import timing as tm
 from lapse.operators import order_stats as O
+from lapse.settings import ENGAGEMENT_WEIGHTS
 
 # Explicit schemas: no inference pass, and times load as instants so that filters push down.
 TABLES = {
@@ -74,26 +75,26 @@ def market_events(spark: SparkSession, folder: str, with_items: bool = True) ->
     )
 
 
-def click_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event stream on the shared vocabulary, with sessions and engagement weights."""
-    events = table(spark, folder, "events")
-    kind = S.lookup("event_type", CLICK_TYPES, "other")
+def map_clicks(events: DataFrame) -> DataFrame:
+    """Raw stream rows on the shared vocabulary, with sessions and engagement weights."""
     mapped = events.select(
         F.col("user_id").alias("customer_id"),
         F.col("ts").alias("event_time"),
-        kind.alias("event_type"),
+        S.lookup("event_type", CLICK_TYPES, "other").alias("event_type"),
         F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)
         .alias("transaction_value"),
         F.get_json_object("props", "$.k").alias("session_id"),
         F.col("event_id").alias("product_id"),
     )
-    from lapse.settings import ENGAGEMENT_WEIGHTS
-
     return mapped.withColumn(
         "engagement_signal", S.lookup("event_type", ENGAGEMENT_WEIGHTS, 0.0)
     )
 
 
+def click_events(spark: SparkSession, folder: str) -> DataFrame:
+    return map_clicks(table(spark, folder, "events"))
+
+
 def listening_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event stream as a listening history: type is the artist, the property the track."""
     events = table(spark, folder, "events")

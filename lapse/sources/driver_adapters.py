@@ -45,7 +45,10 @@ class StarClicks(Adapter):
         return [("events", [join_path(root, "events.parquet")])]
 
     def load(self, spark, root):
-        return D.click_events(spark, root)
+        return D.table(spark, root, "events")
+
+    def standard(self, clean):
+        return D.map_clicks(clean)
 
 
 @dataclass(frozen=True)
