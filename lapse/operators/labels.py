@@ -44,11 +44,13 @@ class LabelPoint:
         return tm.plus_days(self.snapshot, self.window_days)
 
 
-def _last_event(events: DataFrame) -> datetime:
-    last = events.agg(F.max(tm.micros(TIME)).alias("m")).first()["m"]
-    if last is None:
+def _timeline(events: DataFrame, q: float) -> tuple[datetime, datetime]:
+    """Last event and exact time quantile; the first aggregate also counts for the second."""
+    row = events.agg(F.max(tm.micros(TIME)).alias("m"), F.count(TIME).alias("n")).first()
+    if row["m"] is None:
         raise ValueError("no events with a time")
-    return tm.from_micros(last)
+    middle = exact_quantiles(events, tm.micros(TIME), [q], total=row["n"])[0]
+    return tm.from_micros(row["m"]), tm.from_micros(round(middle))
 
 
 def time_quantile(events: DataFrame, q: float) -> datetime:
@@ -61,9 +63,8 @@ def global_cutoffs(events: DataFrame, window_days: float = 180, q: float = 0.7)
 
     A train cutoff that is not earlier than the test cutoff moves to one window before it.
     """
-    last = _last_event(events)
+    last, train = _timeline(events, q)
     test = tm.plus_days(last, -window_days)
-    train = time_quantile(events, q)
     if train >= test:
         train = tm.plus_days(test, -window_days)
     return Cutoffs(train, test, window_days, last)
@@ -71,7 +72,7 @@ def global_cutoffs(events: DataFrame, window_days: float = 180, q: float = 0.7)
 
 def cutoffs_for_windows(events: DataFrame, windows: Sequence[float], q: float = 0.7) -> list[Cutoffs]:
     """Cutoffs of several windows from one pass over the times."""
-    last, middle = _last_event(events), time_quantile(events, q)
+    last, middle = _timeline(events, q)
     out = []
     for window in windows:
         test = tm.plus_days(last, -window)
@@ -170,9 +171,9 @@ def disjoint_cutoffs(events: DataFrame, window_days: float, q: float = 0.7) -> C
     """Train observation end C and test snapshot b, with C at least one window before b."""
     require_columns(events, REQUIRED_COLUMNS, "user-disjoint split")
     usable = events.where(F.col(CUSTOMER).isNotNull() & F.col(TIME).isNotNull())
-    last = _last_event(usable)
+    last, middle = _timeline(usable, q)
     test = tm.plus_days(last, -window_days)
-    train = min(time_quantile(usable, q), tm.plus_days(test, -window_days))
+    train = min(middle, tm.plus_days(test, -window_days))
     return Cutoffs(train, test, window_days, last)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions import scalars as S
@@ -54,14 +54,8 @@ def running_counts(
     """
     counts = score_counts(pred, keys)
     groups = O.slice_groups(counts, keys, "p", row_limit=row_limit, max_rows_per_key=max_rows)
-    running = O.running_totals(groups, ["n_pos", "n_neg"])
-    if not groups.sliced:
-        # The group is whole in its task already, so its totals cost no further pass.
-        whole = Window.partitionBy(*keys)
-        return running.withColumns({
-            "pos": F.sum("n_pos").over(whole), "neg": F.sum("n_neg").over(whole)})
-    totals = counts.groupBy(*keys).agg(F.sum("n_pos").alias("pos"), F.sum("n_neg").alias("neg"))
-    return running.join(totals, list(keys), "left") if keys else running.crossJoin(totals)
+    running = O.running_and_group_totals(groups, ["n_pos", "n_neg"])
+    return running.withColumnsRenamed({"all_n_pos": "pos", "all_n_neg": "neg"})
 
 
 def _u_statistic() -> Column:

@@ -81,15 +81,17 @@ def _clean_values(df: DataFrame, column) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, column, probabilities: Sequence[float], direct_rows: int = DIRECT_RANK_ROWS
+    df: DataFrame, column, probabilities: Sequence[float], direct_rows: int = DIRECT_RANK_ROWS,
+    total: int | None = None,
 ) -> list[float | None]:
     """Linearly interpolated quantiles over the non-null values of a numeric column.
 
     Every pass is a map-side combined aggregate. The driver sees sketches, counts and at most
-    ``direct_rows`` distinct values. Returns nulls for an empty column.
+    ``direct_rows`` distinct values. Returns nulls for an empty column. A caller that already knows
+    the number of non-null values passes it as ``total``.
     """
     values = _clean_values(df, column)
-    total = values.count()
+    total = values.count() if total is None else total
     if total == 0:
         return [None] * len(probabilities)
     if total <= direct_rows:
@@ -118,10 +120,13 @@ def exact_quantiles(
     return out
 
 
-def order_statistic(df: DataFrame, column, rank: int, direct_rows: int = DIRECT_RANK_ROWS):
+def order_statistic(
+    df: DataFrame, column, rank: int, direct_rows: int = DIRECT_RANK_ROWS,
+    total: int | None = None,
+):
     """The value at a zero-based rank; ties count by row."""
     values = _clean_values(df, column)
-    return _select_rank(values, rank, values.count(), direct_rows)
+    return _select_rank(values, rank, values.count() if total is None else total, direct_rows)
 
 
 # ------------------------------------------------------------------- ordered work within keys
@@ -294,6 +299,17 @@ def add_previous(groups: SlicedGroups, value: str, name: str = "previous") -> Sl
     return groups.with_frame(joined.withColumn(name, carried).drop("_head", "_carry"))
 
 
+def running_and_group_totals(groups: SlicedGroups, totals: Sequence[str]) -> DataFrame:
+    """Running totals ``run_<column>`` and, on every row, the totals of its key ``all_<column>``."""
+    running = running_totals(groups, totals)
+    if not groups.sliced:
+        # The group sits whole in its task already, so its totals cost no further pass.
+        whole = Window.partitionBy(*groups.keys)
+        return running.withColumns({f"all_{c}": F.sum(c).over(whole) for c in totals})
+    sums = groups.frame.groupBy(*groups.keys).agg(*[F.sum(c).alias(f"all_{c}") for c in totals])
+    return running.join(sums, list(groups.keys)) if groups.keys else running.crossJoin(sums)
+
+
 def running_totals(groups: SlicedGroups, totals: Sequence[str], prefix: str = "run_") -> DataFrame:
     return add_running_totals(groups, totals, prefix).done()
 

@@ -16,24 +16,27 @@ _KEY = "_split_key"
 
 
 def _class_takes(df: DataFrame, label: str, takes) -> dict:
-    """Rows to take per class, from one count per class."""
+    """(rows to take, rows) per class, from one count per class."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    return {value: min(n, max(0, takes(n, total))) for value, n in counts.items()}
+    return {value: (min(n, max(0, takes(n, total))), n) for value, n in counts.items()}
 
 
 def _under_threshold(df: DataFrame, label: str, takes: dict):
-    """Condition that selects exactly ``takes[c]`` rows of each class with the smallest keys.
+    """Condition that selects the wanted number of rows of each class, smallest keys first.
 
     The per-class threshold is an exact order statistic of the hash, so marking the rows is a plain
     filter instead of a ranking window over a whole class.
     """
     condition = F.lit(False)
-    for value, take in takes.items():
+    for value, (take, size) in takes.items():
         if take <= 0:
             continue
         mine = F.col(label) == F.lit(value)
-        border = order_statistic(df.where(mine), F.col(_KEY), take - 1)
+        if take == size:
+            condition = condition | mine
+            continue
+        border = order_statistic(df.where(mine), F.col(_KEY), take - 1, total=size)
         condition = condition | (mine & (F.col(_KEY) <= F.lit(int(border))))
     return condition
 
@@ -71,9 +74,10 @@ def stratified_cap(
 def sample_rows(df: DataFrame, rows: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``rows`` rows with the smallest stable hashes; everything when there are fewer."""
     keyed = df.withColumn(_KEY, S.stable_hash(list(ids), seed, "sample"))
-    if keyed.count() <= rows:
+    total = keyed.count()
+    if total <= rows:
         return df
-    border = order_statistic(keyed, F.col(_KEY), rows - 1)
+    border = order_statistic(keyed, F.col(_KEY), rows - 1, total=total)
     return keyed.where(F.col(_KEY) <= F.lit(int(border))).drop(_KEY)
 
 
@@ -91,7 +95,7 @@ def with_folds(
             start = n * f // folds
             if start < 1:
                 continue
-            border = int(order_statistic(mine, F.col(_KEY), start - 1))
+            border = int(order_statistic(mine, F.col(_KEY), start - 1, total=n))
             fold = fold + F.when(
                 (F.col(label) == F.lit(value)) & (F.col(_KEY) > F.lit(border)), 1
             ).otherwise(0)
