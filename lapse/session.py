@@ -1,7 +1,9 @@
-"""Session settings every job relies on."""
+"""Session settings every job relies on, and lineage cuts."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # UTC keeps instants equal across engines; AQE coalesces and splits shuffle partitions at run time,
@@ -27,21 +29,47 @@ def get_session(app_name: str = "lapse", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared folder named by the cluster for checkpoints, or None when the session has none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for checkpoints and intermediate tables.
+
+    The cluster names it in ``spark.checkpoint.dir``. Only a single-machine session that names none
+    gets a temporary folder; a cluster session without the setting gets None.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        return None
+    return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-"))
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint when the session names a shared folder; otherwise the frame itself.
+def cut_lineage(df):
+    """Reliable checkpoint in the shared folder; the frame itself where there is none.
 
-    Callers use it between iterative model fits, where a lost executor should not replay the whole
-    feature build.
+    Iterative fits run hundreds of jobs over the same rows. Cut here, each job ships a short plan
+    instead of the whole feature build, and a lost executor re-reads files instead of replaying it.
     """
-    spark = spark or df.sparkSession
+    spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if not folder:
         return df
-    if spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+# Rows one task of an iterative fit should have at least.
+FIT_ROWS = 20_000
+
+
+def fit_ready(df, rows: int):
+    """Lineage cut, merged into partitions worth a task, and cached: input for iterative fits.
+
+    Every iteration is a job, so a small matrix spread over many partitions pays for scheduling only.
+    Merging never adds partitions, so a large matrix keeps its own.
+    """
+    return cut_lineage(df).coalesce(max(1, -(-rows // FIT_ROWS))).cache()
