@@ -219,8 +219,11 @@ def slice_groups(
     borders = borders.select(*keys, picked.alias("_borders"))
     # Collected once, so every branch of the plan sees the same borders even after task retries.
     rows = borders.collect()
-    lookup = F.broadcast(spark.createDataFrame(rows, borders.schema))
-    joined = df.join(lookup, list(keys), "left") if keys else df.crossJoin(lookup)
+    if keys:
+        lookup = F.broadcast(spark.createDataFrame(rows, borders.schema))
+        joined = df.join(lookup, list(keys), "left")
+    else:
+        joined = df.withColumn("_borders", F.array(*[F.lit(b) for b in rows[0]["_borders"]]))
     passed = F.size(F.filter(F.col("_borders"), lambda b: b < F.col(order_by)))
     if spread_ties is not None:
         # A value equal to several borders owns all slices between them.
@@ -307,7 +310,10 @@ def running_and_group_totals(groups: SlicedGroups, totals: Sequence[str]) -> Dat
         whole = Window.partitionBy(*groups.keys)
         return running.withColumns({f"all_{c}": F.sum(c).over(whole) for c in totals})
     sums = groups.frame.groupBy(*groups.keys).agg(*[F.sum(c).alias(f"all_{c}") for c in totals])
-    return running.join(sums, list(groups.keys)) if groups.keys else running.crossJoin(sums)
+    if groups.keys:
+        return running.join(sums, list(groups.keys))
+    row = sums.first()
+    return running.withColumns({f"all_{c}": F.lit(row[f"all_{c}"]) for c in totals})
 
 
 def running_totals(groups: SlicedGroups, totals: Sequence[str], prefix: str = "run_") -> DataFrame:

@@ -391,7 +391,7 @@ def active_users_only(spark, sf):
 @query("J11", f"""
 WITH {Q.NUMBERED.strip()},
 sized AS (SELECT *, count(*) OVER (PARTITION BY customer_id) AS n FROM numbered)
-SELECT order_id FROM sized WHERE order_number <= greatest(1, floor(n * 0.7))""")
+SELECT order_id FROM sized WHERE order_number <= greatest(1, floor(n * 0.7::DOUBLE))""")
 def observed_order_rows(spark, sf):
     """Semi join on (customer, order number) with the observed part of each history."""
     orders = D.numbered_orders(spark, sf)

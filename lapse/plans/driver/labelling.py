@@ -143,7 +143,7 @@ def disjoint_modeling_table(spark, sf):
 
 @query("L6 W3", f"""
 WITH {Q.NUMBERED.strip()}
-SELECT order_id, order_number <= greatest(1, floor(count(*) OVER (PARTITION BY customer_id) * 0.7)) AS observed
+SELECT order_id, order_number <= greatest(1, floor(count(*) OVER (PARTITION BY customer_id) * 0.7::DOUBLE)) AS observed
 FROM numbered""")
 def history_split(spark, sf):
     split = R.history_split(D.numbered_orders(spark, sf), "customer_id", "order_number")
@@ -154,9 +154,9 @@ CADENCE = f"""{Q.NUMBERED.strip()},
 placed AS (SELECT *, count(*) OVER (PARTITION BY customer_id) AS n FROM numbered),
 means AS (
   SELECT customer_id,
-         avg(nullif(gap, 0)) FILTER (WHERE order_number <= greatest(1, floor(n * 0.7))) AS early,
-         avg(nullif(gap, 0)) FILTER (WHERE order_number > greatest(1, floor(n * 0.7))) AS late,
-         max(order_number) FILTER (WHERE order_number <= greatest(1, floor(n * 0.7))) AS last_observed
+         avg(nullif(gap, 0)) FILTER (WHERE order_number <= greatest(1, floor(n * 0.7::DOUBLE))) AS early,
+         avg(nullif(gap, 0)) FILTER (WHERE order_number > greatest(1, floor(n * 0.7::DOUBLE))) AS late,
+         max(order_number) FILTER (WHERE order_number <= greatest(1, floor(n * 0.7::DOUBLE))) AS last_observed
   FROM placed WHERE n >= 3 GROUP BY customer_id),
 decay AS (SELECT customer_id, (late > 1.5 * early)::INT AS churn, last_observed FROM means
           WHERE early IS NOT NULL AND late IS NOT NULL)"""
@@ -193,7 +193,7 @@ WITH placed AS (
          row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n,
          epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
-parts AS (SELECT *, k <= greatest(1, floor(n * 0.7)) AS early FROM placed WHERE n >= 50),
+parts AS (SELECT *, k <= greatest(1, floor(n * 0.7::DOUBLE)) AS early FROM placed WHERE n >= 50),
 f AS (
   SELECT customer_id, count(*) FILTER (WHERE early) AS total, count(*) FILTER (WHERE NOT early) AS later,
     greatest(1, floor((max(t) FILTER (WHERE early) - min(t) FILTER (WHERE early)) / {Q.DAY}.0) + 1) AS d1,
@@ -232,7 +232,7 @@ WITH keyed AS (
          {Q.stable_hash('c_custkey', 'native42')} AS h FROM customer),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k,
                   count(*) OVER (PARTITION BY churn) AS n FROM keyed)
-SELECT CASE WHEN k <= round((1 - 0.7) * n) THEN 'test' ELSE 'train' END AS side, customer_id, churn,
+SELECT CASE WHEN k <= round((1 - 0.7::DOUBLE) * n) THEN 'test' ELSE 'train' END AS side, customer_id, churn,
        c_nationkey::DOUBLE AS nation, length(c_name)::DOUBLE AS name_length, abs(c_acctbal) / 1000 AS balance,
        (c_mktsegment = 'BUILDING')::INT::DOUBLE AS "segment_BUILDING" FROM ranked""")
 def stratified_split(spark, sf):

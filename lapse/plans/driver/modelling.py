@@ -37,7 +37,7 @@ _SUBSCRIBERS = f"""
 s AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn,
              {Q.stable_hash('c_custkey', 'native42')} AS h FROM customer),
 r AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k, count(*) OVER (PARTITION BY churn) AS n FROM s),
-split AS (SELECT customer_id, churn, k <= round((1 - 0.7) * n) AS held FROM r)"""
+split AS (SELECT customer_id, churn, k <= round((1 - 0.7::DOUBLE) * n) AS held FROM r)"""
 
 
 def _subscribers(spark, sf):
