@@ -15,6 +15,7 @@ from lapse.operators import labels as L
 from lapse.operators.features import POINT, feature_columns, feature_matrix
 from lapse.operators.splits import stratified_split
 from lapse.schema import CUSTOMER
+from lapse.session import materialise
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,8 @@ def global_split(
     groups: Sequence[str] | None = None,
 ) -> ModelingData:
     cutoffs = L.global_cutoffs(events, window_days, q)
-    table = global_table(events, cutoffs, groups)
+    # Both sides read one table, so the feature build runs once.
+    table = materialise(global_table(events, cutoffs, groups))
     return ModelingData(
         _side(table, "train"), _side(table, "test"), "global_temporal",
         cutoffs.train, cutoffs.test, cutoffs,
@@ -105,7 +107,7 @@ def disjoint_split(
 ) -> ModelingData:
     """User-disjoint matrices; raises when a cohort is too small, shared or single-class."""
     cohorts = L.disjoint_cohorts(events, window_days, q)
-    table = disjoint_table(events, cohorts, groups)
+    table = materialise(disjoint_table(events, cohorts, groups))
     L.check_cohorts(split_sizes(table), min_train, min_test)
     return ModelingData(
         _side(table, "train"), _side(table, "test"), "user_disjoint",
@@ -117,7 +119,7 @@ def native_split(
     predictors: DataFrame, labels: DataFrame, ratio: float = 0.7, seed: int = 42
 ) -> ModelingData:
     """Stratified split of native predictors joined with native labels."""
-    table = join_labels(predictors, labels)
+    table = materialise(join_labels(predictors, labels))
     train, test = stratified_split(table, L.LABEL, 1 - ratio, seed=seed, salt="native")
     return ModelingData(
         train, test, "native_stratified", "native_stratified_train", "native_stratified_test"
@@ -133,7 +135,7 @@ def native_snapshot_split(
     test_at = tm.from_micros(last)
     matrix = feature_matrix(events, {"train": train_at, "test": test_at}, groups)
     keyed = matrix.join(labels.select(CUSTOMER, L.LABEL), CUSTOMER, "inner")
-    table = keyed.select(POINT, CUSTOMER, L.LABEL, *feature_columns(matrix))
+    table = materialise(keyed.select(POINT, CUSTOMER, L.LABEL, *feature_columns(matrix)))
     return ModelingData(
         _side(table, "train"), _side(table, "test"), "native_snapshot", train_at, test_at
     )

@@ -16,6 +16,7 @@ from lapse.operators.features import feature_matrix
 from lapse.operators.labels import LABEL
 from lapse.operators.splits import stratified_split
 from lapse.schema import CUSTOMER, TIME, require_columns
+from lapse.session import materialise
 
 
 def _observed(ratio: float) -> Column:
@@ -99,7 +100,8 @@ def cadence_table(
     df: DataFrame, groups: Sequence[str] | None = None, ratio: float = 0.7
 ) -> DataFrame:
     """customer_id, churn and features of the earlier part, one day after its last event."""
-    labels = cadence_labels(df, ratio)
+    # Read three times below: for the snapshot, the features and the labels.
+    labels = materialise(cadence_labels(df, ratio))
     source = observed_events(df, labels)
     last = source.agg(F.max(tm.micros(TIME)).alias("m")).first()["m"]
     if last is None:
@@ -109,6 +111,7 @@ def cadence_table(
 
 
 def _relative(table: DataFrame, share: float, seed: int) -> ModelingData:
+    table = materialise(table)
     train, test = stratified_split(table, LABEL, share, seed=seed, salt="relative")
     return ModelingData(
         train, test, "user_relative", "user_relative_observation", "user_relative_future"

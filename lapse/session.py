@@ -62,6 +62,11 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+def materialise(df):
+    """Compute a frame once for several readers: checkpoint where possible, else a disk-backed cache."""
+    return cut_lineage(df) if checkpoint_dir(df.sparkSession) else df.persist()
+
+
 # Rows one task of an iterative fit should have at least.
 FIT_ROWS = 20_000
 
