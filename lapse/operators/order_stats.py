@@ -236,7 +236,13 @@ def slice_groups(
 
 
 def _attach(local: DataFrame, heads: DataFrame, groups: SlicedGroups) -> DataFrame:
-    return local.join(heads, groups.slice_keys, "left")
+    """Join slice facts to their rows; a null key matches itself."""
+    renamed = heads.withColumnsRenamed({k: f"_head_{k}" for k in groups.slice_keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_head_{k}")) for k in groups.slice_keys]
+    condition = same[0]
+    for test in same[1:]:
+        condition = condition & test
+    return local.join(renamed, condition, "left").drop(*[f"_head_{k}" for k in groups.slice_keys])
 
 
 def add_running_totals(

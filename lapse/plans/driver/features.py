@@ -42,7 +42,9 @@ _OFF_TIE = 0.0000137
 
 def _rounded(df):
     moved = {c: F.round(F.col(c) + _OFF_TIE, 4) for c in ("avg_order_value", "avg_payment_value")}
-    rounded = {"total_spent": F.round("total_spent", 2), **moved}
+    rounded = {
+        "total_spent": F.round("total_spent", 2),
+        "review_variance": F.round("review_variance", 9), **moved}
     return df.withColumns({c: e for c, e in rounded.items() if c in df.columns})
 
 
@@ -89,12 +91,12 @@ def cadence_features(spark, sf):
 
 @query("G6 G7", f"""{_MARKET_SLICE}
 SELECT point, customer_id, avg(review_score) AS avg_review_score, min(review_score) AS min_review_score,
-       coalesce(var_samp(review_score), 0) AS review_variance,
+       round(coalesce(var_samp(review_score), 0), 9) AS review_variance,
        avg((review_score <= 3)::INT) AS low_review_ratio, avg((review_score >= 4)::INT) AS positive_review_ratio
 FROM m WHERE review_score > 0 GROUP BY point, customer_id""")
 def review_features(spark, sf):
     events, points = _market_points(spark, sf)
-    return feature_matrix(events, points, ["review"])
+    return _rounded(feature_matrix(events, points, ["review"]))
 
 
 @query("G8 G9", f"""{_MARKET_SLICE}
@@ -173,7 +175,7 @@ def click_feature_matrix(spark, sf):
 ord AS (SELECT point, customer_id, {_ORDER_FEATURES['purchase']}, {_ORDER_FEATURES['monetary']},
         {_ORDER_FEATURES['inactivity']}, {_ORDER_FEATURES['cadence']} FROM o GROUP BY point, customer_id),
 rev AS (SELECT point, customer_id, avg(review_score) AS avg_review_score, min(review_score) AS min_review_score,
-        coalesce(var_samp(review_score), 0) AS review_variance, avg((review_score <= 3)::INT) AS low_review_ratio,
+        round(coalesce(var_samp(review_score), 0), 9) AS review_variance, avg((review_score <= 3)::INT) AS low_review_ratio,
         avg((review_score >= 4)::INT) AS positive_review_ratio
         FROM m WHERE review_score > 0 GROUP BY point, customer_id),
 del AS (SELECT point, customer_id, avg(delay) AS avg_delivery_delay_days, max(delay) AS max_delivery_delay,

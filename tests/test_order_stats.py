@@ -53,3 +53,14 @@ def test_global_running_total_descending(spark):
     got = o.running_totals(groups, ["v"]).toPandas().sort_values("t", ascending=False)
     want = pdf.sort_values("t", ascending=False)["v"].cumsum()
     assert got["run_v"].tolist() == want.tolist()
+
+
+def test_null_keys_keep_their_positions(spark):
+    pdf = pd.DataFrame({"k": [None] * 20 + ["a"] * 400, "t": range(420), "v": 1})
+    df = spark.createDataFrame(pdf, "k string, t int, v int")
+    groups = o.slice_groups(df, ["k"], "t", row_limit=50)
+    got = o.positions(groups, size="n").toPandas()
+    nulls = got[got.k.isna()].sort_values("t")
+    assert nulls["position"].tolist() == list(range(1, 21)) and set(nulls["n"]) == {20}
+    run = o.running_totals(groups, ["v"]).toPandas()
+    assert run[run.k == "a"]["run_v"].max() == 400
