@@ -46,13 +46,13 @@ ece AS (SELECT model, sum(CASE WHEN b BETWEEN 1 AND 10 THEN abs(sy - sp) ELSE 0
   FROM bins GROUP BY model)
 SELECT model, n_test, n_pos, n_neg, (tp + tn) / n_test AS accuracy,
   coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
-  coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, round(auc, 9) AS roc_auc,
+  round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(auc, 9) AS roc_auc,
   round(ap, 9) AS avg_precision, round(brier, 9) AS brier_score, round(ece, 9) AS calibration_error,
   tn, fp, fn, tp
 FROM k JOIN rank USING (model) JOIN ece USING (model)""")
 def metric_table(spark, sf):
     table = M.evaluate(D.document_scores(spark, sf))
-    soft = ("roc_auc", "avg_precision", "brier_score", "calibration_error")
+    soft = ("f1", "roc_auc", "avg_precision", "brier_score", "calibration_error")
     return table.withColumns({c: F.round(c, 9) for c in soft})
 
 

@@ -206,13 +206,13 @@ f AS (
 SELECT customer_id, (later / d2 < 0.5 * (total / d1))::INT AS churn, total::DOUBLE AS total_listens,
        artists::DOUBLE AS unique_artists, tracks::DOUBLE AS unique_tracks, days::DOUBLE AS active_days,
        total / greatest(days, 1) AS avg_listens_per_day, 0.0::DOUBLE AS days_since_last_listen,
-       round(coalesce(gap / {Q.DAY}.0::DOUBLE, 0.0), 9) AS max_gap_between_sessions,
+       round(coalesce(gap / {Q.DAY}.0::DOUBLE, 0.0), 6) AS max_gap_between_sessions,
        total / greatest(days, 1) AS listening_frequency, artists / greatest(total, 1) AS artist_diversity_ratio
 FROM f WHERE later > 0""")
 def listening_modeling_table(spark, sf):
     table = R.listening_table(D.listening_events(spark, sf))
     gap = "max_gap_between_sessions"
-    return table.withColumn(gap, F.round(gap, 9))
+    return table.withColumn(gap, F.round(gap, 6))
 
 
 def _native(spark, sf):
