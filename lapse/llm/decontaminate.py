@@ -236,16 +236,17 @@ class Bits:
 
     ``word``: (item, word number) to a bit for each of the item's 32 rarest words, and above them one for each of up to
     32 answer words. At most ``missing`` of the first kind may be absent, and at least ``needed`` of the second present;
-    both follow from the checks, so nothing that would pass them is lost.
+    both follow from the checks, so nothing that would pass them is lost. Words outside the benchmark are left out.
     """
 
     word: np.ndarray
     missing: np.ndarray
     needed: np.ndarray
+    least: np.ndarray
 
     @classmethod
     def of(cls, checkers: list[Checker], idf: np.ndarray, n_words: int) -> Bits:
-        word = np.zeros((len(checkers), n_words + 1), np.uint64)  # the last column is for words outside the benchmark
+        word = np.zeros((len(checkers), n_words), np.uint64)
         missing, needed = [], []
         for i, c in enumerate(checkers):
             rare = sorted(c.masks, key=lambda x: (-idf[x % MAX_TERMS], x))[:32]
@@ -257,7 +258,7 @@ class Bits:
             missing.append(len(rare) - (c.size - c.least))
             # Of a longer answer, half may be outside the words that have a bit.
             needed.append(max(0, -(-len(c.answer) // 2) - (len(c.answer) - len(answer))))
-        return cls(word, np.array(missing), np.array(needed))
+        return cls(word, np.array(missing), np.array(needed), np.array([c.least for c in checkers]))
 
     def pass_on(self, item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Which pairs of an item and the words from ``low`` to ``high`` may pass."""
@@ -294,7 +295,7 @@ def pieces(bounds: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.25, share: float = 0.7,
+    item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.4, share: float = 0.7,
 ) -> DataFrame:
     """(id, item_id, cosine, n_common, n_item_words, word_start) per document and item found in it.
 
@@ -328,6 +329,7 @@ def leaks(
         vectors[size] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
     item_type = docs.sparkSession.createDataFrame([], kinds).toArrow().schema.field("item_id").type
 
+    rows_of = np.vstack((latent, np.zeros((1, latent.shape[1]), np.float32)))
     widest = max(scales)
     ratio = widest // SHORTEST  # a power of two
 
@@ -344,11 +346,13 @@ def leaks(
         piece = np.repeat(np.arange(len(lows)), highs - lows)
         known = number[at] >= 0
         at, piece = at[known], piece[known]
-        place = first[piece] + (at - lows[piece]) // cell
-        heads = np.flatnonzero(np.diff(place, prepend=-1))
-        sums = np.zeros((int(count.sum()) + 2 * ratio, latent.shape[1]), np.float32)
-        if len(at):
-            sums[place[heads]] = np.add.reduceat(latent[number[at] % MAX_TERMS], heads, axis=0)
+        words = number[at]
+        slots = np.full((int(count.sum()) + 2 * ratio) * cell, len(latent))  # a row of zeros for all else
+        slots[first[piece] * cell + at - lows[piece]] = words % MAX_TERMS
+        slots = slots.reshape(-1, cell)
+        sums = rows_of[slots[:, 0]]
+        for j in range(1, cell):
+            sums += rows_of[slots[:, j]]
         size = SHORTEST
         while True:
             if size in scales:
@@ -364,9 +368,10 @@ def leaks(
                     near, w = near[w, i] / norm[low + w], w + low
                     # A window that runs over the end of its piece sees words of the next: the checks don't.
                     a, b = np.maximum(start[w] - step, lows[of[w]]), np.minimum(start[w] + size + step, highs[of[w]])
-                    some = np.flatnonzero(b > a)
+                    c, d = np.searchsorted(at, a), np.searchsorted(at, b)
+                    some = np.flatnonzero(d - c >= bits[size].least[i])
                     w, i, a, b, near = w[some], i[some], a[some], b[some], near[some]
-                    for j in np.flatnonzero(bits[size].pass_on(i, number, a, b)):
+                    for j in np.flatnonzero(bits[size].pass_on(i, words, c[some], d[some])):
                         yield scales[size][i[j]], int(of[w[j]]), int(a[j]), int(b[j]), float(near[j])
             if size == widest:
                 return
