@@ -295,7 +295,7 @@ def pieces(bounds: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.4, share: float = 0.7,
+    item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.3, share: float = 0.7,
 ) -> DataFrame:
     """(id, item_id, cosine, n_common, n_item_words, word_start) per document and item found in it.
 
