@@ -207,8 +207,8 @@ class Checker:
         masks: dict[int, int] = {}
         for i, x in enumerate(words):
             masks[x] = masks.get(x, 0) | 1 << i
-        # Without an answer of its own, the item's three rarest words have to be there.
-        rare = answer or sorted(set(words), key=lambda x: (-idf[x % MAX_TERMS], x))[:3]
+        # Without an answer of its own, the rarest quarter of an item's words stands for it.
+        rare = answer or sorted(masks, key=lambda x: (-idf[x % MAX_TERMS], x))[:max(3, -(-len(masks) // 4))]
         n = len(words)
         short = n < 8  # a few common words occur in order by chance: short items count only as a whole
         return cls(n, masks, frozenset(rare), n if short else int(np.ceil(share * n)), n if short else -(-3 * n // 2))

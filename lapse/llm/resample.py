@@ -62,7 +62,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
         for batch in batches:
             bucket, doc = gram_buckets(octets(batch.column(1)))
             n = np.bincount(doc, minlength=len(batch))
-            w = np.bincount(doc, ratio[bucket], len(batch))
+            w = np.bincount(doc, ratio[bucket], len(batch)).astype(float)  # whole numbers if there are no words
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(w), batch.column(2)], ["id", "n_grams", "log_weight", "u"])
 
