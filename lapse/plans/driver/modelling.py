@@ -5,7 +5,6 @@ Model fits use few rounds and trees here; the full settings are the defaults of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from lapse.plans import compare, sensitivity
 from lapse.plans.driver import sql as Q
 from lapse.plans.driver.registry import query
 from lapse.plans.run import run_pipeline
-from lapse.session import checkpoint_dir, cut_lineage
+from lapse.session import cut_lineage, shared_dir
 from lapse.settings import ModelSettings, Settings
 from lapse.sources import driver as D
 from lapse.sources import driver_adapters as DA
@@ -52,8 +51,7 @@ def _orders(spark, sf):
 
 def _shared_folder(spark) -> str:
     """Where a fitted ensemble is written so that tasks can read its nodes back."""
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="run-")
-    return f"{base}/models/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
 
 
 @query("M8 M9 M6", f"""

@@ -155,12 +155,11 @@ SELECT dataset, model, round(rate, 9) AS f1 FROM m WHERE dataset <> 'BUILDING'
 UNION ALL SELECT dataset, model, round(rate + 1, 9) FROM m WHERE dataset = 'BUILDING'""")
 def upserted_master(spark, sf):
     """The master table after one dataset's rows were replaced."""
-    import tempfile
     import uuid
 
-    from lapse.session import checkpoint_dir
+    from lapse.session import shared_dir
 
-    root = f"{checkpoint_dir(spark) or tempfile.mkdtemp(prefix='run-')}/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     scope = K.RunScope(root, "star")
     rows = _master(spark, sf)
     known = [r[0] for r in rows.select("dataset").distinct().collect()]

@@ -28,12 +28,11 @@ def _counts(df: DataFrame) -> dict:
 
 def sanity_probe(
     spark: SparkSession, adapter: Adapter, root: str, settings: Settings | None = None,
-    sample_customers: int | None = 50_000,
+    sample_customers: int | None = None,
 ) -> DataFrame:
     """One report row: files, counts, types, span, cutoffs, rates, matrix shape, passed checks.
 
-    ``sample_customers`` bounds the probe matrix only (a sampling feature of the probe); None builds
-    it for everyone. A failed temporal check raises.
+    The probe matrix is built for everyone; ``sample_customers`` builds it for a sample instead. A failed temporal check raises.
     """
     started = time.time()
     s = settings or Settings()

@@ -47,6 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """As ``checkpoint_dir``; a cluster session without the setting is an error, not a local folder."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder; the frame itself where there is none.
 

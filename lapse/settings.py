@@ -161,8 +161,9 @@ class Settings:
     validation_share: float = 0.1
     calibration_bins: int = 10
     bootstrap_replicates: int = 200
-    attribution_rows: int = 200
-    attribution_background: int = 100
+    # None: every test row is explained, against the means of all of them; a number samples.
+    attribution_rows: int | None = None
+    attribution_background: int | None = None
     clusters: int = 5
     ablation_folds: int = 3
     ablation_trees: int = 100

@@ -244,3 +244,13 @@ def test_most_common(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "k int, v string")
     got = {r["k"]: r["v"] for r in J.most_common(df, ["k"], "v").collect()}
     assert got == {1: "a", 2: "unknown"}
+
+
+def test_parts_bind_by_header(spark, tmp_path):
+    from lapse.sources.readers import read_parts
+
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,z,x\n4,9,3\n")
+    (tmp_path / "c.csv").write_text("x\n5\n")
+    rows = read_parts(spark, ["a.csv", "b.csv", "c.csv"], [str(tmp_path)], "x int, y int").collect()
+    assert sorted((r.x, r.y) for r in rows if r.y) == [(1, 2), (3, 4)] and len(rows) == 3
