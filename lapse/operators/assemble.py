@@ -20,7 +20,7 @@ from lapse.session import materialise
 
 @dataclass(frozen=True)
 class ModelingData:
-    """Train and test rows: customer_id, churn and the same feature columns in the same order."""
+    """Train and test rows: customer_id, lapsed and the same feature columns in the same order."""
 
     train: DataFrame
     test: DataFrame
@@ -48,7 +48,7 @@ def join_labels(matrix: DataFrame, labels: DataFrame) -> DataFrame:
 def global_table(
     events: DataFrame, cutoffs: L.Cutoffs, groups: Sequence[str] | None = None
 ) -> DataFrame:
-    """Both cohorts of the global split in one frame: point, customer_id, churn, features."""
+    """Both cohorts of the global split in one frame: point, customer_id, lapsed, features."""
     points = [
         L.LabelPoint("train", cutoffs.train, cutoffs.window_days),
         L.LabelPoint("test", cutoffs.test, cutoffs.window_days),
@@ -96,8 +96,8 @@ def split_sizes(table: DataFrame) -> DataFrame:
         F.count("train").alias("n_train"),
         F.count("test").alias("n_test"),
         S.count_where(F.col("train").isNotNull() & F.col("test").isNotNull()).alias("n_shared"),
-        F.avg("train").alias("churn_train"),
-        F.avg("test").alias("churn_test"),
+        F.avg("train").alias("lapse_train"),
+        F.avg("test").alias("lapse_test"),
     )
 
 

@@ -14,7 +14,7 @@ from lapse.functions import timing as tm
 from lapse.operators.order_stats import exact_quantiles
 from lapse.schema import CUSTOMER, REQUIRED_COLUMNS, TIME, require_columns
 
-LABEL = "churn"
+LABEL = "lapsed"
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def cutoffs_for_windows(events: DataFrame, windows: Sequence[float], q: float =
 def labels_at(events: DataFrame, points: Sequence[LabelPoint]) -> DataFrame:
     """Inactivity labels for several snapshots from a single aggregate per customer.
 
-    Output: point, customer_id, churn; one row per point and customer with history before it. An
+    Output: point, customer_id, lapsed; one row per point and customer with history before it. An
     event exactly at the snapshot counts for neither side; the window end is inclusive.
     """
     latest = max(p.end for p in points)
@@ -116,21 +116,21 @@ def labels_at(events: DataFrame, points: Sequence[LabelPoint]) -> DataFrame:
 
 
 def inactivity_labels(events: DataFrame, snapshot: datetime, window_days: float = 180) -> DataFrame:
-    """customer_id, churn: 1 when the customer has no event in (snapshot, snapshot + window]."""
+    """customer_id, lapsed: 1 when the customer has no event in (snapshot, snapshot + window]."""
     require_columns(events, REQUIRED_COLUMNS, "labels")
     return labels_at(events, [LabelPoint("snapshot", snapshot, window_days)]).drop("point")
 
 
 def label_summary(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts, churn rate, imbalance ratio and the extreme-rate flag (below 1 % or above 99 %)."""
+    """Counts, lapse rate, imbalance ratio and the extreme-rate flag (below 1 % or above 99 %)."""
     y = F.col(LABEL)
     out = labels.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_total"),
         S.count_where(y == 1).alias("n_pos"),
         S.count_where(y == 0).alias("n_neg"),
-        F.avg(y.cast("double")).alias("churn_rate"),
+        F.avg(y.cast("double")).alias("lapse_rate"),
     )
-    rate = F.col("churn_rate")
+    rate = F.col("lapse_rate")
     return out.withColumn("imbalance_ratio", S.imbalance("n_neg", "n_pos")).withColumn(
         "extreme_rate", (rate < 0.01) | (rate > 0.99)
     )
@@ -144,7 +144,7 @@ def require_labels(labels: DataFrame, snapshot: datetime) -> DataFrame:
 
 
 def native_labels(df: DataFrame, source: str = LABEL) -> DataFrame:
-    """customer_id, churn from a label column the source ships; one row per customer."""
+    """customer_id, lapsed from a label column the source ships; one row per customer."""
     require_columns(df, [CUSTOMER, source], "native labels")
     return df.groupBy(CUSTOMER).agg(F.min(F.col(source).cast("int")).alias(LABEL))
 
@@ -219,7 +219,7 @@ def disjoint_cohorts(events: DataFrame, window_days: float, q: float = 0.7) -> C
 
 
 def cohort_summary(cohorts: Cohorts) -> DataFrame:
-    """One row: sizes, shares, event counts, cutoffs and churn rates of the split.
+    """One row: sizes, shares, event counts, cutoffs and lapse rates of the split.
 
     Label events are those inside the label window; ``*_events_after`` count everything later.
     """
@@ -236,8 +236,8 @@ def cohort_summary(cohorts: Cohorts) -> DataFrame:
         in_cohort("test", "label_events").alias("test_label_events"),
         in_cohort("train", "events_after").alias("train_events_after"),
         in_cohort("test", "events_after").alias("test_events_after"),
-        F.avg(F.when(k == "train", F.col(LABEL))).alias("churn_train"),
-        F.avg(F.when(k == "test", F.col(LABEL))).alias("churn_test"),
+        F.avg(F.when(k == "train", F.col(LABEL))).alias("lapse_train"),
+        F.avg(F.when(k == "test", F.col(LABEL))).alias("lapse_test"),
     )
     return out.select(
         "*",
@@ -254,7 +254,7 @@ def check_cohorts(
 ) -> None:
     """Raise when matrix sizes or rates make the split unusable.
 
-    ``sizes`` has one row with n_train, n_test, n_shared, churn_train and churn_test.
+    ``sizes`` has one row with n_train, n_test, n_shared, lapse_train and lapse_test.
     """
     row = sizes.first()
     if row["n_shared"]:
@@ -264,14 +264,15 @@ def check_cohorts(
     if row["n_test"] < min_test:
         raise ValueError(f"test cohort too small ({row['n_test']} < {min_test})")
     for side in ("train", "test"):
-        rate = row[f"churn_{side}"]
+        rate = row[f"lapse_{side}"]
         if rate is None or not 0.0 < rate < 1.0:
-            raise ValueError(f"degenerate {side} churn rate {rate}")
+            raise ValueError(f"degenerate {side} lapse rate {rate}")
 
 
 # ------------------------------------------------------------------------- validity assertions
 
-FORBIDDEN_FEATURES = ("target_event", "churn", "label", "target")
+# Label columns that sources ship, and the one of this package.
+FORBIDDEN_FEATURES = ("target_event", "churn", LABEL, "label", "target")
 
 
 def temporal_checks(

@@ -7,37 +7,60 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lapse.functions import scalars as S
 from lapse.operators import order_stats as O
 from lapse.operators.features import feature_columns
 from lapse.operators.labels import LABEL
 from lapse.schema import CUSTOMER
+from lapse.session import materialise
 
 SYNTHETIC = "synthetic"
-# Rows compared with each other in one task.
-CELL_ROWS = 20_000
-_BLOCK = 2_048
-
-
-def nearest(points: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k nearest other rows, in blocks so memory stays linear in the rows."""
-    n = len(points)
-    k = min(k, n - 1)
-    if k <= 0:
-        return np.zeros((n, 1), dtype=int)
-    squares = (points**2).sum(axis=1)
-    out = np.empty((n, k), dtype=int)
-    for start in range(0, n, _BLOCK):
-        rows = points[start : start + _BLOCK]
-        gap = squares[start : start + len(rows), None] + squares[None, :] - 2.0 * rows @ points.T
-        gap[np.arange(len(rows)), np.arange(start, start + len(rows))] = np.inf
-        close = np.argpartition(gap, k - 1, axis=1)[:, :k]
-        rank = np.take_along_axis(gap, close, axis=1)
-        out[start : start + len(rows)] = np.take_along_axis(
-            close, np.lexsort((close, rank), axis=1), axis=1
-        )
+# Vectors of one cell; a task compares the vectors of one cell with those of one cell.
+CELL_ROWS = 8_192
+_BLOCK = 512
+_NEAR = "array<struct<gap: double, x: array<double>>>"
+
+
+def squared_gaps(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances, summed feature by feature: the same bits whatever rows are compared together."""
+    gaps = np.zeros((len(queries), len(points)))
+    for j in range(points.shape[1]):
+        gaps += (queries[:, j, None] - points[None, :, j]) ** 2
+    return gaps
+
+
+def nearest(
+    queries: np.ndarray, points: np.ndarray, copies: np.ndarray, k: int, own: bool,
+) -> list[list[tuple[float, list[float]]]]:
+    """Per query its k nearest points as (squared distance, vector), by distance and then vector.
+
+    A point that stands for several rows is listed as often. With ``own`` the queries are the points,
+    and one row of each point is the query itself. Works in blocks, so memory is linear in the rows.
+    """
+    order = np.lexsort(points.T[::-1])
+    points, copies = points[order], copies[order]
+    place = np.empty(len(order), dtype=int)
+    place[order] = np.arange(len(order))
+    out = []
+    for start in range(0, len(queries), _BLOCK):
+        rows = squared_gaps(queries[start : start + _BLOCK], points)
+        for i, gaps in enumerate(rows):
+            left = copies
+            if own:
+                left = copies.copy()
+                left[place[start + i]] -= 1
+            # At most k points and the emptied own one matter; ties with the last stay in.
+            wanted = min(k + 1, len(gaps))
+            border = np.partition(gaps, wanted - 1)[wanted - 1]
+            close = np.flatnonzero(gaps <= border)
+            close = close[np.argsort(gaps[close], kind="stable")]
+            found: list[tuple[float, list[float]]] = []
+            for c in close:
+                found += [(float(gaps[c]), points[c].tolist())] * min(int(left[c]), k - len(found))
+                if len(found) == k:
+                    break
+            out.append(found)
     return out
 
 
@@ -46,29 +69,94 @@ def class_counts(df: DataFrame, label: str = LABEL) -> dict:
 
 
 def with_cells(
-    minority: DataFrame, features: Sequence[str], size: int, cell_rows: int, key: str,
+    vectors: DataFrame, features: Sequence[str], size: int, cell_rows: int,
     row_limit: int = O.GROUP_ROW_LIMIT,
 ) -> DataFrame:
-    """Add ``_cell``: equal-sized neighbourhoods along the feature with the largest variance.
+    """Add ``_along``, the feature with the largest variance, and ``_cell``: equal-sized cells along it.
 
-    Distances are plain Euclidean, so that feature dominates them. A minority that fits one cell is
-    searched exactly; a larger one is searched exactly within its cell, and every row still gets its
-    neighbours. Equal values are spread over cells, so a repeated row cannot overfill one.
+    Cells only decide which task compares what; every neighbour search is exact (:func:`neighbours`).
     """
-    cells = -(-size // cell_rows)
-    if cells <= 1:
-        return minority.withColumn("_cell", F.lit(0).cast("long"))
-    spread = minority.agg(
-        *[F.var_pop(f"`{c}`").alias(str(i)) for i, c in enumerate(features)]
+    spread = vectors.agg(
+        *[F.var_pop(F.col("_x")[i]).alias(str(i)) for i in range(len(features))]
     ).first()
     widest = max(range(len(features)), key=lambda i: (spread[i] or 0.0, -i))
-    placed = minority.withColumn("_along", F.col(f"`{features[widest]}`"))
+    placed = vectors.withColumn("_along", F.col("_x")[widest])
+    cells = max(1, -(-size // cell_rows))
+    key = F.xxhash64("_x")
     groups = O.slice_groups(
-        placed, [], "_along", [key], row_limit=row_limit, spread_ties=F.col(key)
+        placed.withColumn("_h", key), [], "_along", ["_h"], row_limit=row_limit, spread_ties=F.col("_h")
     )
     ranked = O.positions(groups, "_rank")
     cell = F.floor((F.col("_rank") - 1) * F.lit(cells) / F.lit(size)).cast("long")
-    return ranked.withColumn("_cell", cell).drop("_along", "_rank")
+    return ranked.withColumn("_cell", cell).drop("_rank", "_h")
+
+
+def _searched(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """``_x``, ``_found``: the k nearest points of the cell a query is sent to.
+
+    One task holds the queries of one cell and the points of one cell, both at most a cell large.
+    """
+
+    def search(asked, held):
+        import pandas as pd
+
+        if asked.empty or held.empty:
+            return pd.DataFrame({"_x": [], "_found": []})
+        near = nearest(
+            np.vstack(asked["_x"].to_numpy()).astype(float), np.vstack(held["_p"].to_numpy()).astype(float),
+            held["_n"].to_numpy(), k, bool(asked["_off"].iloc[0] == 0))
+        found = [[{"gap": gap, "x": x} for gap, x in row] for row in near]
+        return pd.DataFrame({"_x": asked["_x"].to_list(), "_found": found})
+
+    schema = f"_x array<double>, _found {_NEAR}"
+    pairs = queries.select("_to", "_off").distinct()
+    sent = points.select(F.col("_cell").alias("_to"), F.col("_x").alias("_p"), "_n").join(pairs, "_to").select(
+        F.col("_to").alias("_at"), F.col("_off").alias("_by"), "_p", "_n")
+    return (queries.select("_to", "_off", "_x").groupBy("_to", "_off")
+            .cogroup(sent.groupBy("_at", "_by")).applyInPandas(search, schema))
+
+
+def neighbours(
+    minority: DataFrame, features: Sequence[str], k: int = 5, cell_rows: int = CELL_ROWS,
+    row_limit: int = O.GROUP_ROW_LIMIT,
+) -> DataFrame:
+    """``_x``, ``_n`` (rows with that vector), ``_near``: the k nearest other rows of each distinct vector.
+
+    Exact at every size and the same for every ``cell_rows``: ordered by squared distance, then vector;
+    equal rows are neighbours at distance zero. A vector first meets its own cell, then the cells on both
+    sides, twice as many each time, but only cells that the distance along one feature alone does not rule
+    out; vectors with no such cell left are done. No row with a null feature may come in.
+    """
+    point = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    vectors = materialise(minority.groupBy(point.alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
+    size = vectors.count()
+    celled = materialise(with_cells(vectors, features, size, cell_rows, row_limit))
+    cells = max(1, -(-size // cell_rows))
+    ranges = celled.groupBy("_cell").agg(F.min("_along").alias("_low"), F.max("_along").alias("_high"))
+    own = celled.select(F.col("_cell").alias("_to"), F.lit(0).alias("_off"), "_x")
+    found = _searched(own, celled, k)
+    state = celled.join(found, "_x").withColumnRenamed("_found", "_near")
+    reach = 1
+    while reach < cells:
+        state = materialise(state)
+        offsets = F.explode(F.array(*[F.lit(o) for o in range(-2 * reach + 1, 2 * reach) if abs(o) >= reach]))
+        asked = state.select("_x", "_along", "_near", "_cell", offsets.alias("_off")).withColumn(
+            "_to", F.col("_cell") + F.col("_off"))
+        worst = F.when(F.size("_near") >= k, F.element_at("_near", -1)["gap"])
+        apart = F.greatest(F.col("_low") - F.col("_along"), F.col("_along") - F.col("_high"), F.lit(0.0))
+        asked = asked.join(ranges.withColumnRenamed("_cell", "_to"), "_to").where(
+            worst.isNull() | (apart * apart <= worst))
+        asked = materialise(asked.select("_x", "_cell", "_to", "_off"))
+        reach *= 2
+        if asked.isEmpty():
+            # Farther cells are farther along the feature, so nothing is left to search.
+            break
+        more = _searched(asked, celled, k).groupBy("_x").agg(
+            F.flatten(F.collect_list("_found")).alias("_more"))
+        joined = F.concat("_near", F.coalesce("_more", F.array().cast(_NEAR)))
+        state = state.join(more, "_x", "left").withColumn(
+            "_near", F.slice(F.array_sort(joined), 1, k)).drop("_more")
+    return state.select("_x", "_n", "_near")
 
 
 def oversample(
@@ -100,19 +188,19 @@ def oversample(
         border = int(O.order_statistic(minority, F.col(key), gap % m - 1))
         extra = F.when(F.col(key) <= F.lit(border), 1).otherwise(0)
     minority = minority.withColumn("_copies", F.lit(gap // m) + extra)
-    celled = with_cells(minority, names, m, cell_rows, key)
+    # Every vector has as many neighbours, so a draw is known before any neighbour is attached.
+    width = min(k, m - 1)
     point = F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("_x")
-    celled = celled.select("_cell", key, "_copies", *ids, label, point)
-    linked = neighbour_vectors(celled, key, k)
-
-    # Each copy is one draw: which neighbour, and how far toward it.
-    copies = linked.where(F.col("_copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    )
-    pick = F.pmod(S.stable_hash([key, "_copy"], seed, "neighbour"), F.size("_near")) + 1
-    drawn = copies.withColumn("_to", F.element_at("_near", pick.cast("int"))).withColumn(
-        "_step", S.stable_uniform([key, "_copy"], seed, "step")
+    copies = minority.where(F.col("_copies") > 0).select(
+        key, *ids, label, point, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
     )
+    if width:
+        pick = F.pmod(S.stable_hash([key, "_copy"], seed, "neighbour"), F.lit(width)).cast("int")
+        near = neighbours(minority, names, k, cell_rows).select("_x", F.posexplode("_near").alias("_pick", "_to"))
+        drawn = copies.withColumn("_pick", pick).join(near, ["_x", "_pick"]).withColumn("_to", F.col("_to.x"))
+    else:
+        drawn = copies.withColumn("_to", F.col("_x"))
+    drawn = drawn.withColumn("_step", S.stable_uniform([key, "_copy"], seed, "step"))
     made = [
         (F.col("_x")[i] + F.col("_step") * (F.col("_to")[i] - F.col("_x")[i])).alias(c)
         for i, c in enumerate(names)
@@ -122,25 +210,6 @@ def oversample(
     return base.select(*[F.col(f"`{c}`") for c in columns], SYNTHETIC).unionByName(synthetic)
 
 
-def neighbour_vectors(celled: DataFrame, key: str, k: int) -> DataFrame:
-    """Add ``_near``: the vectors of the k nearest rows of the same cell.
-
-    Only the distance search runs in Python, on one bounded cell per call.
-    """
-    schema = celled.drop("_cell").schema.add("_near", T.ArrayType(T.ArrayType(T.DoubleType())))
-    kept = celled.drop("_cell").columns
-
-    def search(pdf):
-        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        points = np.vstack(pdf["_x"].to_numpy()).astype(float)
-        near = nearest(points, k)
-        out = pdf[kept].copy()
-        out["_near"] = [points[row].tolist() for row in near]
-        return out
-
-    return celled.groupBy("_cell").applyInPandas(search, schema)
-
-
 def placement_report(folds: dict[str, DataFrame], dataset: str) -> DataFrame:
     """Gate rows: synthetic rows per fold; only the training fold may hold any."""
     out = None

@@ -64,7 +64,7 @@ def cadence_labels(
     df: DataFrame, ratio: float = 0.7, factor: float = 1.5, min_orders: int = 3,
     row_limit: int = O.GROUP_ROW_LIMIT,
 ) -> DataFrame:
-    """customer_id, churn, last_observed: 1 when the later mean gap exceeds factor x the earlier one.
+    """customer_id, lapsed, last_observed: 1 when the later mean gap exceeds factor x the earlier one.
 
     Users with fewer than ``min_orders`` orders, or without a positive gap on either side, drop out.
     ``last_observed`` is the last order number of the earlier part.
@@ -86,8 +86,8 @@ def cadence_labels(
         )
     )
     known = means.where(F.col("_early").isNotNull() & F.col("_late").isNotNull())
-    churn = F.when(F.col("_late") > F.lit(factor) * F.col("_early"), 1).otherwise(0)
-    return known.select(CUSTOMER, churn.alias(LABEL), "last_observed")
+    lapsed = F.when(F.col("_late") > F.lit(factor) * F.col("_early"), 1).otherwise(0)
+    return known.select(CUSTOMER, lapsed.alias(LABEL), "last_observed")
 
 
 def observed_events(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def observed_events(df: DataFrame, labels: DataFrame) -> DataFrame:
 def cadence_table(
     df: DataFrame, groups: Sequence[str] | None = None, ratio: float = 0.7
 ) -> DataFrame:
-    """customer_id, churn and features of the earlier part, one day after its last event."""
+    """customer_id, lapsed and features of the earlier part, one day after its last event."""
     # Read three times below: for the snapshot, the features and the labels.
     labels = materialise(cadence_labels(df, ratio))
     source = observed_events(df, labels)
@@ -131,9 +131,9 @@ def listening_table(
     df: DataFrame, ratio: float = 0.7, factor: float = 0.5, min_rows: int = 50,
     track: str = "track_name", row_limit: int = O.GROUP_ROW_LIMIT,
 ) -> DataFrame:
-    """customer_id, churn and nine listening features of the earlier part of each history.
+    """customer_id, lapsed and nine listening features of the earlier part of each history.
 
-    churn is 1 when the later listens per day fall below factor x the earlier rate.
+    lapsed is 1 when the later listens per day fall below factor x the earlier rate.
     """
     used = [c for c in ("product_id", track) if c in df.columns]
     events = df.where(F.col(CUSTOMER).isNotNull() & F.col(TIME).isNotNull())

@@ -47,7 +47,7 @@ def half_up(x: float) -> int:
 
 
 def stratified_split(
-    df: DataFrame, label: str = "churn", share: float = 0.3, ids: Sequence[str] = (CUSTOMER,),
+    df: DataFrame, label: str = "lapsed", share: float = 0.3, ids: Sequence[str] = (CUSTOMER,),
     seed: int = 42, salt: str = "split",
 ) -> tuple[DataFrame, DataFrame]:
     """(rest, taken): ``share`` of each class goes to the second frame, at fixed class counts."""
@@ -58,7 +58,7 @@ def stratified_split(
 
 
 def stratified_cap(
-    df: DataFrame, cap: int | None, label: str = "churn", ids: Sequence[str] = (CUSTOMER,),
+    df: DataFrame, cap: int | None, label: str = "lapsed", ids: Sequence[str] = (CUSTOMER,),
     seed: int = 42,
 ) -> DataFrame:
     """Class-proportional sub-sample of about ``cap`` rows, at least one per class; None keeps all."""
@@ -82,7 +82,7 @@ def sample_rows(df: DataFrame, rows: int, ids: Sequence[str], seed: int = 42) ->
 
 
 def with_folds(
-    df: DataFrame, folds: int = 3, label: str = "churn", ids: Sequence[str] = (CUSTOMER,),
+    df: DataFrame, folds: int = 3, label: str = "lapsed", ids: Sequence[str] = (CUSTOMER,),
     seed: int = 42, name: str = "fold",
 ) -> DataFrame:
     """Stratified folds: within each class, hash-ordered blocks of equal size."""
@@ -102,5 +102,5 @@ def with_folds(
     return keyed.withColumn(name, fold).drop(_KEY)
 
 
-def classes(df: DataFrame, label: str = "churn") -> list:
+def classes(df: DataFrame, label: str = "lapsed") -> list:
     return category_values(df, label, 100)

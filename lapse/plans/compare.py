@@ -38,6 +38,6 @@ def auc_trend(sensitivity: DataFrame) -> DataFrame:
     known = sensitivity.where(F.col("roc_auc").isNotNull())
     return known.groupBy("dataset", "model").agg(
         F.count(F.lit(1)).alias("n_windows"),
-        F.min_by("roc_auc", "churn_window_days").alias("first_auc"),
-        F.max_by("roc_auc", "churn_window_days").alias("last_auc"),
+        F.min_by("roc_auc", "window_days").alias("first_auc"),
+        F.max_by("roc_auc", "window_days").alias("last_auc"),
     ).where(F.col("n_windows") > 1).withColumn("trend", F.col("last_auc") - F.col("first_auc"))

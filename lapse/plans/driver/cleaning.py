@@ -128,7 +128,7 @@ def cleaned_ids(spark, sf):
 @query("P11 P12 P13 P22 X10", """
 WITH seg AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code
              FROM (SELECT DISTINCT c_mktsegment FROM customer))
-SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn, code AS segment_code,
+SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed, code AS segment_code,
        (c_mktsegment = 'AUTOMOBILE')::INT::DOUBLE AS "segment_AUTOMOBILE",
        (c_mktsegment = 'BUILDING')::INT::DOUBLE AS "segment_BUILDING",
        (c_mktsegment = 'FURNITURE')::INT::DOUBLE AS "segment_FURNITURE",
@@ -140,7 +140,7 @@ def encoded_categories(spark, sf):
     df = D.subscribers(spark, sf)
     values = C.category_values(df, "segment")
     coded = df.select(
-        "customer_id", C.label_from_text("Churn", "Yes").alias("churn"), "segment",
+        "customer_id", C.label_from_text("Lapsed", "Yes").alias("lapsed"), "segment",
         C.category_code("segment", values).cast("long").alias("segment_code"),
     )
     return C.one_hot(coded, "segment", values)

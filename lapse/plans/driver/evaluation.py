@@ -118,12 +118,12 @@ def calibration_by_mode(spark, sf):
 
 
 @query("E11 W5 X6", f"""{_PRED},
-s AS (SELECT customer_id AS customer_unique_id, p AS churn_probability,
+s AS (SELECT customer_id AS customer_unique_id, p AS lapse_probability,
              round_even(p * 100, 0)::INT AS risk_score FROM pred),
 k AS (SELECT risk_score, count(*) AS n FROM s GROUP BY 1),
 u AS (SELECT risk_score, n, sum(n) OVER (ORDER BY risk_score ROWS UNBOUNDED PRECEDING) AS upto,
              sum(n) OVER () AS total FROM k)
-SELECT customer_unique_id, churn_probability, risk_score,
+SELECT customer_unique_id, lapse_probability, risk_score,
        (upto - (n - 1) / 2.0::DOUBLE) / total * 100 AS risk_percentile,
        CASE WHEN risk_score < 30 THEN 'Low' WHEN risk_score < 70 THEN 'Medium' ELSE 'High' END AS risk_tier
 FROM s JOIN u USING (risk_score)""")
@@ -170,7 +170,7 @@ def _document_features(spark, sf):
         (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("words"))
     joined = labels.join(documents, "doc_id")
     return joined.select(
-        F.col("doc_id").alias("customer_id"), F.col("toxic").alias("churn"),
+        F.col("doc_id").alias("customer_id"), F.col("toxic").alias("lapsed"),
         F.col("n_chars").cast("double").alias("n_chars"), F.col("words").cast("double").alias("words"),
         F.col("quality").cast("double").alias("quality"))
 
@@ -180,15 +180,15 @@ c AS (SELECT feature, value, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTE
       FROM long GROUP BY 1, 2),
 r AS (SELECT *, sum(n0) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) AS up0 FROM c),
 m AS (SELECT feature, median(value) FILTER (WHERE y = 0) AS median_retained,
-             median(value) FILTER (WHERE y = 1) AS median_churned FROM long GROUP BY 1),
-u AS (SELECT feature, sum(n0)::BIGINT AS n_retained, sum(n1)::BIGINT AS n_churned,
-  sum(n1 * (up0 - n0 + 0.5 * n0))::DOUBLE AS u_churned,
+             median(value) FILTER (WHERE y = 1) AS median_lapsed FROM long GROUP BY 1),
+u AS (SELECT feature, sum(n0)::BIGINT AS n_retained, sum(n1)::BIGINT AS n_lapsed,
+  sum(n1 * (up0 - n0 + 0.5 * n0))::DOUBLE AS u_lapsed,
   sum((n0 + n1)::DOUBLE * (n0 + n1) * (n0 + n1) - (n0 + n1)) AS tie_term FROM r GROUP BY 1)
-SELECT feature, n_retained, n_churned, u_churned, tie_term, median_retained, median_churned,
-  round(2 * u_churned / (n_retained::DOUBLE * n_churned) - 1, 9) AS cliffs_delta,
-  round((greatest(u_churned, n_retained * n_churned - u_churned) - n_retained * n_churned / 2 - 0.5)
-    / sqrt(n_retained * n_churned / 12 * (n_retained + n_churned + 1
-      - tie_term / ((n_retained + n_churned)::DOUBLE * (n_retained + n_churned - 1)))), 9) AS z_score
+SELECT feature, n_retained, n_lapsed, u_lapsed, tie_term, median_retained, median_lapsed,
+  round(2 * u_lapsed / (n_retained::DOUBLE * n_lapsed) - 1, 9) AS cliffs_delta,
+  round((greatest(u_lapsed, n_retained * n_lapsed - u_lapsed) - n_retained * n_lapsed / 2 - 0.5)
+    / sqrt(n_retained * n_lapsed / 12 * (n_retained + n_lapsed + 1
+      - tie_term / ((n_retained + n_lapsed)::DOUBLE * (n_retained + n_lapsed - 1)))), 9) AS z_score
 FROM u JOIN m USING (feature)""")
 def rank_sum_statistics(spark, sf):
     """U, tie term, medians, effect size and z per feature; the p-value follows from z."""
@@ -226,12 +226,12 @@ def adjusted_significance(spark, sf):
 @query("A8", f"""{_PRED}
 SELECT CASE WHEN y = 1 AND yhat = 1 THEN 'true_positive' WHEN y = 0 AND yhat = 0 THEN 'true_negative'
             WHEN y = 0 AND yhat = 1 THEN 'false_positive' ELSE 'false_negative' END AS error_type,
-       count(*) AS n, round(avg(p), 9) AS avg_churn_prob, round(avg(n_chars), 6) AS n_chars,
+       count(*) AS n, round(avg(p), 9) AS avg_lapse_prob, round(avg(n_chars), 6) AS n_chars,
        round(avg(quality), 9) AS quality FROM pred GROUP BY 1""")
 def error_groups(spark, sf):
     table = R.error_groups(D.document_scores(spark, sf), ["n_chars", "quality"])
     return table.select(
-        "error_type", "n", F.round("avg_churn_prob", 9).alias("avg_churn_prob"),
+        "error_type", "n", F.round("avg_lapse_prob", 9).alias("avg_lapse_prob"),
         F.round("n_chars", 6).alias("n_chars"), F.round("quality", 9).alias("quality"))
 
 
@@ -256,7 +256,7 @@ def event_type_counts(spark, sf):
 
 
 @query("A5", """
-SELECT avg(toxic) AS churn_rate, count(*) FILTER (WHERE toxic = 0) / count(*) FILTER (WHERE toxic = 1) AS imbalance_ratio,
+SELECT avg(toxic) AS lapse_rate, count(*) FILTER (WHERE toxic = 0) / count(*) FILTER (WHERE toxic = 1) AS imbalance_ratio,
        count(*) FILTER (WHERE toxic = 1) AS n_pos, count(*) FILTER (WHERE toxic = 0) AS n_neg, count(*) AS n_total
 FROM labels""")
 def class_balance(spark, sf):
@@ -284,7 +284,7 @@ def feature_correlations(spark, sf):
 @query("A13", f"""{_FEATS}, {_LONG.strip()},
 q AS (SELECT feature, y, count(*) AS n, quantile_cont(value, 0.25) AS q1, median(value) AS median,
              quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1, 2)
-SELECT feature, y AS churn, any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+SELECT feature, y AS lapsed, any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
   min(value) FILTER (WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
   max(value) FILTER (WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high
 FROM long JOIN q USING (feature, y) GROUP BY 1, 2""")

@@ -183,7 +183,7 @@ del AS (SELECT point, customer_id, avg(delay) AS avg_delivery_delay_days, max(de
         FROM m GROUP BY point, customer_id),
 pay AS (SELECT point, customer_id, round(avg_payment_value + 0.0000137, 4) AS avg_payment_value, {_PAYMENT_COLUMNS},
         0.0::DOUBLE AS avg_payment_installments FROM paid JOIN pref USING (point, customer_id))
-SELECT ord.*, churn, coalesce(avg_review_score, 0) AS avg_review_score,
+SELECT ord.*, lapsed, coalesce(avg_review_score, 0) AS avg_review_score,
        coalesce(min_review_score, 0) AS min_review_score, coalesce(review_variance, 0) AS review_variance,
        coalesce(low_review_ratio, 0) AS low_review_ratio,
        coalesce(positive_review_ratio, 0) AS positive_review_ratio,

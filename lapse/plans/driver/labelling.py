@@ -36,7 +36,7 @@ cohorts AS (
          CASE WHEN first_us < c THEN before_c WHEN first_us < b THEN before_b END AS history_events,
          CASE WHEN first_us < c THEN in_c WHEN first_us < b THEN in_b END AS label_events,
          CASE WHEN first_us < c THEN after_c WHEN first_us < b THEN after_b END AS events_after,
-         CASE WHEN first_us < c THEN (in_c = 0)::INT WHEN first_us < b THEN (in_b = 0)::INT END AS churn,
+         CASE WHEN first_us < c THEN (in_c = 0)::INT WHEN first_us < b THEN (in_b = 0)::INT END AS lapsed,
          c, b FROM per)"""
 
 
@@ -64,7 +64,7 @@ def global_cutoffs(spark, sf):
 @query("L2 J12", f"""
 WITH {Q.MARKET.strip()}, {Q.cutoffs('market', 180).strip()}, {Q.points().strip()},
 {Q.labels('market', 180).strip()}
-SELECT customer_id, churn FROM labelled WHERE point = 'train'""")
+SELECT customer_id, lapsed FROM labelled WHERE point = 'train'""")
 def inactivity_labels(spark, sf):
     events = _market(spark, sf)
     cut = L.global_cutoffs(events, 180)
@@ -74,11 +74,11 @@ def inactivity_labels(spark, sf):
 @query("L2 L3 A5", f"""
 WITH {Q.CLICK.strip()}, {Q.cutoffs('click', 1).strip()}, {Q.points().strip()},
 {Q.labels('click', 1).strip()}
-SELECT point, count(*) AS n_total, count(*) FILTER (WHERE churn = 1) AS n_pos,
-       count(*) FILTER (WHERE churn = 0) AS n_neg, avg(churn) AS churn_rate,
-       CASE WHEN count(*) FILTER (WHERE churn = 1) = 0 THEN 'Infinity'::DOUBLE
-            ELSE count(*) FILTER (WHERE churn = 0) / count(*) FILTER (WHERE churn = 1) END AS imbalance_ratio,
-       avg(churn) < 0.01 OR avg(churn) > 0.99 AS extreme_rate
+SELECT point, count(*) AS n_total, count(*) FILTER (WHERE lapsed = 1) AS n_pos,
+       count(*) FILTER (WHERE lapsed = 0) AS n_neg, avg(lapsed) AS lapse_rate,
+       CASE WHEN count(*) FILTER (WHERE lapsed = 1) = 0 THEN 'Infinity'::DOUBLE
+            ELSE count(*) FILTER (WHERE lapsed = 0) / count(*) FILTER (WHERE lapsed = 1) END AS imbalance_ratio,
+       avg(lapsed) < 0.01 OR avg(lapsed) > 0.99 AS extreme_rate
 FROM labelled GROUP BY point""")
 def label_summaries(spark, sf):
     events = D.click_events(spark, sf)
@@ -89,7 +89,7 @@ def label_summaries(spark, sf):
 
 @query("L4 J13", f"""
 WITH {COHORTS.strip()}
-SELECT customer_id, cohort, history_events, label_events, events_after, churn FROM cohorts""")
+SELECT customer_id, cohort, history_events, label_events, events_after, lapsed FROM cohorts""")
 def disjoint_cohorts(spark, sf):
     cohorts = L.disjoint_cohorts(D.shipment_events(spark, sf), 180)
     return cohorts.customers.drop("first_event")
@@ -106,8 +106,8 @@ SELECT count(*) AS n_raw, count(*) FILTER (WHERE cohort = 'train') AS n_train,
   coalesce(sum(label_events) FILTER (WHERE cohort = 'test'), 0)::BIGINT AS test_label_events,
   coalesce(sum(events_after) FILTER (WHERE cohort = 'train'), 0)::BIGINT AS train_events_after,
   coalesce(sum(events_after) FILTER (WHERE cohort = 'test'), 0)::BIGINT AS test_events_after,
-  avg(churn) FILTER (WHERE cohort = 'train') AS churn_train,
-  avg(churn) FILTER (WHERE cohort = 'test') AS churn_test,
+  avg(lapsed) FILTER (WHERE cohort = 'train') AS lapse_train,
+  avg(lapsed) FILTER (WHERE cohort = 'test') AS lapse_test,
   count(*) FILTER (WHERE cohort = 'train') / count(*) AS train_share,
   count(*) FILTER (WHERE cohort = 'test') / count(*) AS test_share,
   count(*) FILTER (WHERE cohort = 'excluded') / count(*) AS excluded_share,
@@ -124,11 +124,11 @@ def cohort_summary(spark, sf):
 WITH {COHORTS.strip()},
 items AS (SELECT l_orderkey AS customer_id, epoch_us(l_shipdate) AS t, l_extendedprice AS value FROM lineitem),
 per_time AS (
-  SELECT k.customer_id, cohort, churn, t, sum(value) AS v, count(*) AS n
+  SELECT k.customer_id, cohort, lapsed, t, sum(value) AS v, count(*) AS n
   FROM items i JOIN cohorts k ON i.customer_id = k.customer_id
   WHERE cohort <> 'excluded' AND t < CASE cohort WHEN 'train' THEN c ELSE b END
   GROUP BY ALL)
-SELECT cohort AS point, customer_id, any_value(churn) AS churn, count(*)::DOUBLE AS total_orders,
+SELECT cohort AS point, customer_id, any_value(lapsed) AS lapsed, count(*)::DOUBLE AS total_orders,
        sum(n)::DOUBLE AS total_items_purchased, (count(*) > 1)::INT::DOUBLE AS repeat_purchase_ratio,
        round(sum(v), 2) AS total_spent
 FROM per_time GROUP BY cohort, customer_id""")
@@ -137,7 +137,7 @@ def disjoint_modeling_table(spark, sf):
     cohorts = L.disjoint_cohorts(events, 180)
     table = A.disjoint_table(events, cohorts, ["purchase", "monetary"])
     return table.select(
-        POINT, "customer_id", "churn", "total_orders", "total_items_purchased",
+        POINT, "customer_id", "lapsed", "total_orders", "total_items_purchased",
         "repeat_purchase_ratio", F.round("total_spent", 2).alias("total_spent"))
 
 
@@ -158,7 +158,7 @@ means AS (
          avg(nullif(gap, 0)) FILTER (WHERE order_number > greatest(1, floor(n * 0.7::DOUBLE))) AS late,
          max(order_number) FILTER (WHERE order_number <= greatest(1, floor(n * 0.7::DOUBLE))) AS last_observed
   FROM placed WHERE n >= 3 GROUP BY customer_id),
-decay AS (SELECT customer_id, (late > 1.5 * early)::INT AS churn, last_observed FROM means
+decay AS (SELECT customer_id, (late > 1.5 * early)::INT AS lapsed, last_observed FROM means
           WHERE early IS NOT NULL AND late IS NOT NULL)"""
 
 
@@ -169,11 +169,11 @@ def cadence_labels(spark, sf):
 
 @query("L7 J11", f"""
 WITH {CADENCE},
-kept AS (SELECT n.customer_id, churn, t, value FROM numbered n JOIN decay d
+kept AS (SELECT n.customer_id, lapsed, t, value FROM numbered n JOIN decay d
          ON n.customer_id = d.customer_id AND order_number <= last_observed),
 snap AS (SELECT max(t) + {Q.DAY} AS s FROM kept),
-per_time AS (SELECT customer_id, any_value(churn) AS churn, t, sum(value) AS v FROM kept GROUP BY customer_id, t)
-SELECT customer_id, any_value(churn) AS churn, count(*)::DOUBLE AS total_orders,
+per_time AS (SELECT customer_id, any_value(lapsed) AS lapsed, t, sum(value) AS v FROM kept GROUP BY customer_id, t)
+SELECT customer_id, any_value(lapsed) AS lapsed, count(*)::DOUBLE AS total_orders,
        round(sum(v), 2) AS total_spent,
        floor((any_value(s) - max(t)) / {Q.DAY}.0)::DOUBLE AS days_since_last_purchase,
        floor((max(t) - min(t)) / {Q.DAY}.0)::DOUBLE AS customer_lifetime_days
@@ -182,7 +182,7 @@ def cadence_modeling_table(spark, sf):
     table = R.cadence_table(
         D.numbered_orders(spark, sf), ["purchase", "monetary", "inactivity", "cadence"])
     return table.select(
-        "customer_id", "churn", "total_orders", F.round("total_spent", 2).alias("total_spent"),
+        "customer_id", "lapsed", "total_orders", F.round("total_spent", 2).alias("total_spent"),
         "days_since_last_purchase", "customer_lifetime_days")
 
 
@@ -203,7 +203,7 @@ f AS (
     count(DISTINCT t // {Q.DAY}) FILTER (WHERE early) AS days,
     max(gap) FILTER (WHERE early) AS gap
   FROM parts GROUP BY customer_id)
-SELECT customer_id, (later / d2 < 0.5 * (total / d1))::INT AS churn, total::DOUBLE AS total_listens,
+SELECT customer_id, (later / d2 < 0.5 * (total / d1))::INT AS lapsed, total::DOUBLE AS total_listens,
        artists::DOUBLE AS unique_artists, tracks::DOUBLE AS unique_tracks, days::DOUBLE AS active_days,
        total / greatest(days, 1) AS avg_listens_per_day, 0.0::DOUBLE AS days_since_last_listen,
        round(coalesce(gap / {Q.DAY}.0::DOUBLE, 0.0), 6) AS max_gap_between_sessions,
@@ -217,41 +217,41 @@ def listening_modeling_table(spark, sf):
 
 def _native(spark, sf):
     df = D.subscribers(spark, sf)
-    labelled = df.withColumn("churn", C.label_from_text("Churn", "Yes"))
+    labelled = df.withColumn("lapsed", C.label_from_text("Lapsed", "Yes"))
     coded = C.one_hot(labelled, "segment")
-    predictors = C.numeric_predictors(coded, exclude=["churn", "event_time"])
+    predictors = C.numeric_predictors(coded, exclude=["lapsed", "event_time"])
     return predictors, L.native_labels(labelled)
 
 
-@query("L9", "SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn FROM customer")
+@query("L9", "SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed FROM customer")
 def native_labels(spark, sf):
     return _native(spark, sf)[1]
 
 
 @query("L10 P22", f"""
 WITH keyed AS (
-  SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn, c_mktsegment, c_nationkey, c_name, c_acctbal,
+  SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed, c_mktsegment, c_nationkey, c_name, c_acctbal,
          {Q.stable_hash('c_custkey', 'native42')} AS h FROM customer),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k,
-                  count(*) OVER (PARTITION BY churn) AS n FROM keyed)
-SELECT CASE WHEN k <= round((1 - 0.7::DOUBLE) * n) THEN 'test' ELSE 'train' END AS side, customer_id, churn,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY h) AS k,
+                  count(*) OVER (PARTITION BY lapsed) AS n FROM keyed)
+SELECT CASE WHEN k <= round((1 - 0.7::DOUBLE) * n) THEN 'test' ELSE 'train' END AS side, customer_id, lapsed,
        c_nationkey::DOUBLE AS nation, length(c_name)::DOUBLE AS name_length, abs(c_acctbal) / 1000 AS balance,
        (c_mktsegment = 'BUILDING')::INT::DOUBLE AS "segment_BUILDING" FROM ranked""")
 def stratified_split(spark, sf):
     data = A.native_split(*_native(spark, sf))
     both = data.train.withColumn("side", F.lit("train")).unionByName(
         data.test.withColumn("side", F.lit("test")))
-    return both.select("side", "customer_id", "churn", "nation", "name_length", "balance",
+    return both.select("side", "customer_id", "lapsed", "nation", "name_length", "balance",
                        "segment_BUILDING")
 
 
 @query("L13", f"""
 WITH keyed AS (
-  SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn,
+  SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed,
          {Q.stable_hash('c_custkey', 'cap42')} AS h FROM customer),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k,
-                  count(*) OVER (PARTITION BY churn) AS n, count(*) OVER () AS total FROM keyed)
-SELECT customer_id, churn FROM ranked
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY h) AS k,
+                  count(*) OVER (PARTITION BY lapsed) AS n, count(*) OVER () AS total FROM keyed)
+SELECT customer_id, lapsed FROM ranked
 WHERE k <= CASE WHEN total <= 1000 THEN n ELSE greatest(1, round(n * 1000 / total)) END""")
 def stratified_row_cap(spark, sf):
     """The optional sampling operator in front of the SVM fit."""
@@ -260,22 +260,22 @@ def stratified_row_cap(spark, sf):
 
 @query("T12", f"""
 WITH keyed AS (
-  SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn,
+  SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed,
          {Q.stable_hash('c_custkey', 'fold42')} AS h FROM customer),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k,
-                  count(*) OVER (PARTITION BY churn) AS n FROM keyed)
-SELECT customer_id, churn, (k > n * 1 // 3)::INT + (k > n * 2 // 3)::INT AS fold FROM ranked""")
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY h) AS k,
+                  count(*) OVER (PARTITION BY lapsed) AS n FROM keyed)
+SELECT customer_id, lapsed, (k > n * 1 // 3)::INT + (k > n * 2 // 3)::INT AS fold FROM ranked""")
 def stratified_folds(spark, sf):
     return splits.with_folds(_native(spark, sf)[1], 3)
 
 
 @query("L11", f"""
-WITH c AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn,
+WITH c AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed,
                   epoch_us(TIMESTAMP '2019-01-31' - to_days(30 * c_nationkey)) AS t,
                   abs(c_acctbal) AS value FROM customer),
 pts AS (SELECT 'train' AS point, round(quantile_cont(t, 0.7))::BIGINT AS s FROM c
         UNION ALL SELECT 'test', max(t) FROM c)
-SELECT point, customer_id, any_value(churn) AS churn, 1.0::DOUBLE AS total_orders,
+SELECT point, customer_id, any_value(lapsed) AS lapsed, 1.0::DOUBLE AS total_orders,
        round(sum(value), 4) AS total_spent,
        floor((any_value(s) - max(t)) / {Q.DAY}.0)::DOUBLE AS days_since_last_purchase
 FROM c, pts WHERE t < s GROUP BY point, customer_id""")
@@ -290,7 +290,7 @@ def native_snapshot_table(spark, sf):
         events, _native(spark, sf)[1], groups=["purchase", "monetary", "inactivity"])
     both = data.train.withColumn(POINT, F.lit("train")).unionByName(
         data.test.withColumn(POINT, F.lit("test")))
-    return both.select(POINT, "customer_id", "churn", "total_orders",
+    return both.select(POINT, "customer_id", "lapsed", "total_orders",
                        F.round("total_spent", 4).alias("total_spent"), "days_since_last_purchase")
 
 
@@ -317,10 +317,10 @@ pts AS (
   UNION ALL SELECT 180, train_us, 'train' FROM c180 UNION ALL SELECT 180, test_us, 'test' FROM c180
   UNION ALL SELECT 270, train_us, 'train' FROM c270 UNION ALL SELECT 270, test_us, 'test' FROM c270),
 lab AS (
-  SELECT w, side, customer_id, CASE WHEN bool_or(t > s AND t <= s + w * {Q.DAY}) THEN 0 ELSE 1 END AS churn
+  SELECT w, side, customer_id, CASE WHEN bool_or(t > s AND t <= s + w * {Q.DAY}) THEN 0 ELSE 1 END AS lapsed
   FROM market, pts GROUP BY w, side, customer_id HAVING min(t) < any_value(s))
-SELECT w || ':' || side AS point, count(*) AS n_total, count(*) FILTER (WHERE churn = 1) AS n_pos,
-       round(avg(churn), 4) AS churn_rate FROM lab GROUP BY w, side""")
+SELECT w || ':' || side AS point, count(*) AS n_total, count(*) FILTER (WHERE lapsed = 1) AS n_pos,
+       round(avg(lapsed), 4) AS lapse_rate FROM lab GROUP BY w, side""")
 def window_label_rates(spark, sf):
     """Label rates of three windows and both cohorts from one aggregate over the events."""
     events = _market(spark, sf)
@@ -329,7 +329,7 @@ def window_label_rates(spark, sf):
         points.append(L.LabelPoint(f"{cut.window_days}:train", cut.train, cut.window_days))
         points.append(L.LabelPoint(f"{cut.window_days}:test", cut.test, cut.window_days))
     summary = L.label_summary(L.labels_at(events, points), ["point"])
-    return summary.select("point", "n_total", "n_pos", F.round("churn_rate", 4).alias("churn_rate"))
+    return summary.select("point", "n_total", "n_pos", F.round("lapse_rate", 4).alias("lapse_rate"))
 
 
 @query("W1 V2", f"""

@@ -33,10 +33,10 @@ FEW = ModelSettings(
 SHORT = Settings(models=FEW, ablation_trees=5, ablation_folds=2, bootstrap_replicates=50)
 
 _SUBSCRIBERS = f"""
-s AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS churn,
+s AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed,
              {Q.stable_hash('c_custkey', 'native42')} AS h FROM customer),
-r AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS k, count(*) OVER (PARTITION BY churn) AS n FROM s),
-split AS (SELECT customer_id, churn, k <= round((1 - 0.7::DOUBLE) * n) AS held FROM r)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY h) AS k, count(*) OVER (PARTITION BY lapsed) AS n FROM s),
+split AS (SELECT customer_id, lapsed, k <= round((1 - 0.7::DOUBLE) * n) AS held FROM r)"""
 
 
 def _subscribers(spark, sf):
@@ -56,10 +56,10 @@ def _shared_folder(spark) -> str:
 
 @query("M8 M9 M6", f"""
 WITH {_SUBSCRIBERS.strip()},
-base AS (SELECT avg(churn) AS rate, (sum(churn) > count(*) - sum(churn))::INT AS top FROM split WHERE NOT held)
-SELECT 'majority_class' AS model, customer_id, churn AS y, NULL::DOUBLE AS p, top AS yhat FROM split, base WHERE held
+base AS (SELECT avg(lapsed) AS rate, (sum(lapsed) > count(*) - sum(lapsed))::INT AS top FROM split WHERE NOT held)
+SELECT 'majority_class' AS model, customer_id, lapsed AS y, NULL::DOUBLE AS p, top AS yhat FROM split, base WHERE held
 UNION ALL
-SELECT 'random_baseline', customer_id, churn, rate,
+SELECT 'random_baseline', customer_id, lapsed, rate,
        (({Q.stable_hash('customer_id', 'baseline42')}) / {float(16**15)!r}::DOUBLE < rate)::INT
 FROM split, base WHERE held""")
 def baseline_predictions(spark, sf):
@@ -85,13 +85,13 @@ def top_importances(spark, sf):
 
 @query("M7 M6 V10", f"""
 WITH {_SUBSCRIBERS.strip()},
-c AS (SELECT churn, count(*) AS n FROM split WHERE NOT held GROUP BY 1)
-SELECT churn, false AS synthetic, n AS rows FROM c
-UNION ALL SELECT churn, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
+c AS (SELECT lapsed, count(*) AS n FROM split WHERE NOT held GROUP BY 1)
+SELECT lapsed, false AS synthetic, n AS rows FROM c
+UNION ALL SELECT lapsed, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
 def oversampled_class_counts(spark, sf):
     data = _subscribers(spark, sf)
     made = OS.oversample(data.train)
-    return made.groupBy("churn", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
+    return made.groupBy("lapsed", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("M7")
@@ -118,7 +118,7 @@ def best_model_row(spark, sf):
 @query("T6 T7 A10")
 def customer_segments(spark, sf):
     data = _orders(spark, sf)
-    found = SG.segment_customers(data.train.drop("churn"))
+    found = SG.segment_customers(data.train.drop("lapsed"))
     return P.segment_centroids(found.rows)
 
 
@@ -222,7 +222,7 @@ def score_trend(spark, sf):
     """Last minus first score over windows, on yearly top prices."""
     table = D.table(spark, sf, "orders").groupBy(
         F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("model"),
-        F.year("o_orderdate").alias("churn_window_days"),
+        F.year("o_orderdate").alias("window_days"),
     ).agg(F.max("o_totalprice").alias("roc_auc"))
     trend = compare.auc_trend(table)
     return trend.withColumns({c: F.round(c, 2) for c in ("first_auc", "last_auc", "trend")})

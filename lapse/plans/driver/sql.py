@@ -51,7 +51,7 @@ def labels(source: str, window: float, pts: str = "points", name: str = "labelle
     return f"""
 {name} AS (
   SELECT point, customer_id,
-         CASE WHEN bool_or(t > s AND t <= s + {w}) THEN 0 ELSE 1 END AS churn
+         CASE WHEN bool_or(t > s AND t <= s + {w}) THEN 0 ELSE 1 END AS lapsed
   FROM {source} CROSS JOIN {pts} WHERE customer_id IS NOT NULL
   GROUP BY point, customer_id HAVING min(t) < any_value(s))"""
 

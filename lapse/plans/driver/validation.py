@@ -51,10 +51,10 @@ vals AS (
   SELECT 'n_customers' AS "check", count(DISTINCT customer_id)::DOUBLE AS value FROM click
   UNION ALL SELECT 'n_events', count(*) FROM click
   UNION ALL SELECT 'time_span_days', floor((max(t) - min(t)) / {Q.DAY}.0) FROM click
-  UNION ALL SELECT 'churn_rate', avg(churn) FROM l
-  UNION ALL SELECT 'n_churned', sum(churn) FROM l
-  UNION ALL SELECT 'n_retained', count(*) - sum(churn) FROM l
-  UNION ALL SELECT 'imbalance_ratio', (count(*) - sum(churn)) / sum(churn) FROM l
+  UNION ALL SELECT 'lapse_rate', avg(lapsed) FROM l
+  UNION ALL SELECT 'n_lapsed', sum(lapsed) FROM l
+  UNION ALL SELECT 'n_retained', count(*) - sum(lapsed) FROM l
+  UNION ALL SELECT 'imbalance_ratio', (count(*) - sum(lapsed)) / sum(lapsed) FROM l
   UNION ALL SELECT 'avg_orders_per_customer', round(avg(n), 2) FROM o
   UNION ALL SELECT 'median_orders_per_customer', median(n) FROM o
   UNION ALL SELECT 'repeat_purchase_ratio', avg((n > 1)::INT) FROM o
@@ -62,7 +62,7 @@ vals AS (
   UNION ALL SELECT 'mean_interpurchase_days', round(avg(d), 1) FROM g WHERE d IS NOT NULL)
 SELECT "check", value, CASE
   WHEN "check" = 'n_customers' AND value < 100 THEN 'warning'
-  WHEN "check" = 'churn_rate' AND value > 0.99 THEN 'critical'
+  WHEN "check" = 'lapse_rate' AND value > 0.99 THEN 'critical'
   WHEN "check" = 'imbalance_ratio' AND value > 100 THEN 'warning'
   WHEN "check" = 'avg_orders_per_customer' AND value < 1.05 THEN 'warning'
   WHEN "check" = 'repeat_purchase_ratio' AND value < 0.01 THEN 'warning' ELSE 'ok' END AS level FROM vals""")
@@ -115,7 +115,7 @@ def _master(spark, sf):
         F.concat(F.lit("m"), "k").alias("model"), value.alias("roc_auc"), value.alias("pr_auc"),
         F.col("rate").alias("f1"), F.col("rate").alias("precision"), F.col("rate").alias("recall"),
         F.col("rate").alias("brier_score"), (F.col("rate") * 3).alias("calibration_error"),
-        F.col("rate").alias("churn_rate"), F.lit(1.0).alias("imbalance_ratio"),
+        F.col("rate").alias("lapse_rate"), F.lit(1.0).alias("imbalance_ratio"),
         F.lit("purchase").alias("dominant_feature_group"))
 
 
@@ -131,7 +131,7 @@ WITH {_MASTER.strip()}
 SELECT dataset, 'auc_too_high' AS flag, round(auc, 9) AS value FROM d WHERE auc > 0.98
 UNION ALL SELECT dataset, 'auc_too_low', round(auc, 9) FROM d WHERE auc < 0.45
 UNION ALL SELECT dataset, 'poor_calibration', round(ece, 9) FROM d WHERE ece > 0.25
-UNION ALL SELECT dataset, 'extreme_churn_rate', round(rate, 9) FROM d WHERE rate > 0.99""")
+UNION ALL SELECT dataset, 'extreme_lapse_rate', round(rate, 9) FROM d WHERE rate > 0.99""")
 def cross_dataset_flags(spark, sf):
     flags = V.cross_dataset_report(_master(spark, sf))
     return flags.withColumn("value", F.round("value", 9))
@@ -172,8 +172,8 @@ def upserted_master(spark, sf):
 @query("V6 V7", """
 SELECT * FROM (VALUES ('raw_users', 'PASS'), ('train_users', 'PASS'), ('test_users', 'PASS'),
  ('excluded_users', 'PASS'), ('train_cutoff', 'PASS'), ('test_snapshot', 'PASS'), ('train_events', 'PASS'),
- ('test_events', 'PASS'), ('train_label_events', 'PASS'), ('test_label_events', 'PASS'), ('churn_train', 'PASS'),
- ('churn_test', 'PASS'), ('zero_user_overlap', 'PASS'), ('feature_matrices', 'PASS')) AS t("check", status)
+ ('test_events', 'PASS'), ('train_label_events', 'PASS'), ('test_label_events', 'PASS'), ('lapse_train', 'PASS'),
+ ('lapse_test', 'PASS'), ('zero_user_overlap', 'PASS'), ('feature_matrices', 'PASS')) AS t("check", status)
 WHERE (SELECT count(DISTINCT l_orderkey) FROM lineitem) > 0""")
 def cohort_gate(spark, sf):
     report = gates.cohort_gate(D.shipment_events(spark, sf), "star_shipments", 180, ["purchase"])
@@ -185,11 +185,11 @@ WITH {Q.CLICK.strip()}, {Q.cutoffs('click', 1).strip()}
 SELECT 'data_span' AS "check", 'PASS' AS status FROM cut
 UNION ALL SELECT 'train_label_window_observed', CASE WHEN last_us >= train_us + {Q.DAY} THEN 'PASS' ELSE 'FAIL' END FROM cut
 UNION ALL SELECT 'test_label_window_observed', CASE WHEN last_us >= test_us + {Q.DAY} THEN 'PASS' ELSE 'FAIL' END FROM cut
-UNION ALL SELECT 'churn_window', 'FAIL' FROM cut
+UNION ALL SELECT 'label_window', 'FAIL' FROM cut
 UNION ALL SELECT 'event_type_coverage', CASE WHEN (SELECT count(DISTINCT kind) FROM click
   WHERE kind IN ('view', 'cart_add', 'purchase')) = 3 THEN 'PASS' ELSE 'FAIL' END FROM cut
 UNION ALL SELECT 'native_label_columns_absent', 'PASS' FROM cut
-UNION ALL SELECT 'uses_native_churn_label', 'PASS' FROM cut""")
+UNION ALL SELECT 'uses_native_label', 'PASS' FROM cut""")
 def temporal_gate(spark, sf):
     """The one-day window of this stream is not the expected 90 days, so that check fails."""
     report = gates.temporal_gate(D.click_events(spark, sf), "star_clicks", 1)

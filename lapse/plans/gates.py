@@ -22,6 +22,7 @@ from lapse.sources.registry import expected_inputs, get_dataset
 
 SCHEMA = "stage string, dataset string, check string, status string, details string"
 EXPECTED_EVENT_TYPES = ("view", "cart_add", "purchase")
+# Label columns that sources ship.
 NATIVE_LABEL_NAMES = ("target_event", "churn", "target", "customer_churn")
 DEFAULT_TARGETS = ("olist", "retailrocket", "credit_card", "telco")
 
@@ -55,8 +56,8 @@ def cohort_gate(
         ("test_events", True, f"{r['test_events']} before the snapshot"),
         ("train_label_events", True, f"{r['train_label_events']} inside the window"),
         ("test_label_events", True, f"{r['test_label_events']} inside the window"),
-        ("churn_train", inside(r["churn_train"]), percent(r["churn_train"])),
-        ("churn_test", inside(r["churn_test"]), percent(r["churn_test"])),
+        ("lapse_train", inside(r["lapse_train"]), percent(r["lapse_train"])),
+        ("lapse_test", inside(r["lapse_test"]), percent(r["lapse_test"])),
     ]
     table = A.disjoint_table(events, cohorts, groups).persist()
     try:
@@ -117,10 +118,10 @@ def temporal_gate(
         ("data_span", (span or 0) > 0, f"{span} days"),
         ("train_label_window_observed", observed(cut.train), f"cutoff {cut.train:%Y-%m-%d} + {window} d"),
         ("test_label_window_observed", observed(cut.test), f"cutoff {cut.test:%Y-%m-%d} + {window} d"),
-        ("churn_window", window == expected_window, f"configured {window} days"),
+        ("label_window", window == expected_window, f"configured {window} days"),
         ("event_type_coverage", not missing, f"missing {missing or 'none'}"),
         ("native_label_columns_absent", not leaked, f"leaked {leaked or 'none'}"),
-        ("uses_native_churn_label", not native_label, f"{native_label}"),
+        ("uses_native_label", not native_label, f"{native_label}"),
     ])
 
 

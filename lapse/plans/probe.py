@@ -78,8 +78,8 @@ def sanity_probe(
         "test_cutoff": f"{cut.test:%Y-%m-%d %H:%M:%S}",
         "train_label_window_observed": cut.last_event >= points[0].end,
         "test_label_window_observed": cut.last_event >= points[1].end,
-        "churn_rate_train": rate("train", "churn_rate"),
-        "churn_rate_test": rate("test", "churn_rate"),
+        "lapse_rate_train": rate("train", "lapse_rate"),
+        "lapse_rate_test": rate("test", "lapse_rate"),
         "n_train_customers": rate("train", "n_total"),
         "n_test_customers": rate("test", "n_total"),
         "sample_rows_train": train.count(), "sample_rows_test": test.count(),
@@ -96,7 +96,7 @@ def sanity_probe(
         "event_type_counts_raw map<string,bigint>, event_type_counts_mapped map<string,bigint>, "
         "first_event string, last_event string, span_days bigint, train_cutoff string, "
         "test_cutoff string, train_label_window_observed boolean, "
-        "test_label_window_observed boolean, churn_rate_train double, churn_rate_test double, "
+        "test_label_window_observed boolean, lapse_rate_train double, lapse_rate_test double, "
         "n_train_customers bigint, n_test_customers bigint, sample_rows_train bigint, "
         "sample_rows_test bigint, feature_columns array<string>, validity_checks array<string>, "
         "extreme_rate boolean, duration_sec double"

@@ -23,7 +23,7 @@ from lapse.sources.registry import get_dataset, list_datasets
 
 log = logging.getLogger("lapse")
 STATUS = (
-    "phase string, dataset string, status string, best_model string, churn_rate double, "
+    "phase string, dataset string, status string, best_model string, lapse_rate double, "
     "imbalance double, seconds double, message string"
 )
 MODES = ("original", "smote")
@@ -33,7 +33,7 @@ def _status(mode: str, name: str, result: RunResult | None, seconds: float, mess
     if result is None:
         return (mode, name, "SKIP" if message is None else "FAILED", None, None, None,
                 float(seconds), message)
-    return (mode, name, "OK", result.best_model, round(result.churn_rate, 4),
+    return (mode, name, "OK", result.best_model, round(result.lapse_rate, 4),
             round(float(result.imbalance_ratio), 2), float(result.seconds), None)
 
 
@@ -168,7 +168,7 @@ def probed_run(
     K.save_json(report, f"{output.rstrip('/')}/results/{name}/preflight/sanity_probe")
     row = probe.require_observed(report).first()
     if row["extreme_rate"]:
-        log.warning("%s: extreme churn rate, review the label window", name)
+        log.warning("%s: extreme lapse rate, review the label window", name)
     status, _ = run_many(
         spark, {name: root}, output, [name], MODES, resume=True, settings=settings, **options)
     return status

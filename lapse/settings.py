@@ -94,7 +94,7 @@ ABLATION_GROUPS_KEPT = {
     "retailrocket": ("purchase", "monetary", "inactivity", "engagement", "cadence"),
 }
 
-# Churn windows tried by the sensitivity study, in days.
+# Label windows tried by the sensitivity study, in days.
 SENSITIVITY_WINDOWS = {
     "olist": (90, 180, 270),
     "rees46": (90, 180, 270),
@@ -105,7 +105,7 @@ SENSITIVITY_WINDOWS = {
 
 # Warning limits of the validation layers.
 THRESHOLDS = {
-    "max_churn_rate": 0.99,
+    "max_lapse_rate": 0.99,
     "min_orders_per_customer": 1.05,
     "max_imbalance_ratio": 100.0,
     "min_repeat_purchase_ratio": 0.01,
@@ -118,9 +118,9 @@ THRESHOLDS = {
 # Columns of the cross-dataset results table.
 MASTER_COLUMNS = (
     "dataset", "ecosystem_type", "model", "roc_auc", "pr_auc", "f1", "precision", "recall",
-    "brier_score", "calibration_error", "churn_rate", "imbalance_ratio", "dominant_feature_group",
+    "brier_score", "calibration_error", "lapse_rate", "imbalance_ratio", "dominant_feature_group",
 )
-CRITICAL_METRICS = ("roc_auc", "f1", "churn_rate")
+CRITICAL_METRICS = ("roc_auc", "f1", "lapse_rate")
 
 # Time bounds of the marketplace source.
 TIME_MIN = "2016-01-01"

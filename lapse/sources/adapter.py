@@ -65,7 +65,7 @@ class Adapter:
         return self.window_days or settings.window_days
 
     def native_labels(self, events: DataFrame) -> DataFrame:
-        raise NotImplementedError(f"{self.name} ships no churn label")
+        raise NotImplementedError(f"{self.name} ships no label")
 
     def predictors(self, events: DataFrame) -> DataFrame:
         raise NotImplementedError(f"{self.name} ships no native predictors")
@@ -108,8 +108,8 @@ class Adapter:
         return spark.createDataFrame(
             [row],
             "dataset_name string, ecosystem_type string, citation string, source_url string, "
-            "approximate_size string, churn_window_days int, churn_justification string, "
-            "uses_native_churn_label boolean, available_feature_groups array<string>",
+            "approximate_size string, window_days int, window_justification string, "
+            "uses_native_label boolean, available_feature_groups array<string>",
         )
 
 

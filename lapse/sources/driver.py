@@ -147,11 +147,11 @@ def numbered_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def subscribers(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with a native label: a negative balance means churned."""
+    """Customers with a native label: a negative balance means lapsed."""
     customers = table(spark, folder, "customer")
     return customers.select(
         F.col("c_custkey").alias("customer_id"),
-        F.when(F.col("c_acctbal") < 0, "Yes").otherwise("No").alias("Churn"),
+        F.when(F.col("c_acctbal") < 0, "Yes").otherwise("No").alias("Lapsed"),
         F.col("c_mktsegment").alias("segment"),
         F.col("c_nationkey").alias("nation"),
         F.length("c_name").alias("name_length"),

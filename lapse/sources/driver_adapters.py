@@ -62,7 +62,7 @@ class StarSubscribers(Adapter):
         return D.subscribers(spark, root)
 
     def clean(self, raw):
-        labelled = raw.withColumn("churn", K.label_from_text("Churn", "Yes"))
+        labelled = raw.withColumn("lapsed", K.label_from_text("Lapsed", "Yes"))
         return K.one_hot(labelled, "segment")
 
     def standard(self, clean):
@@ -72,7 +72,7 @@ class StarSubscribers(Adapter):
         return L.native_labels(events)
 
     def predictors(self, events):
-        return K.numeric_predictors(events, CUSTOMER, exclude=["churn", "event_time"])
+        return K.numeric_predictors(events, CUSTOMER, exclude=["lapsed", "event_time"])
 
 
 STAR_ORDERS = StarOrders(

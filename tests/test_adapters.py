@@ -141,7 +141,7 @@ def test_instacart_timeline_ignores_basket_size(spark, root):
     assert rows[0]["aisle"] == "fruit" and rows[0]["department"] == "food"
     labels = R.cadence_labels(events).collect()
     # first 2 of 4 orders: gap 10 (zero dropped); later mean 17 > 15
-    assert [(r["churn"], r["last_observed"]) for r in labels] == [(1, 2)]
+    assert [(r["lapsed"], r["last_observed"]) for r in labels] == [(1, 2)]
 
 
 def test_telco(spark, root):
@@ -157,7 +157,7 @@ def test_telco(spark, root):
     assert [got[k]["gender_encoded"] for k in "abd"] == [1, 0, -1]
     assert got["a"]["Contract_One year"] == 1.0 and got["d"]["Contract_One year"] == 0.0
     assert (datetime(2019, 1, 31) - got["a"]["event_time"]).days == 60
-    labels = {r["customer_id"]: r["churn"] for r in adapter.native_labels(events).collect()}
+    labels = {r["customer_id"]: r["lapsed"] for r in adapter.native_labels(events).collect()}
     assert labels == {"a": 1, "b": 0, "d": 0}
     names = adapter.predictors(events).columns
     assert "Churn" not in names and {"engagement_signal", "SeniorCitizen", "Contract_Two year"} <= set(names)
@@ -171,7 +171,7 @@ def test_credit_card(spark, root):
     events = adapter.events(spark, str(root))
     assert "x1" not in events.columns and "x2" not in events.columns
     got = by(events)
-    assert (got[1]["churn"], got[2]["churn"]) == (1, 0) and got[1]["Gender"] == 1
+    assert (got[1]["lapsed"], got[2]["lapsed"]) == (1, 0) and got[1]["Gender"] == 1
     assert got[1]["transaction_value"] == 100.0
     assert adapter.predictors(events).columns == [
         "customer_id", "Total_Trans_Amt", "Credit_Limit", "Gender",
@@ -202,7 +202,7 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         REG.get_dataset("nothing")
     table = REG.catalogue(spark).collect()
-    windows = {r["dataset_name"]: r["churn_window_days"] for r in table}
+    windows = {r["dataset_name"]: r["window_days"] for r in table}
     assert windows["rees46"] == 90 and windows["telco"] is None and len(table) == 8
 
 

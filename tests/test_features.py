@@ -107,8 +107,8 @@ def test_missing_columns_switch_groups_off(events):
 
 
 def test_labels_by_hand(events):
-    got = {r["customer_id"]: r["churn"] for r in L.inactivity_labels(events, at(4), 6).collect()}
+    got = {r["customer_id"]: r["lapsed"] for r in L.inactivity_labels(events, at(4), 6).collect()}
     # a returns on days 5 and 10 (the end is inclusive); the event on day 4 itself is in neither side
     assert got == {"a": 0, "b": 1, "c": 1}
-    got = {r["customer_id"]: r["churn"] for r in L.inactivity_labels(events, at(5), 4).collect()}
+    got = {r["customer_id"]: r["lapsed"] for r in L.inactivity_labels(events, at(5), 4).collect()}
     assert got["a"] == 1

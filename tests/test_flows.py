@@ -88,7 +88,7 @@ def test_disjoint_cohort_properties(spark, sf_dir):
     assert row["train_share"] + row["test_share"] + row["excluded_share"] == pytest.approx(1.0)
     with pytest.raises(ValueError, match="too small"):
         L.check_cohorts(spark.createDataFrame(
-            [(1, 1, 0, 0.5, 0.5)], "n_train int, n_test int, n_shared int, churn_train double, churn_test double"))
+            [(1, 1, 0, 0.5, 0.5)], "n_train int, n_test int, n_shared int, lapse_train double, lapse_test double"))
 
 
 def test_gates(spark, sf_dir, tmp_path):

@@ -114,12 +114,12 @@ def test_risk_percentiles(pred, data):
 @pytest.mark.parametrize("limit", [10**6, 20])
 def test_rank_test_against_brute_force(spark, data, limit):
     y, p = data
-    m = spark.createDataFrame(pd.DataFrame({"customer_id": range(len(y)), "churn": y, "f": p, "g": -p}))
+    m = spark.createDataFrame(pd.DataFrame({"customer_id": range(len(y)), "lapsed": y, "f": p, "g": -p}))
     out = {r["feature"]: r for r in G.feature_tests(m, row_limit=limit).collect()}
     auc = brute_auc(y, p)
     assert out["f"]["cliffs_delta"] == pytest.approx(2 * auc - 1)
     assert out["g"]["cliffs_delta"] == pytest.approx(1 - 2 * auc)
-    assert out["f"]["median_churned"] == pytest.approx(np.median(p[y == 1]))
+    assert out["f"]["median_lapsed"] == pytest.approx(np.median(p[y == 1]))
     assert out["f"]["median_retained"] == pytest.approx(np.median(p[y == 0]))
     n1, n0 = y.sum(), (1 - y).sum()
     n = n1 + n0

@@ -27,7 +27,7 @@ def matrix(spark):
     n = 300
     y = (rng.random(n) < 0.25).astype(int)
     pdf = pd.DataFrame({
-        "customer_id": range(n), "churn": y,
+        "customer_id": range(n), "lapsed": y,
         "total_orders": rng.poisson(4 - 2 * y) * 1.0,
         "total_spent": rng.normal(100 - 40 * y, 30),
         "days_since_last_purchase": rng.normal(20 + 30 * y, 15),
@@ -36,14 +36,28 @@ def matrix(spark):
     return spark.createDataFrame(pdf).cache()
 
 
-def test_neighbours_match_brute_force():
+def test_nearest_matches_brute_force():
     rng = np.random.default_rng(0)
     x = rng.random((60, 3))
-    got = OS.nearest(x, 5)
+    got = OS.nearest(x, x, np.ones(60, dtype=int), 5, True)
     for i in range(60):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
-        assert set(got[i]) == set(np.argsort(d)[:5])
+        assert [row for _, row in got[i]] == x[np.argsort(d)[:5]].tolist()
+
+
+@pytest.mark.parametrize("cell_rows", [1_000, 37, 5])
+def test_neighbours_do_not_depend_on_cells(spark, cell_rows):
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(150, 3)), np.repeat([[0.5, 0.5, 0.5]], 30, axis=0),
+                   np.repeat([[2.0, 2.0, 2.0]], 3, axis=0)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]))
+    found = OS.neighbours(df, ["a", "b", "c"], 5, cell_rows, row_limit=60).collect()
+    assert sum(r["_n"] for r in found) == len(x)
+    for r in found:
+        gaps = sorted(((x - np.array(r["_x"])) ** 2).sum(1))[1:6]
+        assert np.allclose([n["gap"] for n in r["_near"]], gaps)
+        assert np.allclose([((np.array(n["x"]) - r["_x"]) ** 2).sum() for n in r["_near"]], gaps)
 
 
 @pytest.mark.parametrize("cell_rows", [10_000, 20])
@@ -51,7 +65,7 @@ def test_oversample_balances_between_neighbours(matrix, cell_rows):
     out = OS.oversample(matrix, cell_rows=cell_rows)
     counts = OS.class_counts(out)
     assert counts[0] == counts[1]
-    real = matrix.where("churn = 1").toPandas()
+    real = matrix.where("lapsed = 1").toPandas()
     made = out.where("synthetic").toPandas()
     names = ["total_orders", "total_spent", "days_since_last_purchase", "noise"]
     lo, hi = real[names].min(), real[names].max()
@@ -67,9 +81,10 @@ def test_oversample_balances_between_neighbours(matrix, cell_rows):
     assert bad["status"] == "FAIL"
 
 
-def test_cells_stay_small_with_repeated_rows(spark):
-    pdf = pd.DataFrame({"f": [1.0] * 700 + list(np.linspace(2, 3, 300)), "k": range(1000)})
-    cells = OS.with_cells(spark.createDataFrame(pdf), ["f"], 1000, 50, "k", row_limit=60)
+def test_cells_stay_small_with_tied_values(spark):
+    pdf = pd.DataFrame({"f": [1.0] * 700 + list(np.linspace(2, 3, 300)), "k": np.arange(1000) / 1e6})
+    vectors = spark.createDataFrame(pdf).selectExpr("array(f, k) AS _x")
+    cells = OS.with_cells(vectors, ["f", "k"], 1000, 50, row_limit=60)
     sizes = cells.groupBy("_cell").count().toPandas()["count"]
     assert sizes.max() <= 50 and sizes.sum() == 1000
 
@@ -83,8 +98,8 @@ def test_splits_are_exact_and_stable(matrix):
     other = SP.stratified_split(matrix.repartition(5), share=0.3)[1]
     assert {r[0] for r in taken.select("customer_id").collect()} == {
         r[0] for r in other.select("customer_id").collect()}
-    folds = SP.with_folds(matrix, 3).groupBy("fold", "churn").count().toPandas()
-    assert folds.groupby("churn")["count"].agg(lambda c: c.max() - c.min()).max() <= 1
+    folds = SP.with_folds(matrix, 3).groupBy("fold", "lapsed").count().toPandas()
+    assert folds.groupby("lapsed")["count"].agg(lambda c: c.max() - c.min()).max() <= 1
 
 
 @pytest.fixture(scope="module")
@@ -180,9 +195,9 @@ def test_ablation_groups_and_scores(matrix, spark):
 
 
 def test_segments(matrix):
-    found = SG.segment_customers(matrix.drop("churn"), 3)
+    found = SG.segment_customers(matrix.drop("lapsed"), 3)
     pdf = found.rows.toPandas()
     assert len(pdf) == 300 and pdf["segment"].nunique() == 3
     assert abs(pdf["pca_x"].mean()) < 1e-6 and -1 <= found.silhouette <= 1
-    lone = SG.segment_customers(matrix.drop("churn").limit(1))
+    lone = SG.segment_customers(matrix.drop("lapsed").limit(1))
     assert lone.rows.first()["segment"] == 0

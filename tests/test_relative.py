@@ -49,14 +49,14 @@ def test_listening_against_pandas(stream):
         days = lambda f: max(1, (f.event_time.max() - f.event_time.min()).days + 1)
         row = got[who]
         assert row["total_listens"] == cut and row["unique_tracks"] == early.track_name.nunique()
-        assert row["churn"] == int(len(late) / days(late) < 0.5 * cut / days(early))
+        assert row["lapsed"] == int(len(late) / days(late) < 0.5 * cut / days(early))
         gap = early.event_time.diff().dt.total_seconds().max() / 86400
         assert row["max_gap_between_sessions"] == pytest.approx(gap)
 
 
 def test_cadence_against_pandas(stream):
     pdf, df = stream
-    got = {r["customer_id"]: r["churn"] for r in R.cadence_labels(df).collect()}
+    got = {r["customer_id"]: r["lapsed"] for r in R.cadence_labels(df).collect()}
     for who, mine in pdf.groupby("customer_id"):
         gaps = mine.sort_values("order_number").days_since_prior_order.replace(0, np.nan)
         cut = max(1, int(len(mine) * 0.7))
