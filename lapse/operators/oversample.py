@@ -82,6 +82,8 @@ def with_cells(
     widest = max(range(len(features)), key=lambda i: (spread[i] or 0.0, -i))
     placed = vectors.withColumn("_along", F.col("_x")[widest])
     cells = max(1, -(-size // cell_rows))
+    if cells == 1:
+        return placed.withColumn("_cell", F.lit(0).cast("long"))
     key = F.xxhash64("_x")
     groups = O.slice_groups(
         placed.withColumn("_h", key), [], "_along", ["_h"], row_limit=row_limit, spread_ties=F.col("_h")
@@ -130,8 +132,9 @@ def neighbours(
     point = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     vectors = materialise(minority.groupBy(point.alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
     size = vectors.count()
-    celled = materialise(with_cells(vectors, features, size, cell_rows, row_limit))
     cells = max(1, -(-size // cell_rows))
+    celled = with_cells(vectors, features, size, cell_rows, row_limit)
+    celled = materialise(celled) if cells > 1 else celled
     ranges = celled.groupBy("_cell").agg(F.min("_along").alias("_low"), F.max("_along").alias("_high"))
     own = celled.select(F.col("_cell").alias("_to"), F.lit(0).alias("_off"), "_x")
     found = _searched(own, celled, k)

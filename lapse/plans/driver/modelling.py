@@ -30,7 +30,7 @@ from lapse.sources import driver_adapters as DA
 FEW = ModelSettings(
     lr_max_iter=50, rf_trees=10, rf_depth=5, gbt_rounds=5, gbt_depth=3, boost2_rounds=5,
     svm_max_iter=10, svm_folds=2)
-SHORT = Settings(models=FEW, ablation_trees=5, ablation_folds=2, bootstrap_replicates=50)
+SHORT = Settings(models=FEW, ablation_trees=5)
 
 _SUBSCRIBERS = f"""
 s AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed,
@@ -94,6 +94,25 @@ def oversampled_class_counts(spark, sf):
     return made.groupBy("lapsed", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("M7", f"""
+WITH {_SUBSCRIBERS.strip()},
+v AS (SELECT s.customer_id, c_nationkey::DOUBLE AS n, length(c_name)::DOUBLE AS l, abs(c_acctbal) / 1000 AS b, c_mktsegment AS g
+      FROM split s JOIN customer ON c_custkey = s.customer_id WHERE lapsed = 1 AND NOT held),
+d AS (SELECT x.customer_id, (x.n - y.n) ** 2 + (x.l - y.l) ** 2 + (x.b - y.b) ** 2 + 2 * (x.g <> y.g)::INT AS d
+      FROM v x JOIN v y ON x.customer_id <> y.customer_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY d) AS k FROM d)
+SELECT customer_id, k::INT AS rank, round(sqrt(d), 6) AS distance FROM placed WHERE k <= 5""")
+def oversampled_neighbours(spark, sf):
+    """Distances of every row of the smaller class to its five nearest others."""
+    train = _subscribers(spark, sf).train
+    names = feature_columns(train)
+    rows = train.where("lapsed = 1")
+    point = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
+    near = OS.neighbours(rows, names).select("_x", F.posexplode("_near").alias("k", "to"))
+    return rows.select("customer_id", point.alias("_x")).join(near, "_x").select(
+        "customer_id", (F.col("k") + 1).alias("rank"), F.round(F.sqrt("to.gap"), 6).alias("distance"))
+
+
 @query("M7")
 def oversampled_rows(spark, sf):
     """The synthetic rows themselves; their geometry is checked in the tests."""
@@ -190,9 +209,9 @@ def _order_cut(spark, sf):
 @query("T12 T13")
 def ablation_scores(spark, sf):
     data = _subscribers(spark, sf)
-    train = data.train.withColumnsRenamed({"balance": "total_spent", "nation": "total_orders"})
     return AB.run_ablation(
-        train, "star_subscribers", folds=2, trees=5, models=["logistic_regression"], settings=FEW)
+        data.train, "star_subscribers", folds=3, trees=5, models=["logistic_regression"], settings=FEW,
+        declared=DA.SUBSCRIBER_GROUPS)
 
 
 @query("T13", """
@@ -233,7 +252,7 @@ def window_sensitivity(spark, sf):
     """Models per window on the order stream."""
     events = DA.STAR_ORDERS.events(spark, sf)
     return sensitivity.window_sensitivity(
-        DA.STAR_ORDERS, events, [90, 270], SHORT, models=["logistic_regression"])
+        DA.STAR_ORDERS, events, [90, 180, 270], SHORT, models=["logistic_regression"])
 
 
 @query("F1 F3 L12 V2 V3")

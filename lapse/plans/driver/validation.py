@@ -9,6 +9,7 @@ from lapse.operators import labels as L
 from lapse.operators import metrics as M
 from lapse.plans import gates, probe
 from lapse.plans.driver import sql as Q
+from lapse.plans.driver.labelling import COHORTS
 from lapse.plans.driver.registry import query
 from lapse.sources import driver as D
 from lapse.sources import driver_adapters as DA
@@ -169,48 +170,90 @@ def upserted_master(spark, sf):
     return K.read_table(spark, scope.master).select("dataset", "model", F.round("f1", 9).alias("f1"))
 
 
-@query("V6 V7", """
-SELECT * FROM (VALUES ('raw_users', 'PASS'), ('train_users', 'PASS'), ('test_users', 'PASS'),
- ('excluded_users', 'PASS'), ('train_cutoff', 'PASS'), ('test_snapshot', 'PASS'), ('train_events', 'PASS'),
- ('test_events', 'PASS'), ('train_label_events', 'PASS'), ('test_label_events', 'PASS'), ('lapse_train', 'PASS'),
- ('lapse_test', 'PASS'), ('zero_user_overlap', 'PASS'), ('feature_matrices', 'PASS')) AS t("check", status)
-WHERE (SELECT count(DISTINCT l_orderkey) FROM lineitem) > 0""")
+@query("V7", f"""
+WITH {COHORTS.strip()},
+r AS (SELECT count(*) AS n, count(*) FILTER (WHERE cohort = 'train') AS tr, count(*) FILTER (WHERE cohort = 'test') AS te,
+  count(*) FILTER (WHERE cohort = 'excluded') AS ex,
+  coalesce(sum(history_events) FILTER (WHERE cohort = 'train'), 0)::BIGINT AS tre,
+  coalesce(sum(history_events) FILTER (WHERE cohort = 'test'), 0)::BIGINT AS tee,
+  coalesce(sum(label_events) FILTER (WHERE cohort = 'train'), 0)::BIGINT AS trl,
+  coalesce(sum(label_events) FILTER (WHERE cohort = 'test'), 0)::BIGINT AS tel,
+  avg(lapsed) FILTER (WHERE cohort = 'train') AS trr, avg(lapsed) FILTER (WHERE cohort = 'test') AS ter,
+  any_value(c) AS c, any_value(b) AS b FROM cohorts),
+e AS (
+  SELECT 'raw_users' AS "check", true AS ok, n || ' users' AS details FROM r
+  UNION ALL SELECT 'train_users', true, printf('%d users (%.1f%%)', tr, 100 * (tr / n)) FROM r
+  UNION ALL SELECT 'test_users', true, printf('%d users (%.1f%%)', te, 100 * (te / n)) FROM r
+  UNION ALL SELECT 'excluded_users', true, printf('%d users (%.1f%%)', ex, 100 * (ex / n)) FROM r
+  UNION ALL SELECT 'train_cutoff', true, strftime(make_timestamp(c::BIGINT), '%Y-%m-%d %H:%M:%S') FROM r
+  UNION ALL SELECT 'test_snapshot', true, strftime(make_timestamp(b::BIGINT), '%Y-%m-%d %H:%M:%S') FROM r
+  UNION ALL SELECT 'train_events', true, tre || ' before the cutoff' FROM r
+  UNION ALL SELECT 'test_events', true, tee || ' before the snapshot' FROM r
+  UNION ALL SELECT 'train_label_events', true, trl || ' inside the window' FROM r
+  UNION ALL SELECT 'test_label_events', true, tel || ' inside the window' FROM r
+  UNION ALL SELECT 'lapse_train', trr > 0 AND trr < 1, coalesce(printf('%.2f%%', 100 * trr), 'none') FROM r
+  UNION ALL SELECT 'lapse_test', ter > 0 AND ter < 1, coalesce(printf('%.2f%%', 100 * ter), 'none') FROM r
+  UNION ALL SELECT 'zero_user_overlap', true, '0 shared users' FROM r
+  UNION ALL SELECT 'feature_matrices', tr >= 100 AND te >= 50 AND trr > 0 AND trr < 1 AND ter > 0 AND ter < 1,
+    printf('train (%d, 3), test (%d, 3)', tr, te) FROM r)
+SELECT "check", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, details FROM e""")
 def cohort_gate(spark, sf):
     report = gates.cohort_gate(D.shipment_events(spark, sf), "star_shipments", 180, ["purchase"])
-    return report.select("check", "status")
+    return report.select("check", "status", "details")
 
 
 @query("V9", f"""
-WITH {Q.CLICK.strip()}, {Q.cutoffs('click', 1).strip()}
-SELECT 'data_span' AS "check", 'PASS' AS status FROM cut
-UNION ALL SELECT 'train_label_window_observed', CASE WHEN last_us >= train_us + {Q.DAY} THEN 'PASS' ELSE 'FAIL' END FROM cut
-UNION ALL SELECT 'test_label_window_observed', CASE WHEN last_us >= test_us + {Q.DAY} THEN 'PASS' ELSE 'FAIL' END FROM cut
-UNION ALL SELECT 'label_window', 'FAIL' FROM cut
-UNION ALL SELECT 'event_type_coverage', CASE WHEN (SELECT count(DISTINCT kind) FROM click
-  WHERE kind IN ('view', 'cart_add', 'purchase')) = 3 THEN 'PASS' ELSE 'FAIL' END FROM cut
-UNION ALL SELECT 'native_label_columns_absent', 'PASS' FROM cut
-UNION ALL SELECT 'uses_native_label', 'PASS' FROM cut""")
+WITH {Q.CLICK.strip()}, {Q.cutoffs('click', 1).strip()},
+k AS (SELECT floor((max(t) - min(t)) / {Q.DAY}.0)::BIGINT AS span FROM click),
+m AS (SELECT string_agg(chr(39) || w || chr(39), ', ' ORDER BY w) AS missing
+  FROM (VALUES ('view'), ('cart_add'), ('purchase')) AS t(w) WHERE w NOT IN (SELECT kind FROM click)),
+e AS (
+  SELECT 'data_span' AS "check", span > 0 AS ok, span || ' days' AS details FROM k
+  UNION ALL SELECT 'train_label_window_observed', last_us >= train_us + {Q.DAY},
+    'cutoff ' || strftime(make_timestamp(train_us::BIGINT), '%Y-%m-%d') || ' + 1 d' FROM cut
+  UNION ALL SELECT 'test_label_window_observed', last_us >= test_us + {Q.DAY},
+    'cutoff ' || strftime(make_timestamp(test_us::BIGINT), '%Y-%m-%d') || ' + 1 d' FROM cut
+  UNION ALL SELECT 'label_window', false, 'configured 1 days' FROM cut
+  UNION ALL SELECT 'event_type_coverage', missing IS NULL,
+    'missing ' || coalesce('[' || missing || ']', 'none') FROM m
+  UNION ALL SELECT 'native_label_columns_absent', true, 'leaked none' FROM cut
+  UNION ALL SELECT 'uses_native_label', true, 'False' FROM cut)
+SELECT "check", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, details FROM e""")
 def temporal_gate(spark, sf):
     """The one-day window of this stream is not the expected 90 days, so that check fails."""
     report = gates.temporal_gate(D.click_events(spark, sf), "star_clicks", 1)
-    return report.select("check", "status")
+    return report.select("check", "status", "details")
 
 
 @query("V8", """
-SELECT * FROM (VALUES ('group:purchase', 'PASS'), ('group:monetary', 'PASS'), ('coverage', 'PASS'),
-  ('label_both_classes', 'PASS')) AS t("check", status) WHERE (SELECT count(*) FROM customer) > 0""")
+WITH k AS (SELECT count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_acctbal < 0) AS classes,
+  bool_or(c_acctbal < 0) AS lapsed FROM customer),
+e AS (
+  SELECT 'group:balance' AS "check", true AS ok, printf('1 of %d columns removed', segments + 3) AS details FROM k
+  UNION ALL SELECT 'group:name', true, printf('1 of %d columns removed', segments + 3) FROM k
+  UNION ALL SELECT 'group:segment', true, printf('%d of %d columns removed', segments, segments + 3) FROM k
+  UNION ALL SELECT 'coverage', true,
+    printf('%d/%d (%.1f%%)', segments + 2, segments + 3, 100.0 * (segments + 2) / (segments + 3)) FROM k
+  UNION ALL SELECT 'label_both_classes', classes = 2, 'classes ' || CASE WHEN classes = 2 THEN '[0, 1]'
+    WHEN lapsed THEN '[1]' ELSE '[0]' END FROM k)
+SELECT "check", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, details FROM e""")
 def ablation_gate(spark, sf):
     data = DA.STAR_SUBSCRIBERS.split(DA.STAR_SUBSCRIBERS.events(spark, sf))
-    train = data.train.withColumnsRenamed({"balance": "total_spent", "nation": "total_orders"})
-    return gates.ablation_gate(train, "star_subscribers").select("check", "status")
+    report = gates.ablation_gate(data.train, "star_subscribers", DA.SUBSCRIBER_GROUPS)
+    return report.select("check", "status", "details")
 
 
 @query("V10", """
-SELECT 'train_only_placement:' || fold AS "check", 'PASS' AS status
-FROM (VALUES ('train'), ('validation'), ('test')) AS t(fold) WHERE (SELECT count(*) FROM customer) > 0""")
+WITH c AS (SELECT c_acctbal < 0 AS y, count(*) AS n FROM customer GROUP BY 1),
+train AS (SELECT y, n - round((1 - 0.7::DOUBLE) * n)::BIGINT AS n FROM c),
+kept AS (SELECT y, n - floor(0.1::DOUBLE * n + 0.5)::BIGINT AS n FROM train)
+SELECT 'train_only_placement:train' AS "check", 'PASS' AS status, (max(n) - min(n)) || ' synthetic rows' AS details FROM kept
+UNION ALL SELECT 'train_only_placement:' || fold, 'PASS', '0 synthetic rows'
+FROM (VALUES ('validation'), ('test')) AS t(fold) WHERE EXISTS (SELECT 1 FROM customer)""")
 def smote_gate(spark, sf):
     data = DA.STAR_SUBSCRIBERS.split(DA.STAR_SUBSCRIBERS.events(spark, sf))
-    return gates.smote_gate("star_subscribers", data.train, data.test).select("check", "status")
+    report = gates.smote_gate("star_subscribers", data.train, data.test)
+    return report.select("check", "status", "details")
 
 
 @query("V11 A7")

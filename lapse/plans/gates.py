@@ -78,12 +78,14 @@ def cohort_gate(
     return _rows(spark, "uds", dataset, entries)
 
 
-def ablation_gate(train: DataFrame, dataset: str) -> DataFrame:
+def ablation_gate(
+    train: DataFrame, dataset: str, declared: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
     """Every resolved group removes columns, coverage, and both classes present."""
     spark = train.sparkSession
     names = feature_columns(train)
     try:
-        groups = AB.resolve_groups(names, dataset)
+        groups = AB.resolve_groups(names, dataset, declared)
     except RuntimeError as exc:
         return _rows(spark, "ablation", dataset, [("group_resolution", False, str(exc))])
     covered = {c for cols in groups.values() for c in cols}

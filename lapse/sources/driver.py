@@ -41,8 +41,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-# Part keys stay far below this, so line number and part fit one BIGINT.
-_PART_SPAN = 10**12
+# Above every BIGINT, so line number and part stay apart in one DECIMAL(38, 0).
+_PART_SPAN = 10**19
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,14 +52,15 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
     one over structs would sort.
     """
     items = table(spark, folder, "lineitem")
-    packed = F.col("l_linenumber").cast("long") * F.lit(_PART_SPAN) + F.col("l_partkey")
+    span = F.lit(str(_PART_SPAN)).cast("decimal(20,0)")
+    packed = (F.col("l_linenumber").cast("decimal(10,0)") * span + F.col("l_partkey")).cast("decimal(38,0)")
     facts = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("item_count"),
         F.min(packed).alias("_packed"),
         F.min("l_shipdate").alias("first_ship"),
     )
     return facts.select(
-        "o_orderkey", "item_count", F.pmod("_packed", F.lit(_PART_SPAN)).alias("product_id"),
+        "o_orderkey", "item_count", F.pmod("_packed", span).cast("long").alias("product_id"),
         "first_ship")
 
 

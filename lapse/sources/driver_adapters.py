@@ -86,3 +86,5 @@ STAR_CLICKS = StarClicks(
     ("purchase", "monetary", "inactivity", "engagement", "cadence"))
 STAR_SUBSCRIBERS = StarSubscribers(
     "star_subscribers", "subscription", None, COMMON, "native", native_label=True)
+# Column groups of the subscriber matrix, for ablation.
+SUBSCRIBER_GROUPS = {"balance": ("balance",), "name": ("name_length",), "segment": ("segment_",)}
