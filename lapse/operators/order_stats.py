@@ -22,6 +22,9 @@ SKETCH_ACCURACY = 10_000
 GROUP_ROW_LIMIT = 2_000_000
 # Upper bound on slice borders kept for all hot keys together; they are broadcast (8 bytes each).
 MAX_BORDERS = 200_000
+# Borders of one key: 1,023 at least, more only where its rows ask for them.
+_GRID = (1_024, 16_384)
+_INNER = 2**32
 # Values ranked in one bounded aggregate.
 DIRECT_RANK_ROWS = 500_000
 
@@ -180,6 +183,9 @@ def slice_groups(
 
     One light aggregate finds keys above ``row_limit`` and the quantile borders of their order
     column. Their rows get a slice number from those borders; every other key stays in slice 0.
+    Where one order value alone exceeds the limit, its rows are cut by the first tie-breaker in the same
+    way, and so on through all tie-breakers; only rows that agree in all of them, or in the first seven
+    bytes of a text, stay together.
     ``max_rows_per_key`` states a bound the caller has proven and skips the search.
     ``spread_ties`` (a whole number per row) lets rows with one and the same order value fill several
     slices; it is for callers to whom the order among ties means nothing.
@@ -192,7 +198,9 @@ def slice_groups(
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > row_limit)
-    summary = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_rows").alias("rows")).first()
+    summary = hot.agg(
+        F.count(F.lit(1)).alias("k"), F.sum("_rows").alias("rows"), F.max("_rows").alias("largest")
+    ).first()
     if not summary["k"]:
         return whole
 
@@ -203,16 +211,18 @@ def slice_groups(
         return slice_groups(
             df, keys, order_by, tie_breakers, descending, row_limit * 4, spread_ties=spread_ties
         )
-    grid = [i / 1024 for i in range(1, 1024)]
+    cuts = min(max(_GRID[0], -(-int(summary["largest"]) // step)), _GRID[1])
+    grid = [i / cuts for i in range(1, cuts)]
+    along = _sortable(df, order_by)
     if keys:
         hot_rows = df.join(hot.drop("_rows"), list(keys), "left_semi")
     else:
         hot_rows = df
     borders = hot_rows.groupBy(*keys).agg(
-        F.percentile_approx(order_by, grid, SKETCH_ACCURACY).alias("_grid"),
+        F.percentile_approx(along, grid, max(SKETCH_ACCURACY, 4 * cuts)).alias("_grid"),
         F.count(F.lit(1)).alias("_rows"),
     )
-    pick = F.greatest(F.lit(1), (F.lit(1024) * F.lit(step) / F.col("_rows")).cast("int"))
+    pick = F.greatest(F.lit(1), (F.lit(cuts) * F.lit(step) / F.col("_rows")).cast("int"))
     picked = F.filter(F.col("_grid"), lambda _, i: F.pmod(i + 1, pick) == 0)
     if spread_ties is None:
         picked = F.array_distinct(picked)
@@ -224,17 +234,56 @@ def slice_groups(
         joined = df.join(lookup, list(keys), "left")
     else:
         joined = df.withColumn("_borders", F.array(*[F.lit(b) for b in rows[0]["_borders"]]))
-    passed = F.size(F.filter(F.col("_borders"), lambda b: b < F.col(order_by)))
+    passed = F.size(F.filter(F.col("_borders"), lambda b: b < along))
     if spread_ties is not None:
         # A value equal to several borders owns all slices between them.
-        owned = F.size(F.filter(F.col("_borders"), lambda b: b == F.col(order_by))) + 1
+        owned = F.size(F.filter(F.col("_borders"), lambda b: b == along)) + 1
         passed = passed + F.pmod(spread_ties, owned).cast("int")
     frame = joined.withColumn(
         "_slice", F.coalesce(F.when(F.col("_borders").isNotNull(), passed), F.lit(0))
     ).drop("_borders")
+    if spread_ties is None and tie_breakers and dict(df.dtypes)[order_by] != "string":
+        frame = _cut_ties(frame, keys, names, along, descending, row_limit)
     return SlicedGroups(frame, keys, names, descending, True)
 
 
+def _sortable(df: DataFrame, name: str) -> Column:
+    """A number or instant in the order of the column; texts count by their first seven bytes."""
+    kind = dict(df.dtypes)[name]
+    if kind != "string":
+        return F.col(name).cast("int") if kind == "boolean" else F.col(name)
+    head = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("long")
+
+
+def _cut_ties(
+    frame: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], along: Column, descending: bool,
+    row_limit: int,
+) -> DataFrame:
+    """Put order values with too many rows into slices of their own and cut those by the next column."""
+    value, outer = f"_value{len(names)}", f"_outer{len(names)}"
+    tied = (frame.groupBy(*keys, along.alias(value)).agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > row_limit))
+    rows = tied.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_tied"))
+    found = rows.collect()
+    if not found:
+        return frame
+    if keys:
+        lookup = F.broadcast(frame.sparkSession.createDataFrame(found, rows.schema))
+        marked = frame.join(lookup, list(keys), "left")
+    else:
+        marked = frame.withColumn("_tied", F.array(*[F.lit(v) for v in found[0]["_tied"]]))
+    below = F.size(F.filter(F.col("_tied"), lambda v: v < along))
+    upto = F.size(F.filter(F.col("_tied"), lambda v: v <= along))
+    shift = F.coalesce(F.when(F.col("_tied").isNotNull(), below + upto), F.lit(0))
+    marked = marked.withColumn(outer, F.col("_slice") + shift).drop("_slice", "_tied")
+    inner = slice_groups(
+        marked.withColumn(value, along), [*keys, value], names[1], names[2:], descending, row_limit)
+    sub = F.col("_slice") if inner.sliced else F.lit(0)
+    slice_no = F.col(outer).cast("long") * F.lit(_INNER) + sub
+    return inner.frame.withColumn("_slice", slice_no).drop(outer, value)
+
+
 def _attach(local: DataFrame, heads: DataFrame, groups: SlicedGroups) -> DataFrame:
     """Join slice facts to their rows; a null key matches itself."""
     renamed = heads.withColumnsRenamed({k: f"_head_{k}" for k in groups.slice_keys})

@@ -64,3 +64,38 @@ def test_null_keys_keep_their_positions(spark):
     assert nulls["position"].tolist() == list(range(1, 21)) and set(nulls["n"]) == {20}
     run = o.running_totals(groups, ["v"]).toPandas()
     assert run[run.k == "a"]["run_v"].max() == 400
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("tie", ["long", "string"])
+def test_tied_rows_are_cut_by_the_tie_breaker(spark, tie, descending):
+    n = 3000
+    pdf = pd.DataFrame({"k": "a", "t": [5] * 2500 + list(range(n - 2500)), "u": range(n), "v": 1})
+    pdf = pdf.sample(frac=1, random_state=1)
+    pdf["u"] = pdf["u"].map("{:05d}".format) if tie == "string" else pdf["u"]
+    df = spark.createDataFrame(pdf, f"k string, t int, u {tie}, v int")
+    groups = o.slice_groups(df, ["k"], "t", ["u"], descending=descending, row_limit=200)
+    sizes = groups.frame.groupBy("_slice").count().toPandas()["count"]
+    assert sizes.max() <= 400
+    got = o.positions(groups).toPandas().sort_values("position")
+    want = pdf.sort_values(["t", "u"], ascending=not descending)
+    assert got["u"].tolist() == want["u"].tolist() and got["position"].tolist() == list(range(1, n + 1))
+    if not descending:
+        before = o.previous_value(groups, "u", "b").toPandas().sort_values(["t", "u"])["b"].tolist()
+        assert before[1:] == want["u"].tolist()[:-1]
+
+
+def test_ties_in_two_columns_are_cut_by_the_third(spark):
+    pdf = pd.DataFrame({"k": ["a"] * 1000 + ["b"] * 30, "t": 1, "d": True, "u": range(1030), "v": 1})
+    df = spark.createDataFrame(pdf, "k string, t int, d boolean, u int, v int")
+    groups = o.slice_groups(df, ["k"], "t", ["d", "u"], row_limit=50)
+    assert groups.frame.groupBy("k", "_slice").count().toPandas()["count"].max() <= 100
+    got = o.running_totals(groups, ["v"]).toPandas()
+    assert got[got.k == "a"].sort_values("u")["run_v"].tolist() == list(range(1, 1001))
+    assert got[got.k == "b"].sort_values("u")["run_v"].tolist() == list(range(1, 31))
+
+
+def test_many_slices_stay_near_the_limit(spark):
+    df = spark.range(60_000).selectExpr("'a' AS k", "id AS t")
+    groups = o.slice_groups(df, ["k"], "t", row_limit=40)
+    assert groups.frame.groupBy("_slice").count().agg({"count": "max"}).first()[0] <= 40
