@@ -413,17 +413,14 @@ def customers_active_in_window(spark, sf):
 
 
 @query("J13 W10 W11", """
-WITH a AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase'
-           AND ts < TIMESTAMP '2024-01-03'),
-b AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup'
-      AND ts < TIMESTAMP '2024-01-03')
+WITH a AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase'),
+b AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup')
 SELECT 'both' AS side, id FROM a WHERE id IN (SELECT id FROM b)
 UNION ALL SELECT 'first_only', id FROM a WHERE id NOT IN (SELECT id FROM b)
 UNION ALL SELECT 'neither', c_custkey FROM customer
 WHERE c_custkey NOT IN (SELECT id FROM a) AND c_custkey NOT IN (SELECT id FROM b)""")
 def id_set_operations(spark, sf):
-    events = D.table(spark, sf, "events").where(
-        F.col("ts") < tm.instant(_utc(2024, 1, 3))).withColumnRenamed("user_id", "id")
+    events = D.table(spark, sf, "events").withColumnRenamed("user_id", "id")
     a = events.where(F.col("event_type") == "purchase")
     b = events.where(F.col("event_type") == "signup")
     everyone = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
@@ -456,9 +453,9 @@ def trailing_columns_dropped(spark, sf):
     return drop_trailing(D.table(spark, sf, "orders"), 2)
 
 
-@query("S4", "SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS shipped FROM lineitem WHERE l_quantity > 40")
+@query("S4", "SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS shipped FROM lineitem")
 def projected_scan(spark, sf):
-    items = D.table(spark, sf, "lineitem").where(F.col("l_quantity") > 40)
+    items = D.table(spark, sf, "lineitem")
     return items.select("l_orderkey", F.to_date("l_shipdate").cast("string").alias("shipped"))
 
 
@@ -485,3 +482,14 @@ def rounding_and_division(spark, sf):
     )
 
 
+
+@query("W6", """
+SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS shipped, l_linenumber, l_partkey FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate NULLS LAST, l_linenumber, l_partkey) AS k
+  FROM lineitem) WHERE k = 1""")
+def first_line_per_order(spark, sf):
+    """One row per key in a stated order."""
+    items = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    first = J.keep_first(items, ["l_orderkey"], ["l_shipdate"])
+    return first.select(
+        "l_orderkey", F.to_date("l_shipdate").cast("string").alias("shipped"), "l_linenumber", "l_partkey")

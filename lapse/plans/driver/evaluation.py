@@ -131,24 +131,30 @@ def risk_table(spark, sf):
     return R.risk_table(D.document_scores(spark, sf))
 
 
-@query("E13 A15 W12", f"""{_PRED},
-a AS (SELECT quality::VARCHAR AS dataset, y, p, yhat, p * p AS p2, (p * p >= 0.5)::INT AS yhat2 FROM pred),
+@query("E13", f"""{_PRED},
+a AS (SELECT quality::VARCHAR AS dataset, y, p, yhat, 4.0::DOUBLE * p * (1.0::DOUBLE - p) AS p2, (4.0::DOUBLE * p * (1.0::DOUBLE - p) >= 0.5)::INT AS yhat2 FROM pred),
 m AS (SELECT dataset, 'length' AS model, avg((p - y) * (p - y)) AS original_brier,
   avg((p2 - y) * (p2 - y)) AS smote_brier,
   coalesce(2.0::DOUBLE * sum(y * yhat) / nullif(sum(y) + sum(yhat), 0), 0) AS original_f1,
-  coalesce(2.0::DOUBLE * sum(y * yhat2) / nullif(sum(y) + sum(yhat2), 0), 0) AS smote_f1 FROM a GROUP BY 1)
-SELECT dataset, model, round(original_brier, 9) AS original_brier, round(smote_brier, 9) AS smote_brier,
+  coalesce(2.0::DOUBLE * sum(y * yhat2) / nullif(sum(y) + sum(yhat2), 0), 0) AS smote_f1 FROM a GROUP BY 1),
+k AS (SELECT dataset, y, rank() OVER (PARTITION BY dataset ORDER BY p) + (count(*) OVER (PARTITION BY dataset, p) - 1) / 2.0::DOUBLE AS r,
+  rank() OVER (PARTITION BY dataset ORDER BY p2) + (count(*) OVER (PARTITION BY dataset, p2) - 1) / 2.0::DOUBLE AS r2 FROM a),
+u AS (SELECT dataset, (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS original_auc,
+  (sum(r2 * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS smote_auc FROM k GROUP BY 1)
+SELECT dataset, model, round(original_auc, 9) AS original_auc, round(smote_auc, 9) AS smote_auc,
+  round(smote_auc - original_auc, 9) AS auc_change, round(original_brier, 9) AS original_brier, round(smote_brier, 9) AS smote_brier,
   round(smote_brier - original_brier, 9) AS brier_change, round(original_f1, 9) AS original_f1,
-  round(smote_f1, 9) AS smote_f1, round(smote_f1 - original_f1, 9) AS f1_change FROM m""")
+  round(smote_f1, 9) AS smote_f1, round(smote_f1 - original_f1, 9) AS f1_change FROM m JOIN u USING (dataset)""")
 def mode_comparison(spark, sf):
     from lapse.plans.compare import comparison_table
 
     base = D.document_scores(spark, sf).withColumn("dataset", F.col("quality").cast("string"))
-    other = base.withColumn("p", F.col("p") * F.col("p"))
+    # Scores of the second mode rank otherwise: they fall again above a half.
+    other = base.withColumn("p", F.lit(4.0) * F.col("p") * (F.lit(1.0) - F.col("p")))
     other = other.withColumn("yhat", F.when(F.col("p") >= 0.5, 1).otherwise(0))
     keys = ["dataset", "model"]
     table = comparison_table(M.evaluate(base, keys), M.evaluate(other, keys))
-    wanted = ("original_brier", "smote_brier", "brier_change", "original_f1", "smote_f1", "f1_change")
+    wanted = ("original_auc", "smote_auc", "auc_change", "original_brier", "smote_brier", "brier_change", "original_f1", "smote_f1", "f1_change")
     return table.select("dataset", "model", *[F.round(c, 9).alias(c) for c in wanted])
 
 

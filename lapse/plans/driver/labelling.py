@@ -236,13 +236,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY h) AS k,
                   count(*) OVER (PARTITION BY lapsed) AS n FROM keyed)
 SELECT CASE WHEN k <= round((1 - 0.7::DOUBLE) * n) THEN 'test' ELSE 'train' END AS side, customer_id, lapsed,
        c_nationkey::DOUBLE AS nation, length(c_name)::DOUBLE AS name_length, abs(c_acctbal) / 1000 AS balance,
-       (c_mktsegment = 'BUILDING')::INT::DOUBLE AS "segment_BUILDING" FROM ranked""")
+       (c_mktsegment = 'AUTOMOBILE')::INT::DOUBLE AS "segment_AUTOMOBILE",
+       (c_mktsegment = 'BUILDING')::INT::DOUBLE AS "segment_BUILDING",
+       (c_mktsegment = 'FURNITURE')::INT::DOUBLE AS "segment_FURNITURE",
+       (c_mktsegment = 'HOUSEHOLD')::INT::DOUBLE AS "segment_HOUSEHOLD",
+       (c_mktsegment = 'MACHINERY')::INT::DOUBLE AS "segment_MACHINERY" FROM ranked""")
 def stratified_split(spark, sf):
     data = A.native_split(*_native(spark, sf))
     both = data.train.withColumn("side", F.lit("train")).unionByName(
         data.test.withColumn("side", F.lit("test")))
     return both.select("side", "customer_id", "lapsed", "nation", "name_length", "balance",
-                       "segment_BUILDING")
+                       *sorted(c for c in both.columns if c.startswith("segment_")))
 
 
 @query("L13", f"""

@@ -255,7 +255,7 @@ def window_sensitivity(spark, sf):
         DA.STAR_ORDERS, events, [90, 180, 270], SHORT, models=["logistic_regression"])
 
 
-@query("F1 F3 L12 V2 V3")
+@query("F1 L12")
 def pipeline_metrics(spark, sf):
     """A whole run on the order stream with one model: load, checks, split, fit, evaluate."""
     result = run_pipeline(
