@@ -354,20 +354,25 @@ def dimension_chain(spark, sf):
 
 @query("J6 J7", """
 WITH last AS (SELECT user_id, event_type, arg_max(value, epoch_us(ts)) AS v FROM events GROUP BY 1, 2),
-wide AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN v END) AS last_click,
-                max(CASE WHEN event_type = 'view' THEN v END) AS last_view FROM last GROUP BY 1)
-SELECT event_id, last_click, last_view, c_mktsegment
+wide AS (SELECT user_id,
+  max(CASE WHEN event_type = 'click' THEN v END) AS last_click,
+  max(CASE WHEN event_type = 'error' THEN v END) AS last_error,
+  max(CASE WHEN event_type = 'purchase' THEN v END) AS last_purchase,
+  max(CASE WHEN event_type = 'signup' THEN v END) AS last_signup,
+  max(CASE WHEN event_type = 'view' THEN v END) AS last_view FROM last GROUP BY 1)
+SELECT event_id, last_click, last_error, last_purchase, last_signup, last_view, c_mktsegment
 FROM events LEFT JOIN wide USING (user_id) LEFT JOIN customer ON user_id = c_custkey""")
 def enriched_events(spark, sf):
     """Events with the wide property table and the customer profile."""
     log = D.table(spark, sf, "events")
-    wide = J.latest_properties_wide(log, "user_id", "event_type", "value", "ts", ["click", "view"])
-    wide = wide.withColumnsRenamed({"click": "last_click", "view": "last_view"})
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    wide = J.latest_properties_wide(log, "user_id", "event_type", "value", "ts", kinds)
+    wide = wide.withColumnsRenamed({k: f"last_{k}" for k in kinds})
     profile = D.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), "c_mktsegment")
     out = J.left_lookup(J.left_lookup(log.select("event_id", "user_id"), wide, "user_id"),
                         profile, "user_id")
-    return out.select("event_id", "last_click", "last_view", "c_mktsegment")
+    return out.drop("user_id")
 
 
 @query("J9", """

@@ -158,6 +158,29 @@ def mode_comparison(spark, sf):
     return table.select("dataset", "model", *[F.round(c, 9).alias(c) for c in wanted])
 
 
+@query("A15", f"""{_PRED},
+a AS (SELECT quality::VARCHAR AS dataset, d.lang AS model, y, p, 4.0::DOUBLE * p * (1.0::DOUBLE - p) AS p2
+      FROM pred JOIN documents d ON d.doc_id = customer_id),
+k AS (SELECT dataset, model, y,
+  rank() OVER (PARTITION BY dataset, model ORDER BY p) + (count(*) OVER (PARTITION BY dataset, model, p) - 1) / 2.0::DOUBLE AS r,
+  rank() OVER (PARTITION BY dataset, model ORDER BY p2) + (count(*) OVER (PARTITION BY dataset, model, p2) - 1) / 2.0::DOUBLE AS r2
+  FROM a),
+u AS (SELECT dataset, model, (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS o,
+  (sum(r2 * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS s FROM k GROUP BY 1, 2)
+SELECT dataset, round(avg(o), 9) AS original_auc, round(avg(s), 9) AS smote_auc FROM u GROUP BY 1""")
+def mean_auc_by_dataset(spark, sf):
+    """Mean over languages, as models, of both modes' AUC."""
+    from lapse.plans.compare import comparison_table
+
+    lang = D.table(spark, sf, "documents").select(F.col("doc_id").alias("customer_id"), F.col("lang").alias("model"))
+    base = D.document_scores(spark, sf).drop("model").join(lang, "customer_id").withColumn(
+        "dataset", F.col("quality").cast("string"))
+    other = base.withColumn("p", F.lit(4.0) * F.col("p") * (F.lit(1.0) - F.col("p")))
+    keys = ["dataset", "model"]
+    table = P.mean_auc_per_dataset(comparison_table(M.evaluate(base, keys), M.evaluate(other, keys)))
+    return table.select("dataset", *[F.round(c, 9).alias(c) for c in ("original_auc", "smote_auc")])
+
+
 # --------------------------------------------------------------------------------- statistics
 
 _LONG = """
