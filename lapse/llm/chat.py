@@ -42,20 +42,26 @@ def fold_events(events: DataFrame) -> DataFrame:
     Kinds: ``message`` sets the text, ``delta`` appends to it, ``edit`` replaces it, ``regenerate`` empties it so that
     the deltas after it build it anew; null is ``message``, any other kind appends nothing. Messages stand in the
     order of their first event; the role is that of the first event that names one. Events with equal ``seq`` are
-    ordered by kind, role and text; null texts are empty. A message's events meet after map-side filtering only of
-    what one message has; a conversation's in one row, which its text is anyway.
+    ordered by kind, role and text; null texts are empty. An event without a message id is a message of its own, and
+    equal ones are as many messages. A message's events meet in one row, whatever the size of its conversation.
     """
     kind = F.coalesce("kind", F.lit("message"))
-    event = F.struct(
-        F.col("seq"), kind.alias("kind"), F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
-    per = events.select("conv_id", "message", event.alias("e")).groupBy("conv_id", "message").agg(
+    text = F.coalesce("text", F.lit(""))
+    event = F.struct(F.col("seq"), kind.alias("kind"), F.col("role"), text.alias("text"))
+    # Equal events without an id meet under one key, which a retried task finds again; a row number would not be.
+    own = F.when(F.col("message").isNull(), F.struct(F.col("seq"), kind.alias("kind"), F.col("role"), F.sha2(text, 256).alias("text")))
+    per = events.select("conv_id", "message", own.alias("own"), event.alias("e")).groupBy("conv_id", "message", "own").agg(
         F.sort_array(F.collect_list("e")).alias("log"), F.min("e.seq").alias("place"))
     resets = F.transform("log", lambda e, i: F.when(e["kind"].isin("message", "edit", "regenerate"), i).otherwise(-1))
     live = F.filter("log", lambda e, i: (i >= F.col("since")) & e["kind"].isin("message", "edit", "delta"))
-    return per.withColumn("since", F.array_max(resets)).select(
+    copies = F.when(F.col("message").isNull(), F.size("log")).otherwise(1)
+    # Of equal events one is folded.
+    since = F.when(F.col("message").isNull(), F.size("log") - 1).otherwise(F.array_max(resets))
+    return per.withColumn("since", since).select(
         "conv_id", "place", "message",
         F.element_at(F.concat(F.filter(F.col("log")["role"], lambda r: r.isNotNull()), F.array(F.lit(""))), 1).alias("role"),
-        F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+        F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"),
+        F.explode(F.sequence(F.lit(1), copies))).drop("col")
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -100,7 +106,6 @@ def formatted_conversations(turns: DataFrame) -> DataFrame:
     empty. Rows with a null conv_id form one conversation. Other columns are not read.
     """
     events = turns.select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"))
-    # A row is a message: nothing to fold, so its place and content name it.
-    return render(events.select("conv_id", F.col("seq").alias("place"), F.lit(0).alias("message"), "role", "text"))
+        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("message"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return render(fold_events(events))

@@ -102,7 +102,7 @@ def test_packing_odd(odd, none):
 def test_encoder_equals_tokenizer():
     encode = packing.Encoder(queries.TOKENIZER)
     assert encode.ranked
-    for text in ["a  b", "\n a", "it's 's <|endoftext|>", "a\t b 　c", "é" * 99, "", "12 345\n\n\n x", "\U0001f600 \x00"]:
+    for text in ["a  b", "\n a", "it's 's <|endoftext|>", "a\t b 　c", "é" * 99, "", "12 345\n\n\n x", "\U0001f600 \x00", " " * 1_500_000 + "x"]:
         want = encode.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == want
 
@@ -343,6 +343,10 @@ def test_chat_round_trip_and_fold(spark):
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string")
     final = sorted((r.place, r.role, r.text) for r in chat.fold_events(events).collect())
     assert final == [(0, "user", "hello"), (1, "assistant", "cd")]
+    # Events without an id are messages of their own, equal ones too.
+    again = spark.createDataFrame([(1, 0, r, t) for r, t in [("user", "u")] * 3 + [("user", "v"), (None, None), (None, None)]], "conv_id long, turn long, role string, text string")
+    row = chat.formatted_conversations(again).select(chat.parse(F.col("formatted")).alias("t")).first()
+    assert [(x.role, x.text) for x in row.t] == [("", "")] * 2 + [("user", "u")] * 3 + [("user", "v")]
     assert chat.formatted_conversations(turns.where("false")).count() == 0
 
 
