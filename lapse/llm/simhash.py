@@ -241,9 +241,9 @@ def similar_groups(
     """(node, root) of different texts: texts of a group are linked by a Jaccard similarity of their shingle sets.
 
     A node is xxhash64 of a text; texts without a similar one are left out. Candidates share a BK-tree ball of the
-    whole text's fingerprint or the fingerprint of one of ``SAMPLES`` shingle samples; each is compared with the
-    smallest text and the one before it in every such bucket, so candidates grow with the texts and not with the
-    square of a group. Every candidate pair is checked on the whole sets.
+    whole text's fingerprint or the fingerprint of one of ``SAMPLES`` shingle samples; each is compared with four
+    others in every such bucket, different ones in each, so candidates grow with the texts and not with the square of
+    a group. Every candidate pair is checked on the whole sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,19 +287,21 @@ def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
 
 
 def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket with the smallest one, and with one of its salted neighbours.
+    """(a, b): each node of a bucket with its first and last one, and with the first and last of its cell of about four.
 
-    Both come from aggregates that combine before the shuffle: the smallest node of the bucket, and the smallest
-    of each of the bucket's cells; a cell is given by some bits of the node, so that a large bucket has many.
+    Nodes are ordered anew in every view, by an exclusive or with the view's hash, so that in each view a node meets
+    other partners: texts of one group needn't all be similar to one of them. First and last are aggregates that
+    combine before the shuffle; a cell is given by some bits of the node, so that a large bucket has many.
     """
     key = ["view", "key"]
-    least = buckets.groupBy(*key).agg(F.min("node").alias("b"), F.count("*").alias("rows")).where("rows > 1")
-    starred = buckets.join(least, key).where("node <> b")
-    stars = starred.select(F.col("node").alias("a"), "b")
-    # One neighbour more, from the node's own cell in this bucket.
-    cell = F.pmod(F.xxhash64("view", "node"), F.ceil(F.col("rows") / 4).cast("long"))
-    celled = starred.where("rows > 3").select("node", "view", "key", cell.alias("cell"))
-    heads = celled.groupBy("view", "key", "cell").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
-    near = celled.join(heads, ["view", "key", "cell"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    return (stars.unionByName(near)
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    turned = F.xxhash64("view")
+    ordered = buckets.select(*key, F.col("node").bitwiseXOR(turned).alias("place"))
+    ends = (F.min("place").alias("first"), F.max("place").alias("last"))
+    whole = ordered.join(ordered.groupBy(*key).agg(*ends, F.count("*").alias("rows")).where("rows > 1"), key)
+    cell = F.pmod(F.xxhash64("view", "place"), F.ceil(F.col("rows") / 4).cast("long"))
+    celled = whole.where("rows > 3").select(*key, cell.alias("cell"), "place")
+    near = celled.join(celled.groupBy(*key, "cell").agg(*ends).where("first < last"), [*key, "cell"])
+    pairs = whole.select("view", "place", "first", "last").unionByName(near.select("view", "place", "first", "last"))
+    pairs = pairs.select("view", "place", F.explode(F.array("first", "last")).alias("other")).where("place <> other")
+    a, b = F.col("place").bitwiseXOR(turned), F.col("other").bitwiseXOR(turned)
+    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
