@@ -243,7 +243,8 @@ def similar_groups(
     A node is xxhash64 of a text; texts without a similar one are left out. Candidates share a BK-tree ball of the
     whole text's fingerprint or the fingerprint of one of ``SAMPLES`` shingle samples; each is compared with four
     others in every such bucket, different ones in each, so candidates grow with the texts and not with the square of
-    a group. Every candidate pair is checked on the whole sets.
+    a group. Buckets that still hold several groups are searched again with other partners, until a turn finds no new
+    link. Every candidate pair is checked on the whole sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +265,39 @@ def similar_groups(
     balls = (prints.join(stars, prints.fp == stars.node, "left")
              .select(prints.node, F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("key")))
     buckets = balls.unionByName(prints.select("node", F.posexplode("samples").alias("view", "key")))
-    pairs = written(_bucket_pairs(buckets), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs = written(_bucket_pairs(buckets.withColumn("root", F.col("node")), 0), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(texts.join(wanted, "node", "left_semi").mapInArrow(
         lambda batches: _set_batches(batches, words), "node long, shingles array<long>")
         .dropDuplicates(["node"]), "sets")
+    links = written(_alike(pairs, sets, similarity), "alike")
+    turn = 0
+    while True:
+        groups = components(links)
+        turn += 1
+        rooted = buckets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = written(_alike(_apart(_bucket_pairs(rooted, turn), groups), sets, similarity), "alike")
+        if found.isEmpty():
+            return groups
+        links = links.unionByName(found)
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups."""
+    for side in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (a, b) whose whole shingle sets reach the similarity."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.select(F.col("a").alias("u"), F.col("b").alias("v"), common.alias("n"),
                         (F.size("x") + F.size("y") - common).alias("all"))
     # Texts without words have empty sets, and are alike.
-    return components(alike.where((F.col("n") >= F.col("all") * F.lit(similarity)) | (F.col("all") == 0))
-                      .select("u", "v"))
+    return alike.where((F.col("n") >= F.col("all") * F.lit(similarity)) | (F.col("all") == 0)).select("u", "v")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -286,18 +307,19 @@ def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
             [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket with its first and last one, and with the first and last of its cell of about four.
+def _bucket_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of a bucket (view, key) of more than one root with the bucket's first and last one, and with
+    the first and last of its cell of about four.
 
-    Nodes are ordered anew in every view, by an exclusive or with the view's hash, so that in each view a node meets
-    other partners: texts of one group needn't all be similar to one of them. First and last are aggregates that
+    Nodes are ordered anew in every view and turn, by an exclusive or with a hash, so that a node meets other partners: texts of one group needn't all be similar to one of them. First and last are aggregates that
     combine before the shuffle; a cell is given by some bits of the node, so that a large bucket has many.
     """
     key = ["view", "key"]
-    turned = F.xxhash64("view")
-    ordered = buckets.select(*key, F.col("node").bitwiseXOR(turned).alias("place"))
+    turned = F.xxhash64("view", F.lit(turn))
+    ordered = buckets.select(*key, "root", F.col("node").bitwiseXOR(turned).alias("place"))
     ends = (F.min("place").alias("first"), F.max("place").alias("last"))
-    whole = ordered.join(ordered.groupBy(*key).agg(*ends, F.count("*").alias("rows")).where("rows > 1"), key)
+    mixed = ordered.groupBy(*key).agg(*ends, F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    whole = ordered.join(mixed.where("low < high"), key)
     cell = F.pmod(F.xxhash64("view", "place"), F.ceil(F.col("rows") / 4).cast("long"))
     celled = whole.where("rows > 3").select(*key, cell.alias("cell"), "place")
     near = celled.join(celled.groupBy(*key, "cell").agg(*ends).where("first < last"), [*key, "cell"])
