@@ -264,7 +264,7 @@ def similar_groups(
     stars = components(fingerprint_links(prints.select("fp").distinct(), radius))
     balls = (prints.join(stars, prints.fp == stars.node, "left")
              .select(prints.node, F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("key")))
-    buckets = balls.unionByName(prints.select("node", F.posexplode("samples").alias("view", "key")))
+    buckets = written(balls.unionByName(prints.select("node", F.posexplode("samples").alias("view", "key"))), "buckets")
     pairs = written(_bucket_pairs(buckets.withColumn("root", F.col("node")), 0), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(texts.join(wanted, "node", "left_semi").mapInArrow(
