@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def added(sums: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.ndarray:
+    """Sum of float32 matrices, one per row: added in levels, so that the driver adds ``fan_in`` at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(shape, np.float64)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                out += np.frombuffer(value, np.float32).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], ["m"])
+
+    parts = sums.rdd.getNumPartitions()
+    while parts > fan_in:
+        parts = -(-parts // fan_in)
+        sums = sums.repartition(parts).mapInArrow(run, "m binary")
+    out = np.zeros(shape)
+    for row in sums.collect():
+        out += np.frombuffer(row["m"], np.float32).reshape(shape)
+    return out
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import written
+from lapse.llm.common import added, written
 
 PASSAGE, RANK, EXTRA = 64, 64, 16
 # Terms of the decomposition at most: more words than that share terms by their hash. Bounds matrices and broadcasts.
@@ -119,25 +119,6 @@ def inverse_frequencies(texts: DataFrame, items: Items) -> np.ndarray:
     return np.log((1 + n[0]) / (1 + n[1:]))
 
 
-def _added(sums: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.ndarray:
-    """Sum of float32 matrices, one per row: added in levels, so that the driver adds ``fan_in`` at most."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(shape, np.float64)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                out += np.frombuffer(value, np.float32).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], ["m"])
-
-    parts = sums.rdd.getNumPartitions()
-    while parts > fan_in:
-        parts = -(-parts // fan_in)
-        sums = sums.repartition(parts).mapInArrow(run, "m binary")
-    out = np.zeros(shape)
-    for row in sums.collect():
-        out += np.frombuffer(row["m"], np.float32).reshape(shape)
-    return out
-
-
 def latent_terms(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 2) -> np.ndarray:
     """(term, dimension) float32: what a word adds to the latent vector of its window.
 
@@ -167,7 +148,7 @@ def latent_terms(texts: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
                 out[t[heads]] += np.add.reduceat(y[row[order]] * x[order][:, None], heads, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["m"])
 
-    y = _added(texts.mapInArrow(run, "m binary"), (items.size, k))
+    y = added(texts.mapInArrow(run, "m binary"), (items.size, k))
     small = w.T.astype(float) @ y
     small = (small + small.T) / 2
     value, vector = np.linalg.eigh(small)

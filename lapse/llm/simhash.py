@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import blank, octets, written
+from lapse.llm.common import added, blank, octets, written
 
 SEED = 42
 # Elements of a search frontier held at a time.
@@ -240,11 +240,10 @@ def similar_groups(
 ) -> DataFrame:
     """(node, root) of different texts: texts of a group are linked by a Jaccard similarity of their shingle sets.
 
-    A node is xxhash64 of a text; texts without a similar one are left out. Candidates share a BK-tree ball of the
-    whole text's fingerprint or the fingerprint of one of ``SAMPLES`` shingle samples; each is compared with four
-    others in every such bucket, different ones in each, so candidates grow with the texts and not with the square of
-    a group. Buckets that still hold several groups are searched again with other partners, until a turn finds no new
-    link. Every candidate pair is checked on the whole sets.
+    A node is xxhash64 of a text; texts without a similar one are left out. First groups come from candidates that
+    share a BK-tree ball of the whole text's fingerprint or the fingerprint of one of ``SAMPLES`` shingle samples; each
+    is compared with four others in every such bucket, so these grow with the texts. Then a prefix filter finds every
+    similar pair of different groups, whatever bucket it is in. Every candidate pair is checked on the whole sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,27 +265,85 @@ def similar_groups(
              .select(prints.node, F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("key")))
     buckets = written(balls.unionByName(prints.select("node", F.posexplode("samples").alias("view", "key"))), "buckets")
     pairs = written(_bucket_pairs(buckets.withColumn("root", F.col("node")), 0), "pairs")
+    links = written(_alike(pairs, _sets(texts, pairs, words), similarity), "alike")
+    prefixes = written(_prefixes(texts, words, similarity), "prefixes")
+    # Texts without words have no shingle to meet by.
+    wordless = prefixes.where("n = 0").select("node")
+    links = links.unionByName(wordless.select(F.col("node").alias("u")).crossJoin(wordless.agg(F.min("node").alias("v"))).where("u <> v"))
+    pairs = written(_prefix_pairs(prefixes, components(links), similarity), "pairs")
+    return components(links.unionByName(written(_alike(pairs, _sets(texts, pairs, words), similarity), "alike")))
+
+
+def _sets(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the texts in pairs (a, b)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(wanted, "node", "left_semi").mapInArrow(
+    return written(texts.join(wanted, "node", "left_semi").mapInArrow(
         lambda batches: _set_batches(batches, words), "node long, shingles array<long>")
         .dropDuplicates(["node"]), "sets")
-    links = written(_alike(pairs, sets, similarity), "alike")
-    turn = 0
-    while True:
-        groups = components(links)
-        turn += 1
-        rooted = buckets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = written(_alike(_apart(_bucket_pairs(rooted, turn), groups), sets, similarity), "alike")
-        if found.isEmpty():
-            return groups
-        links = links.unionByName(found)
-
-
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups."""
-    for side in ("a", "b"):
-        pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+# Counters of shingles by their hash; they only order shingles, so that the rare come first.
+COUNTERS = 1 << 20
+# Rows of a shingle's list that meet in a task at a time.
+LIST_ROWS = 4096
+
+
+def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, n, tokens): size of a text's shingle set, and its rarest shingles, so many that two sets of the similarity
+    share one of them: all are in one order, so the first they share has at most n - ceil(similarity * n) before it."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in octets(batch.column(1)):
+                np.add.at(out, (np.unique(shingle_hashes(t, words)) % np.uint64(COUNTERS)).view(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], ["m"])
+
+    counts = added(texts.mapInArrow(tally, "m binary"), (COUNTERS,)).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, tokens = [], []
+            for t in octets(batch.column(1)):
+                h = np.unique(shingle_hashes(t, words))
+                order = np.lexsort((h, counts[(h % np.uint64(COUNTERS)).view(np.int64)]))
+                sizes.append(len(h))
+                tokens.append(h[order[:len(h) - _least(similarity, len(h)) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "tokens"])
+
+    return texts.mapInArrow(run, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+
+
+def _least(share: float, n: int) -> int:
+    return int(np.ceil(share * n - 1e-9))
+
+
+def _prefix_pairs(prefixes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different groups that share a shingle of their prefixes, unless its places rule the similarity out.
+
+    Sets with ``i`` and ``j`` shingles before the first they share have at most min(n - i, m - j) in common, and need
+    share * (n + m) with share = similarity / (1 + similarity). The smaller set of a pair meets that only early in its
+    prefix, so a shingle that no set has early is passed over. A shingle's largest group isn't compared with itself,
+    and a long list is spread over tasks.
+    """
+    share = similarity / (1 + similarity)
+    rows = (prefixes.join(groups, "node", "left")
+            .select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("tokens").alias("place", "token")))
+    early = F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6
+    tokens = (rows.groupBy("token", "root").agg(F.count("*").alias("rows"), F.max(early).alias("early"))
+              .groupBy("token").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.sum("rows").alias("rows"),
+                                    F.count("*").alias("roots"), F.max("early").alias("early"))
+              .where("roots > 1 and early").select("token", "main", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("parts")))
+    met = written(rows.join(tokens, "token"), "met")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    x = met.where("root <> main").select("token", part.alias("part"), "node", "n", "root", "place")
+    y = met.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("other"),
+                   F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("place").alias("other_place"), "main")
+    return (x.join(y, ["token", "part"])
+            .where((F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("main")) | (F.col("node") > F.col("other")))
+                   & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= share * (F.col("n") + F.col("m")) - 1e-6))
+            .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -386,3 +386,25 @@ def test_pipeline_stages(spark, sf_dir, docs, odd):
 def test_pipeline_runs(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def apart_in_all_buckets():
+    """Two texts of a Jaccard similarity over 0.8 that share no bucket of the near-duplicate search."""
+    rng = np.random.default_rng(5)
+    while True:
+        w = [f"w{i}" for i in rng.integers(0, 10**9, 66)]
+        a, b = " ".join(w[:60]), " ".join(w[:54] + w[60:])
+        h, g = (simhash.shingle_hashes(t.encode(), 5) for t in (a, b))
+        far = (simhash.majority(h) ^ simhash.majority(g)) & (1 << 64) - 1
+        if far.bit_count() > 8 and not any(x == y for x, y in zip(simhash.sample_prints(np.unique(h)), simhash.sample_prints(np.unique(g)))):
+            return a, b
+
+
+def test_similar_groups_without_a_shared_bucket(spark):
+    a, b = apart_in_all_buckets()
+    assert jaccard(a, b) >= 0.8
+    shared = [f"p{i}" for i in range(80)]  # texts around a common passage, a Jaccard similarity of 0.7 among strangers
+    strangers = [" ".join(shared + [f"s{k}_{i}" for i in range(14)]) for k in range(40)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([a, b, *strangers, " ", "\n"])], "doc_id long, text string")
+    number = {r.node: r.doc_id for r in frame.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    assert sorted(sorted((number[r.node], number[r.root])) for r in simhash.similar_groups(frame).collect()) == [[0, 1], [42, 43]]
