@@ -4,7 +4,8 @@ Terms are the words of the benchmark: others can't tell its items apart. Passage
 frequencies, and one more pass a single-pass randomised singular value decomposition of the TF-IDF passages: every task
 sums A'(A W) over its passages for a fixed random W, the sums are added up in levels, and the small factor is decomposed
 on the driver. Windows of every document, at several lengths, are compared with all items by cosine in the latent space,
-and each candidate is checked for a longest common subsequence and for the answer. Items are a stated query set; nothing
+stretches with enough of an item's rare words are added whatever their cosine, and each candidate is checked for a longest
+common subsequence and for the answer. Items are a stated query set; nothing
 grows with the square of anything, and texts are never shuffled.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -200,12 +202,18 @@ class Checker:
         inside = np.isin(around, list(self.masks))
         total = np.concatenate(([0], np.cumsum(inside)))
         best, listed = None, around.tolist()
-        step = 1 if self.span == self.size else max(1, self.size // 8)
-        for at in range(0, max(1, len(listed) - self.span + step), step):
-            if total[min(at + self.span, len(listed))] - total[at] < self.least:
+        starts = np.arange(max(1, len(listed) - self.span + 1))
+        # The best stretch may as well begin with a word of the item or its answer, or be the last one.
+        telling = inside | np.isin(around, list(self.answer))
+        may = (total[np.minimum(starts + self.span, len(listed))] - total[starts] >= self.least) & (telling[starts] | (starts == starts[-1]))
+        after = 0
+        for at in starts[may].tolist():
+            if at < after:
                 continue
             part = listed[at:at + self.span]
             n = common_subsequence(self.masks, self.size, part)
+            # A start one word on has at most one word more in common: the next that can be better is so far away.
+            after = at + max(self.least, best[0] + 1 if best else 0) - n
             if n >= self.least and (best is None or n > best[0]) and 2 * len(self.answer.intersection(part)) >= len(self.answer):
                 best = n, at
         return best
@@ -255,6 +263,42 @@ class Bits:
         return out
 
 
+@dataclass(frozen=True)
+class Lists:
+    """Which items of one window size a word is among the rare ones of, word after word, and how many different rare words
+    a stretch needs to pass. Of each item so many are rare that no stretch passes without one."""
+
+    first: np.ndarray
+    item: np.ndarray
+    needed: np.ndarray
+
+    @classmethod
+    def of(cls, checkers: list[Checker], idf: np.ndarray, n_words: int) -> Lists:
+        pairs, needed = [], []
+        for i, c in enumerate(checkers):
+            absent = c.size - c.least
+            rare = sorted(c.masks, key=lambda x: (-idf[x % MAX_TERMS], x))[:max(32, absent + 8)]
+            pairs += [(x, i) for x in rare]
+            needed.append(max(1, len(rare) - absent))
+        word, item = np.array(sorted(pairs), np.int64).T
+        return cls(np.searchsorted(word, np.arange(n_words + 1)), item, np.array(needed))
+
+    def near(self, words: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, cell) where a stretch of at most three cells that passes may have its first rare word; ``cell`` of each
+        word, of ``cells``, of which four are empty after each piece."""
+        n = self.first[words + 1] - self.first[words]
+        place = np.repeat(self.first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key = self.item[place] * cells + np.repeat(cell, n)
+        key = np.unique(key * (len(self.first) - 1) + np.repeat(words, n)) // (len(self.first) - 1)
+        key, count = np.unique(key, return_counts=True)
+        total, padded = count.copy(), np.concatenate((key, [-1]))
+        for j in (1, 2, 3):
+            at = np.searchsorted(key, key + j)
+            total += np.where(padded[at] == key + j, np.concatenate((count, [0]))[at], 0)
+        key = key[total >= self.needed[key // cells]]
+        return key // cells, key % cells
+
+
 def pieces(bounds: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups (text, low, high) of pieces of texts, about STRETCH words a group; a longer text is cut into pieces that
     overlap, so that no word is left out and memory doesn't grow with it."""
@@ -303,8 +347,9 @@ def leaks(
             while size * 2 < len(words) * 3:
                 size *= 2
             scales.setdefault(size, []).append(i)
-    vectors, bits = {}, {}
+    vectors, bits, lists = {}, {}, {}
     for size, some in scales.items():
+        lists[size] = Lists.of([checkers[i] for i in some], idf, len(items.place))
         bits[size] = Bits.of([checkers[i] for i in some], idf, len(items.place))
         v = np.array([latent[np.array(items.words[i]) % MAX_TERMS].sum(axis=0) for i in some])
         vectors[size] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
@@ -359,12 +404,31 @@ def leaks(
             size *= 2
             sums = sums[0::2] + sums[1::2]
 
+    def others(number: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """As ``candidates``, by rare words in place of the cosine: no stretch that passes is left out."""
+        at = np.concatenate([np.arange(a, b) for a, b in zip(lows, highs)])
+        piece = np.repeat(np.arange(len(lows)), highs - lows)
+        known = number[at] >= 0
+        at, piece = at[known], piece[known]
+        for size, some in scales.items():
+            step = size // 3
+            count = -(-(highs - lows) // step) + 4
+            first = np.cumsum(count) - count
+            found, cell = lists[size].near(number[at].astype(np.int64), first[piece] + (at - lows[piece]) // step, int(count.sum()))
+            of = np.searchsorted(first, cell, side="right") - 1
+            start = lows[of] + (cell - first[of]) * step
+            for i, p, a in zip(found.tolist(), of.tolist(), start.tolist()):
+                low, high = max(a - size, int(lows[p])), min(a + size + step, int(highs[p]))
+                words = number[a:min(a + size, high)]
+                v = latent[words[words >= 0] % MAX_TERMS].sum(axis=0)
+                yield some[i], p, low, high, float(v @ vectors[size][:, i] / max(float(np.linalg.norm(v)), 1e-12))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number, bounds = _flat(batch.column(1))
             best: dict[tuple[int, int], tuple] = {}
             for texts, lows, highs in pieces(bounds, 4 * widest):
-                for item, piece, low, high, c in candidates(number, lows, highs):
+                for item, piece, low, high, c in chain(candidates(number, lows, highs), others(number, lows, highs)):
                     row, hit = int(texts[piece]), checkers[item].find(number[low:high])
                     if hit and ((row, item) not in best or hit[0] > best[row, item][1]):
                         best[row, item] = c, hit[0], checkers[item].size, low + hit[1] - int(bounds[row])

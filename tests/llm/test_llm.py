@@ -155,6 +155,19 @@ def test_leaks_odd(spark, odd, none):
     assert decontaminate.leaks(odd, bench.where("false")).count() == 0
 
 
+def test_leaks_wherever_they_start(spark):
+    words = [f"item{i}" for i in range(64)]
+    part = [w for i, w in enumerate(words) if i % 10 not in (2, 5, 8)][:45]
+    # 45 words of 64 in order over 96 words, at every place of a window.
+    spread = [part[0]] + [x for i, w in enumerate(part[1:]) for x in ([f"z{i}", f"y{i}"] if i < 7 else [f"z{i}"]) + [w]]
+    bench = spark.createDataFrame([(1, " ".join(words), part[20])], "item_id long, text string, answer string")
+    docs = spark.createDataFrame([(k, " ".join([f"lead{j}" for j in range(k)] + spread + ["end"] * 40)) for k in range(40)], "doc_id long, text string")
+    assert len(spread) == 96
+    assert {r.id for r in decontaminate.leaks(docs, bench, answer_col="answer").collect()} == set(range(40))
+    # Nothing is lost by the cosine: with a bar that no window reaches, the same leaks are found.
+    assert {r.id for r in decontaminate.leaks(docs, bench, answer_col="answer", cosine=2.0).collect()} == set(range(40))
+
+
 # 3 resampling
 def test_resample(spark, sf_dir, docs, odd, none):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
