@@ -25,7 +25,7 @@ from lapse.llm.common import strings
 # Fixed values of HTML: void elements, elements whose text is not shown, block elements, and implied end tags.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"script", "style", "title", "template", "noscript", "iframe", "svg", "math", "object", "head", "textarea", "select",
+UNSEEN = {"script", "style", "title", "template", "noscript", "iframe", "svg", "object", "head", "textarea", "select",
           "noembed", "noframes", "audio", "video", "canvas", "datalist"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt",
          "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr",
@@ -41,6 +41,7 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Za-z]+")
 _BLANK = re.compile(r"\s+")
@@ -87,7 +88,7 @@ def dom(page: str) -> list[Node]:
     """Nodes in document order; number 0 is the root. Unclosed, crossed and stray tags are mended as browsers do in
     the common cases; anything else is text."""
     nodes = [Node("#root", -1, 0, frozenset(), False)]
-    stack, at, low = [0], 0, None
+    stack, at = [0], 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
         a, b = m.span()
         if a > at:
@@ -133,9 +134,8 @@ def dom(page: str) -> list[Node]:
         nodes[parent].children += 1
         nodes.append(node)
         if tag in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at) if len(low) == len(page) else -1
-            end = len(page) if end < 0 else end
+            last = _RAW_END[tag].search(page, at)
+            end = last.start() if last else len(page)
             nodes[-1].parts.append(page[at:end])
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1

@@ -289,6 +289,13 @@ def test_main_text(spark, sf_dir):
     assert dom.extract(rows.where("false"), trees).count() == 0
 
 
+def test_raw_text_ends_where_lower_case_is_longer():
+    page = PAGE.replace("<title>T", "<TITLE>\u0130stanbul").replace("First &amp;", "First <math><mi>x</mi></math> &amp;")
+    nodes = dom.dom(page)
+    assert [n.tag for n in nodes] == [n.tag for n in dom.dom(page.replace("\u0130", "I"))] and "article" in {n.tag for n in nodes}
+    assert any(b.startswith("First x") for b in dom.blocks(nodes, [n.tag not in dom.UNSEEN for n in nodes]))
+
+
 def test_kept_nodes_have_kept_ancestors():
     nodes = dom.dom(PAGE)
     keep = dom.decode(nodes, np.random.default_rng(8).normal(size=len(nodes)))
