@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # Candidates: kind -> pattern; the first group is the span.
 CANDIDATES = {
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9+/_-]{16,512}+={0,2})(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
     "account": re.compile(r"(?<![0-9A-Za-z.,+-])([0-9]{8,20})(?![0-9A-Za-z])"),
@@ -141,14 +141,14 @@ def facts(kind: str, value: str, before: str, after: str) -> dict[str, bool]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(kind, start, end, votes, features) of spans that touch no base span; votes has two bits for each labeler."""
+    """(kind, start, end, votes, features) of spans that are not within a base span; votes has two bits for each labeler."""
     held = sorted((a, b) for _, a, b in taken)
     for kind, pattern in CANDIDATES.items():
         if kind == "user" and "@" not in text:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if any(x < b and a < y for x, y in held):
+            if any(x <= a and b <= y for x, y in held):
                 continue
             f = facts(kind, m[1], text[max(0, a - 48):a], text[b:b + 8])
             votes = 0

@@ -252,6 +252,15 @@ def test_personal_data(spark, sf_dir, docs, odd, none):
     assert pii.redact("ab cd ef", [("ip", 3, 5), ("card", 4, 6)]) == "ab [IP]ef"
 
 
+def test_long_and_wide_candidates():
+    key = ("a1B2" * 150)[:512] + "+" + "c3D4" * 30
+    assert ("secret", 7, 7 + len(key)) in {c[:3] for c in pii.candidates(f'key = "{key}"', [])}
+    run = next(str(n) for n in range(12345698765432, 12345698765532) if pii.luhn(str(n)))
+    text = f"iban GB82WEST{run} x"
+    assert [s[0] for s in pii.base_spans(text)] == ["card"]
+    assert ("iban", 5, 5 + 8 + len(run)) in {c[:3] for c in pii.candidates(text, pii.base_spans(text))}
+
+
 # 7 lines (whole results are held against SQL above)
 def test_lines_odd_and_cut(spark, odd, none):
     line = "one two three four five six seven eight nine"
