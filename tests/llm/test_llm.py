@@ -107,6 +107,13 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == want
 
 
+def test_encoder_equals_unchanged_tokenizer():
+    plain, encode = Tokenizer.from_file(queries.TOKENIZER), packing.Encoder(queries.TOKENIZER)
+    for text in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "no added token"]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == want
+
+
 def test_plan_uses_each_piece_once():
     h = np.zeros(65, np.int64)
     for n in np.random.default_rng(1).integers(1, 65, 3000):
