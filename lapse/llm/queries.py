@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.llm import chat, decontaminate, dom, host_rules, langid, lines, packing, pii, resample, simhash
+from lapse.llm import (
+    chat, decontaminate, dom, dominance, host_rules, langid, lines, orchard, packing, pii, resample, simhash, variants)
 from lapse.llm.common import small_batches, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +101,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector in four codebooks, the error of each code and of each label."""
+    coded, books = orchard.compress(table(spark, sf_dir, "embeddings"))
+    return orchard.label_errors(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(orchard.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in as few sequences of at most 2048 ids as found."""
+    packed = dominance.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' count, its form and its root."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def _corpus_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +128,7 @@ def _corpus_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = {
     f.__name__: f for f in (
         op1_packing, op2_decontamination, op3_quality_sample, op4_language, op5_host_rules, op6_personal_data, op7_line_dedup,
-        op8_main_text, op9_near_duplicates, op10_chat)
+        op8_main_text, op9_near_duplicates, op10_chat, op11_orchard, op12_dominance_packing, op13_spelling_variants)
 } | {"pipeline": _corpus_pipeline}
 
 
@@ -198,5 +218,82 @@ FROM escaped GROUP BY conv_id""",
 }
 
 
+def _orchard_sql(rounds: int = 4) -> str:
+    """Nearest entries by trying all of them, round after round."""
+    def assigned(book: str) -> str:
+        return f"""SELECT vec_id, label, part, v, min(d * 256 + entry) AS best FROM (
+    SELECT p.vec_id, p.label, p.part, p.v, b.entry,
+      list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN {book} b ON p.part = b.part) GROUP BY ALL"""
+
+    steps = "".join(f"""
+a{r} AS ({assigned(f"b{r}")}),
+m{r} AS (
+  SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS v FROM (
+    SELECT part, best % 256 AS entry, i, sum(v[i])::DOUBLE AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL)
+  GROUP BY ALL),
+b{r + 1} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (part, entry)),""" for r in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, part, v[part * 16 + 1 : part * 16 + 16] AS v FROM kept, (SELECT unnest(range(4)) AS part)),
+b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),{steps}
+final AS ({assigned(f"b{rounds}")}),
+codes AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(best % 256)), 2, '0'), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error
+  FROM final GROUP BY vec_id, label),
+totals AS (SELECT label, sum(error)::BIGINT AS label_error FROM codes GROUP BY label),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM codes c JOIN totals t ON c.label IS NOT DISTINCT FROM t.label, books"""
+
+
+def _variants_sql() -> str:
+    """Near words meet by the text left without one letter; checksums go byte by byte through their table."""
+    step = "c"
+    for _ in range(8):
+        step = f"list_transform({step}, lambda c: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    step = step.replace("list_transform(c,", "list_transform(range(256),")
+    letters = "A-Za-zÀ-ÿ"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT {step} AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{letters}]+')), '{upper}', '{lower}') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195, unicode(ch)::BIGINT - 64] END)) AS b FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h
+  FROM bytes, crc_table),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+short AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM short a JOIN short b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM short a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM short a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, n, count(*) AS n_near, max(m) AS m FROM near GROUP BY word, n),
+forms AS (
+  SELECT b.word, min(x.other) AS form, b.m AS form_n FROM best b JOIN near x ON x.word = b.word AND x.m = b.m WHERE b.m >= 5 * b.n GROUP BY ALL),
+chain AS (
+  SELECT word, word AS root FROM words
+  UNION SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root),
+roots AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM words w JOIN roots r USING (word) LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word)"""
+
+
+SQL |= {"op11_orchard": _orchard_sql(), "op13_spelling_variants": _variants_sql()}
+
+
 def sql_texts() -> dict[str, str]:
     return dict(SQL)

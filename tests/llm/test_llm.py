@@ -49,7 +49,7 @@ def out(spark, sf_dir, name):
 def test_matches_sql(spark, sf_dir, name):
     df = out(spark, sf_dir, name)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(queries.SQL[name])
     names = [d[0] for d in cursor.description]
