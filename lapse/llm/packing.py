@@ -27,6 +27,13 @@ WINDOW = 2048
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def byte_stand_ins() -> dict[int, str]:
+    """The printable stand-ins of bytes in byte-level files: printable Latin-1 as it is, all others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(c) for b, c in [*zip(plain, plain), *zip(other, range(256, 512))]}
+
+
 def byte_ranks(path: str) -> dict[bytes, int] | None:
     """Byte strings and ids of a byte-level BPE file whose ids follow the order of its merges; None for any other.
 
@@ -37,10 +44,7 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     level = model.get("pre_tokenizer") or {}
     if model["model"]["type"] != "BPE" or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or model.get("normalizer"):
         return None
-    # The printable stand-ins of bytes in such files: printable Latin-1 as it is, all others from 256 on.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    stand_in = {chr(c): b for b, c in [*zip(plain, plain), *zip(other, range(256, 512))]}
+    stand_in = {c: b for b, c in byte_stand_ins().items()}
     vocabulary = model["model"]["vocab"]
     for i, pair in enumerate(model["model"]["merges"]):
         merged = "".join(pair) if isinstance(pair, list) else pair.replace(" ", "", 1)

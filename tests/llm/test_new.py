@@ -168,12 +168,17 @@ def test_dominance_packing_odd(odd, none):  # noqa: F811
     assert dominance.pack(none, queries.WORD_TOKENIZER).count() == 0
 
 
-def test_chunks_equal_whole_texts():
-    plain, encode = Tokenizer.from_file(queries.WORD_TOKENIZER), dominance.ChunkEncoder(queries.WORD_TOKENIZER)
+def test_encoder_equals_library(docs):  # noqa: F811
+    plain, encode = Tokenizer.from_file(queries.WORD_TOKENIZER), dominance.WordEncoder(queries.WORD_TOKENIZER)
+    assert encode.merges
     texts = ["a  b", "\n a", "it's 'S it's", "<|endoftext|> x<|startoftext|>y <|endoftext", "ΣΑΣ ΌΔΟΣ İI", "é ́e ́", "a\x0bb\x0cc\x1cd\x85e　f g",
-             "", "한국 한 ᄒ ᅡ", "x" * 3000, "A\x00b 12 345", "\U0001f600 ‍", "tab\tnew\r\n'll 've've"]
+             "", "한국 한 ᄒ ᅡ", "x" * 3000, "A\x00b 12 345", "\U0001f600 ‍", "tab\tnew\r\n'll 've've",
+             "x<|endoftext|>y z", "².5³ ¼½ ª º µ ¨´ «a» €5 ‘q’ – …", "ÀÉÎõÿ ŁÓDŹ Œuvre ſ ŉ ĿL", "!'s ''s 'sofa 'LL'd'", "é́ x", "a\x85b c\u2028d\x1ce", " ", "'", "\u00ad-\u00ad"]
+    texts += ["".join(map(chr, range(low, low + 64))) for low in range(0, 0x300, 64)] + [d.text or "" for d in docs]
     for text in texts * 2:
-        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
+    encode.merges = None
+    assert np.frombuffer(encode("One two"), "<u4").tolist() == plain.encode("One two", add_special_tokens=False).ids
 
 
 # 13 spelling variants (whole results are held against SQL in test_llm)
