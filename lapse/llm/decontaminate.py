@@ -4,9 +4,9 @@ Terms are the words of the benchmark: others can't tell its items apart. Passage
 frequencies, and one more pass a single-pass randomised singular value decomposition of the TF-IDF passages: every task
 sums A'(A W) over its passages for a fixed random W, the sums are added up in levels, and the small factor is decomposed
 on the driver. Windows of every document, at several lengths, are compared with all items by cosine in the latent space,
-stretches with enough of an item's rare words are added whatever their cosine, and each candidate is checked for a longest
-common subsequence and for the answer. Items are a stated query set; nothing
-grows with the square of anything, and texts are never shuffled.
+and each candidate is checked for a longest common subsequence and for the answer. Items are a stated query set; nothing
+grows with the square of anything, and texts are never shuffled. With ``exact``, stretches with enough of an item's rare
+words are candidates too, whatever their cosine: no leak is left out then, at several times the cost.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from lapse.llm.common import added, written
 PASSAGE, RANK, EXTRA = 64, 64, 16
 # Terms of the decomposition at most: more words than that share terms by their hash. Bounds matrices and broadcasts.
 MAX_TERMS = 1 << 16
+# Items at most: every window is multiplied with every item's vector, and all items travel to the tasks.
+MAX_ITEMS = 10_000
 # Shortest window; the others are powers of two times it. An item is searched in windows of at least 1.5 times its words.
 SHORTEST = 24
 # Words of a document that are projected at a time.
@@ -57,7 +59,7 @@ class Items:
 
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, limit: int = 100_000) -> Items:
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, limit: int = MAX_ITEMS) -> Items:
     """The items, on the driver: a benchmark is small, and more than ``limit`` items are an error, not a cut."""
     columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer")]
     rows = benchmark.select(*columns).limit(limit + 1).collect()
@@ -219,35 +221,99 @@ class Checker:
         return best
 
 
+# Machine words of the print of a stretch.
+PRINT = 8
+
+
+def print_bits(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(machine word, bit) of each word number in a print."""
+    place = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+    return (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
+
+
+@dataclass(frozen=True)
+class SparseBits:
+    """Whole numbers to 64 bits, all others to 0: a table with open addressing, a quarter full at most."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, bits: dict[int, int]) -> SparseBits:
+        keys = np.full(1 << max(4, (4 * len(bits)).bit_length()), -1, np.int64)
+        table = cls(keys, np.zeros(len(keys), np.uint64))
+        left = np.fromiter(bits, np.int64, len(bits))
+        value = np.fromiter(bits.values(), np.uint64, len(bits))
+        slot = table._slots(left)
+        while len(left):
+            free = keys[slot] == -1
+            keys[slot[free]] = left[free]  # of several for a slot, the last one gets it
+            done = keys[slot] == left
+            table.values[slot[done]] = value[done]
+            left, value, slot = left[~done], value[~done], (slot[~done] + 1) % len(keys)
+        return table
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slots(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.values[slot], np.uint64(0))
+        left = np.flatnonzero((found != key) & (found != -1))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.keys)
+            found = self.keys[slot[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
+
+
 @dataclass(frozen=True)
 class Bits:
     """What has to be in the words around a window before an item is compared in full, for the items of one window size.
 
-    ``word``: (item, word number) to a bit for each of the item's 32 rarest words, and above them one for each of up to
+    ``bits``: (item, word number) to a bit for each of the item's 32 rarest words, and above them one for each of up to
     32 answer words. At most ``missing`` of the first kind may be absent, and at least ``needed`` of the second present;
     both follow from the checks, so nothing that would pass them is lost. Words outside the benchmark are left out.
+    ``print``: the rare words of an item, each as one of 64 ``PRINT`` bits, of which ``overlap`` have to be set.
     """
 
-    word: np.ndarray
+    bits: SparseBits
+    n_words: int
     missing: np.ndarray
     needed: np.ndarray
     least: np.ndarray
+    print: np.ndarray
+    overlap: np.ndarray
 
     @classmethod
     def of(cls, checkers: list[Checker], idf: np.ndarray, n_words: int) -> Bits:
-        word = np.zeros((len(checkers), n_words), np.uint64)
-        missing, needed = [], []
+        word: dict[int, int] = {}
+        missing, needed, overlap = [], [], []
+        prints = np.zeros((len(checkers), PRINT), np.uint64)
         for i, c in enumerate(checkers):
             rare = sorted(c.masks, key=lambda x: (-idf[x % MAX_TERMS], x))[:32]
             answer = sorted(c.answer)[:32]
-            for j, x in enumerate(rare):
-                word[i, x] |= np.uint64(1 << j)
-            for j, x in enumerate(answer):
-                word[i, x] |= np.uint64(1 << 32 + j)
+            for j, x in [*enumerate(rare), *enumerate(answer, 32)]:
+                word[i * n_words + x] = word.get(i * n_words + x, 0) | 1 << j
             missing.append(len(rare) - (c.size - c.least))
             # Of a longer answer, half may be outside the words that have a bit.
             needed.append(max(0, -(-len(c.answer) // 2) - (len(c.answer) - len(answer))))
-        return cls(word, np.array(missing), np.array(needed), np.array([c.least for c in checkers]))
+            cell, bit = print_bits(np.array(rare, np.int64))
+            np.bitwise_or.at(prints[i], cell, bit)
+            overlap.append(int(np.bitwise_count(prints[i]).sum()) - (c.size - c.least))
+        return cls(SparseBits.of(word), n_words, np.array(missing), np.array(needed), np.array([c.least for c in checkers]),
+                   prints, np.array(overlap))
+
+    def may_pass(self, around: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which pairs of a window and an item may pass by their prints: words that share a bit only add to it."""
+        out = np.zeros(len(item), bool)
+        for at in range(0, len(item), 1 << 14):
+            w, i = window[at:at + (1 << 14)], item[at:at + (1 << 14)]
+            out[at:at + (1 << 14)] = np.bitwise_count(around[w] & self.print[i]).sum(axis=1, dtype=np.int64) >= self.overlap[i]
+        return out
 
     def pass_on(self, item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Which pairs of an item and the words from ``low`` to ``high`` may pass."""
@@ -256,7 +322,7 @@ class Bits:
             i, a, n = item[at:at + 4096], low[at:at + 4096], (high - low)[at:at + 4096]
             starts = np.cumsum(n) - n
             place = np.repeat(a - starts, n) + np.arange(n.sum())
-            seen = np.bitwise_or.reduceat(self.word[np.repeat(i, n), words[place]], starts)
+            seen = np.bitwise_or.reduceat(self.bits[np.repeat(i, n) * self.n_words + words[place]], starts)
             rare = np.bitwise_count(seen & np.uint64(0xFFFFFFFF))
             answer = np.bitwise_count(seen >> np.uint64(32))
             out[at:at + 4096] = (rare >= self.missing[i]) & (answer >= self.needed[i])
@@ -320,12 +386,13 @@ def pieces(bounds: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.3, share: float = 0.7,
+    item_text_col: str = "text", answer_col: str | None = None, cosine: float = 0.3, share: float = 0.7, exact: bool = False,
 ) -> DataFrame:
     """(id, item_id, cosine, n_common, n_item_words, word_start) per document and item found in it.
 
     A leak is a stretch of at most 1.5 times the item's words that has ``share`` of them in order (all of them, in a row,
-    for items of under 8 words) and at least half of the answer's words. Null and wordless texts and items have no
+    for items of under 8 words) and at least half of the answer's words. It is searched where the cosine of a window and
+    the item is at least ``cosine``, or everywhere with ``exact``. Null and wordless texts and items have no
     leaks; repeated rows are found each; an empty benchmark or table gives no rows. Other columns are not read. Whole
     texts are searched; a text's words are projected a stretch at a time.
     """
@@ -349,7 +416,8 @@ def leaks(
             scales.setdefault(size, []).append(i)
     vectors, bits, lists = {}, {}, {}
     for size, some in scales.items():
-        lists[size] = Lists.of([checkers[i] for i in some], idf, len(items.place))
+        if exact:
+            lists[size] = Lists.of([checkers[i] for i in some], idf, len(items.place))
         bits[size] = Bits.of([checkers[i] for i in some], idf, len(items.place))
         v = np.array([latent[np.array(items.words[i]) % MAX_TERMS].sum(axis=0) for i in some])
         vectors[size] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
@@ -379,6 +447,9 @@ def leaks(
         sums = rows_of[slots[:, 0]]
         for j in range(1, cell):
             sums += rows_of[slots[:, j]]
+        prints = np.zeros((len(sums), PRINT), np.uint64)
+        column, bit = print_bits(words)
+        np.bitwise_or.at(prints.reshape(-1), (first[piece] + (at - lows[piece]) // cell) * PRINT + column, bit)
         size = SHORTEST
         while True:
             if size in scales:
@@ -388,9 +459,14 @@ def leaks(
                 of = np.repeat(np.arange(len(lows)), n)
                 start = lows[of] + (np.arange(total) - np.repeat(np.cumsum(n) - n, n)) * step
                 norm = np.linalg.norm(v, axis=1)
+                # A window's print with a cell before it and one after.
+                wide = np.concatenate((prints[:1] * 0, prints, prints[:2] * 0))
+                around = wide[:total] | wide[1:total + 1] | wide[2:total + 2] | wide[3:total + 3] | wide[4:total + 4]
                 for low in range(0, total, 4096):
                     near = v[low:low + 4096] @ vectors[size]
                     w, i = np.nonzero(near >= cosine * np.maximum(norm[low:low + 4096, None], 1e-9))
+                    may = bits[size].may_pass(around, w + low, i)
+                    w, i = w[may], i[may]
                     near, w = near[w, i] / norm[low + w], w + low
                     # A window that runs over the end of its piece sees words of the next: the checks don't.
                     a, b = np.maximum(start[w] - step, lows[of[w]]), np.minimum(start[w] + size + step, highs[of[w]])
@@ -403,6 +479,7 @@ def leaks(
                 return
             size *= 2
             sums = sums[0::2] + sums[1::2]
+            prints = prints[0::2] | prints[1::2]
 
     def others(number: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """As ``candidates``, by rare words in place of the cosine: no stretch that passes is left out."""
@@ -428,7 +505,8 @@ def leaks(
             number, bounds = _flat(batch.column(1))
             best: dict[tuple[int, int], tuple] = {}
             for texts, lows, highs in pieces(bounds, 4 * widest):
-                for item, piece, low, high, c in chain(candidates(number, lows, highs), others(number, lows, highs)):
+                found = candidates(number, lows, highs)
+                for item, piece, low, high, c in chain(found, others(number, lows, highs)) if exact else found:
                     row, hit = int(texts[piece]), checkers[item].find(number[low:high])
                     if hit and ((row, item) not in best or hit[0] > best[row, item][1]):
                         best[row, item] = c, hit[0], checkers[item].size, low + hit[1] - int(bounds[row])

@@ -20,7 +20,8 @@ from lapse.llm import chat, decontaminate, dom, host_rules, langid, lines, packi
 
 ODD = [None, "", " \t\n", "a", "word " * 5000, "Ünï ’’ 　x", "a\x00b \\ ### </turn>", "x" * 30_000, "the same text here", "the same text here"]
 # Extra columns with the names that operators use inside.
-EXTRA = {"id": "int", "fp": "string", "words": "int", "hi": "int", "key": "string", "length": "int", "node": "int", "_key": "int", "rows": "int"}
+EXTRA = {"id": "int", "fp": "string", "words": "int", "hi": "int", "key": "string", "length": "int", "node": "int", "_key": "int", "rows": "int",
+         "n": "int", "_kept": "int", "row": "int", "spans": "string", "removed": "int", "word": "int", "label": "int", "n_chars_": "int"}
 
 
 @pytest.fixture(scope="module")
@@ -171,8 +172,38 @@ def test_leaks_wherever_they_start(spark):
     docs = spark.createDataFrame([(k, " ".join([f"lead{j}" for j in range(k)] + spread + ["end"] * 40)) for k in range(40)], "doc_id long, text string")
     assert len(spread) == 96
     assert {r.id for r in decontaminate.leaks(docs, bench, answer_col="answer").collect()} == set(range(40))
-    # Nothing is lost by the cosine: with a bar that no window reaches, the same leaks are found.
-    assert {r.id for r in decontaminate.leaks(docs, bench, answer_col="answer", cosine=2.0).collect()} == set(range(40))
+    # The whole search finds the same, and without it nothing is found but by the cosine.
+    assert {r.id for r in decontaminate.leaks(docs, bench, answer_col="answer", cosine=2.0, exact=True).collect()} == set(range(40))
+    assert decontaminate.leaks(docs, bench, answer_col="answer", cosine=2.0).count() == 0
+
+
+def test_recall_on_paraphrases(spark, docs):
+    """Items of the benchmark with a share of their words changed, dropped or moved apart, inside other texts."""
+    rng = np.random.default_rng(7)
+    items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()}
+    other = " ".join(d.text or "" for d in docs[:60]).split()
+    made = []
+    for k, (item, text) in enumerate(items.items()):
+        words = text.split()
+        for share in (0.1, 0.2, 0.3):
+            out = []
+            for w in words:
+                u = rng.random()
+                if u < share / 2:
+                    out.append(str(rng.choice(other)))
+                elif u >= share:
+                    out.append(w)
+                if rng.random() < share / 2:
+                    out.append(str(rng.choice(other)))
+            at = int(rng.integers(0, len(other) - 400))
+            made.append((len(made), item, " ".join(other[at:at + 150] + out + other[at + 200:at + 300])))
+    frame = spark.createDataFrame(made, "doc_id long, item long, text string").repartition(8)
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    whole = {(r.id, r.item_id) for r in decontaminate.leaks(frame, bench, exact=True).collect()}
+    found = {(r.id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()}
+    assert found <= whole and len(whole) > 0.5 * len(made)
+    print(f"paraphrases: {len(whole)} leaks, recall of the cosine step {len(found) / len(whole):.4f}")
+    assert len(found) >= 0.99 * len(whole)
 
 
 # 3 resampling
@@ -207,11 +238,34 @@ def test_language(spark, odd, none):
         assert (r.lang_pred == "und") == (not regex.search(r"\p{L}", r.text or "")) and 0 <= r.score <= 1
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     model = langid.train(odd, F.lit(True))
+    assert model is not None
     assert langid.predict(odd, model).count() == odd.count()
     assert langid.train(none, F.lit(True)) is None
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs, ~langid.held_out())
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。",
+        "qxzv wkjh plmq zzxw kkjq vbnm wqrt ppkl xzcv qwrt hjkq zxqv"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).collect()
+    assert all(r.rejected for r in got)
+    clean = langid.predict(docs.where(langid.held_out() & F.col("lang").isNotNull()), model)
+    assert clean.agg(F.avg(F.col("rejected").cast("double"))).first()[0] < 0.004
+    assert model.least_score < 1 and np.isfinite(model.least_usual)
+
+
+def test_more_languages_than_a_model_holds(spark):
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.train(many, F.lit(True))
+
+
 # 5 host rules (counts and verdicts are held against SQL above)
 def test_host_rules_odd(odd, none):
     rows = host_rules.host_rules(odd).collect()
@@ -273,6 +327,16 @@ def test_lines_odd_and_cut(spark, odd, none):
     line = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(1, f"{line}\nx", 5), (2, f"y\n{line.upper()}!\nz", 6), (3, None, 7), (None, line, 8)], "doc_id long, text string, start int")
     gone = lines.repeated_units(docs)
+    whole = {r.id: r for r in lines.deduplicated(docs).collect()}
+    assert {(i, r.n_lines, r.n_removed, r.text) for i, r in whole.items()} == {
+        (1, 2, 0, f"{line}\nx"), (2, 3, 1, "y\nz"), (3, 1, 0, ""), (None, 1, 1, "")}
+    # Different texts under one id, null ids too, are different documents; adjoining lines are one passage.
+    poem = "\n".join(" ".join(f"w{i}_{j}" for j in range(9)) for i in range(8))
+    same = spark.createDataFrame([(None, "p\n" + poem), (None, poem + "\nq"), (4, "a"), (4, "b")], "doc_id long, text string")
+    rows = sorted((r.n_removed, r.n_passages, r.text) for r in lines.deduplicated(same).collect())
+    assert [r[:2] for r in rows] == [(0, 0)] * 3 + [(8, 1)] and rows[-1][2] == "p\n"
+    assert lines.deduplicated(odd).count() == odd.count() and lines.deduplicated(none).count() == 0
+    assert lines.without_units(odd, lines.repeated_units(odd)).columns == odd.columns
     assert {(r.id, r.start, r.first_id) for r in gone.collect()} == {(2, 2, 1), (None, 0, 1)}
     cut = {r.doc_id: r.text for r in lines.without_units(docs, gone).collect()}
     assert cut == {1: f"{line}\nx", 2: "y\nz", 3: None, None: ""}
@@ -386,6 +450,13 @@ def test_chat_round_trip_and_fold(spark):
     assert chat.formatted_conversations(turns.where("false")).count() == 0
 
 
+def test_no_control_string_is_left_in_a_body(spark):
+    texts = ["#" * k for k in range(9)] + ["\\#" * 4, "#\\##\\###", "</turn></turn>###</turn>", "##</turn>##", "a#### b##### \\\\##"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
+    for r in rows.select("t", "e", chat.unescape(F.col("e")).alias("back")).collect():
+        assert "###" not in r.e and "##" not in r.e and "</turn>" not in r.e and r.back == r.t
+
+
 # pipeline
 def jaccard(a, b):
     x, y = ({" ".join(t.encode().lower().decode().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
