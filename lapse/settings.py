@@ -141,9 +141,13 @@ class ModelSettings:
     gbt_depth: int = 5
     gbt_step: float = 0.05
     gbt_subsample: float = 0.8
-    gbt_feature_share: str = "0.8"
+    gbt_feature_share: float = 0.8
+    # Rounds without a better log loss on the validation rows.
+    gbt_patience: int = 10
     boost2_rounds: int = 200
     boost2_step: float = 0.1
+    boost2_leaves: int = 31
+    boost2_min_rows: int = 20
     svm_max_iter: int = 2000
     svm_folds: int = 5
     # Optional row caps for the SVM fit, per source.

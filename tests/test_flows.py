@@ -42,8 +42,8 @@ def test_run_writes_everything(spark, run, out):
     assert log["dataset"] == "star_orders" and log["schema_errors"] == 0
     risk = K.read_table(spark, scope.results("risk_scoring", run.best_model))
     assert risk.where("risk_percentile > 100 or risk_percentile <= 0").count() == 0
-    svm = K.load_svm(scope.models("svm"), 2)
-    assert len(svm.pairs) == 2
+    svm = K.load_svm(spark, scope.models("svm"))
+    assert len(svm.folds) == 2
 
 
 def test_master_keeps_other_datasets(spark, run, out):

@@ -134,14 +134,16 @@ def _expected(tree, x, known, at=0):
             + right["cover"] * _expected(tree, x, known, node["right"])) / node["cover"]
 
 
-@pytest.mark.parametrize("name", ["random_forest", "xgboost"])
+@pytest.mark.parametrize("name", ["random_forest", "xgboost", "lightgbm"])
 def test_tree_attribution_is_the_shapley_value(spark, matrix, trained, name):
-    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/m"
-    trained.models[name].write().save(path)
-    nodes = AT.tree_nodes(spark, path)
+    if name == "random_forest":
+        path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/m"
+        trained.models[name].write().save(path)
+        nodes = AT.tree_nodes(spark, path)
+    else:
+        nodes = trained.models[name].nodes(spark)
     rows = matrix.limit(4)
-    scale = 1.0 if name == "random_forest" else 2.0
-    got = AT.tree_attribution(rows, trained.features, nodes, scale).toPandas()
+    got = AT.tree_attribution(rows, trained.features, nodes).toPandas()
     x = rows.toPandas().set_index("customer_id")
     table = nodes.toPandas()
     trees = [(t["weight"].iloc[0], t.set_index("id").to_dict("index"))
@@ -158,7 +160,7 @@ def test_tree_attribution_is_the_shapley_value(spark, matrix, trained, name):
                     for weight, tree in trees:
                         want += w * weight * (_expected(tree, values, {*known, j})
                                               - _expected(tree, values, set(known)))
-            assert row[f] == pytest.approx(want * scale, abs=1e-9)
+            assert row[f] == pytest.approx(want, abs=1e-9)
         p = trained.predict(rows.where(F.col("customer_id") == int(row["customer_id"])), [name]).first()["p"]
         margin = row["base_value"] + row[trained.features].sum()
         shown = margin if name == "random_forest" else 1 / (1 + np.exp(-margin))
