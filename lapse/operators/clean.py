@@ -13,6 +13,7 @@ from lapse import settings
 from lapse.functions import scalars as S
 from lapse.functions import timing as tm
 from lapse.operators.order_stats import exact_quantiles
+from lapse.operators.rank_search import column_quantiles
 from lapse.schema import CUSTOMER, TIME
 
 # Encodings become one column (or one literal) per value; beyond this the column is an identifier.
@@ -64,6 +65,12 @@ def cap_at_quantile(
     return df if cap is None else df.withColumn(column, S.clip_upper(column, cap))
 
 
+def cap_all_at_quantile(df: DataFrame, columns: Sequence[str], q: float = settings.OUTLIER_QUANTILE) -> DataFrame:
+    """``cap_at_quantile`` for several columns, whose caps are found in one search."""
+    caps = column_quantiles(df, [F.col(f"`{c}`") for c in columns], [q]) if columns else []
+    return df.withColumns({c: S.clip_upper(c, cap) for c, (cap,) in zip(columns, caps) if cap is not None and cap > 0})
+
+
 def fill_median(
     df: DataFrame, column: str, fallback: float = 5.0, fit_on: DataFrame | None = None
 ) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Two tools carry every ordered computation of the library:
 
-* :func:`exact_quantiles` narrows a bracket around the wanted ranks with mergeable sketches and
-  counts; only a bounded slice of values is ever ranked.
+* :func:`exact_quantiles` narrows brackets around the wanted ranks (``rank_search``); only a bounded number of
+  values is ever ranked.
 * :func:`slice_groups` cuts groups larger than a row limit into ordered slices, so windows run on
   (key, slice) and per-slice totals supply the offsets. Groups below the limit stay whole and pay
   nothing extra.
@@ -17,6 +17,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapse.operators import rank_search as R
+
 SKETCH_ACCURACY = 10_000
 # Rows of one key that a single window task may hold.
 GROUP_ROW_LIMIT = 2_000_000
@@ -25,111 +27,33 @@ MAX_BORDERS = 200_000
 # Borders of one key: 1,023 at least, more only where its rows ask for them.
 _GRID = (1_024, 16_384)
 _INNER = 2**32
-# Values ranked in one bounded aggregate.
-DIRECT_RANK_ROWS = 500_000
 
 
 # --------------------------------------------------------------------------- exact quantiles
 
 
-def _select_rank(values: DataFrame, rank: int, total: int, direct_rows: int):
-    """Value at a zero-based rank of column ``v``; each pass shrinks the bracket by the sketch error.
-
-    Rows tied with a border are counted exactly, so heavy ties end the search instead of stalling it.
-    """
-    scope, below, inside, margin = values, 0, total, 2.0 / SKETCH_ACCURACY
-    v = F.col("v")
-    while inside > direct_rows:
-        at = (rank - below) / inside
-        low, high = scope.agg(
-            F.percentile_approx(
-                "v", [max(0.0, at - margin), min(1.0, at + margin)], SKETCH_ACCURACY
-            ).alias("p")
-        ).first()["p"]
-        tally = scope.agg(
-            F.count(F.when(v < F.lit(low), 1)).alias("under"),
-            F.count(F.when(v == F.lit(low), 1)).alias("at_low"),
-            F.count(F.when(v < F.lit(high), 1)).alias("under_high"),
-            F.count(F.when(v == F.lit(high), 1)).alias("at_high"),
-        ).first()
-        first = below + tally["under"]
-        second = below + tally["under_high"]
-        if first <= rank < first + tally["at_low"]:
-            return low
-        if second <= rank < second + tally["at_high"]:
-            return high
-        if first + tally["at_low"] <= rank < second:
-            scope = scope.where((v > F.lit(low)) & (v < F.lit(high)))
-            below = first + tally["at_low"]
-            inside = second - below
-        else:
-            margin = min(1.0, margin * 4)
-    table = scope.groupBy("v").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("v")
-    upto = table["n"].cumsum().to_numpy() + below
-    return table["v"].iloc[int((upto <= rank).sum())]
-
-
-def _interpolate(low, high, fraction: float) -> float:
-    if isinstance(low, float):
-        return float(low + (high - low) * fraction)
-    return float(int(low) + (int(high) - int(low)) * fraction)
-
-
-def _clean_values(df: DataFrame, column) -> DataFrame:
-    expression = F.col(column) if isinstance(column, str) else column
-    values = df.select(expression.alias("v")).where(F.col("v").isNotNull())
-    if dict(values.dtypes)["v"] in ("double", "float"):
-        values = values.where(~F.isnan("v"))
-    return values
-
-
 def exact_quantiles(
-    df: DataFrame, column, probabilities: Sequence[float], direct_rows: int = DIRECT_RANK_ROWS,
+    df: DataFrame, column, probabilities: Sequence[float], direct_rows: int | None = None,
     total: int | None = None,
 ) -> list[float | None]:
     """Linearly interpolated quantiles over the non-null values of a numeric column.
 
-    Every pass is a map-side combined aggregate. The driver sees sketches, counts and at most
-    ``direct_rows`` distinct values. Returns nulls for an empty column. A caller that already knows
-    the number of non-null values passes it as ``total``.
+    Returns nulls for an empty column. A caller that already knows the number of non-null values passes it as ``total``.
     """
-    values = _clean_values(df, column)
-    total = values.count() if total is None else total
     if total == 0:
         return [None] * len(probabilities)
-    if total <= direct_rows:
-        table = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("v")
-        upto = table["n"].cumsum().to_numpy()
-        column_values = table["v"].tolist()
-        pick = lambda rank: column_values[int((upto <= rank).sum())]
-    else:
-        pick = None
-    out = []
-    for probability in probabilities:
-        position = probability * (total - 1)
-        lower = int(position)
-        fraction = position - lower
-        upper = min(lower + 1, total - 1)
-        if pick is not None:
-            low, high = pick(lower), pick(upper)
-        else:
-            low = _select_rank(values, lower, total, direct_rows)
-            after = values.agg(
-                F.count(F.when(F.col("v") <= F.lit(low), 1)).alias("upto"),
-                F.min(F.when(F.col("v") > F.lit(low), F.col("v"))).alias("next"),
-            ).first()
-            high = low if after["upto"] > upper else after["next"]
-        out.append(_interpolate(low, high, fraction))
-    return out
+    values = R.series_values(df, [column])
+    found = R.quantiles_of(values, probabilities, None if total is None else {0: total}, direct_rows)
+    return found.get(0, [None] * len(probabilities))
 
 
 def order_statistic(
-    df: DataFrame, column, rank: int, direct_rows: int = DIRECT_RANK_ROWS,
-    total: int | None = None,
+    df: DataFrame, column, rank: int, direct_rows: int | None = None, total: int | None = None,
 ):
     """The value at a zero-based rank; ties count by row."""
-    values = _clean_values(df, column)
-    return _select_rank(values, rank, values.count() if total is None else total, direct_rows)
+    values = R.series_values(df, [column])
+    totals = None if total is None else {0: total}
+    return R.find_ranks(values, lambda _: {0: [rank]}, totals, direct_rows)[0][rank]
 
 
 # ------------------------------------------------------------------- ordered work within keys

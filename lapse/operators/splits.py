@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions import scalars as S
+from lapse.operators import rank_search as R
 from lapse.operators.clean import category_values
 from lapse.operators.order_stats import order_statistic
 from lapse.schema import CUSTOMER
@@ -22,22 +23,36 @@ def _class_takes(df: DataFrame, label: str, takes) -> dict:
     return {value: (min(n, max(0, takes(n, total))), n) for value, n in counts.items()}
 
 
+def _class_ranks(keyed: DataFrame, label: str, ranks: dict, sizes: dict) -> dict:
+    """class -> rank -> key at that zero-based rank of the class: one search for all classes."""
+    wanted = {value: [r for r in some if 0 <= r < sizes[value]] for value, some in ranks.items()}
+    order = [value for value, some in wanted.items() if some]
+    if not order:
+        return {}
+    series = F.lit(None).cast("int")
+    for i, value in enumerate(order):
+        series = F.when(F.col(label) == F.lit(value), F.lit(i)).otherwise(series)
+    values = keyed.select(series.alias("series"), F.col(_KEY).alias("v")).where("series is not null")
+    found = R.find_ranks(R.known(values), lambda _: {i: wanted[v] for i, v in enumerate(order)}, {i: sizes[v] for i, v in enumerate(order)})
+    return {v: found[i] for i, v in enumerate(order)}
+
+
 def _under_threshold(df: DataFrame, label: str, takes: dict):
     """Condition that selects the wanted number of rows of each class, smallest keys first.
 
     The per-class threshold is an exact order statistic of the hash, so marking the rows is a plain
     filter instead of a ranking window over a whole class.
     """
+    some = {value: [take - 1] for value, (take, size) in takes.items() if 0 < take < size}
+    borders = _class_ranks(df, label, some, {value: size for value, (_, size) in takes.items()})
     condition = F.lit(False)
     for value, (take, size) in takes.items():
         if take <= 0:
             continue
         mine = F.col(label) == F.lit(value)
-        if take == size:
-            condition = condition | mine
-            continue
-        border = order_statistic(df.where(mine), F.col(_KEY), take - 1, total=size)
-        condition = condition | (mine & (F.col(_KEY) <= F.lit(int(border))))
+        if take < size:
+            mine = mine & (F.col(_KEY) <= F.lit(int(borders[value][take - 1])))
+        condition = condition | mine
     return condition
 
 
@@ -88,17 +103,13 @@ def with_folds(
     """Stratified folds: within each class, hash-ordered blocks of equal size."""
     keyed = df.withColumn(_KEY, S.stable_hash(list(ids), seed, "fold"))
     counts = {r[label]: r["n"] for r in keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = {value: [n * f // folds for f in range(1, folds) if n * f // folds >= 1] for value, n in counts.items() if value is not None}
+    borders = _class_ranks(keyed, label, {value: [at - 1 for at in some] for value, some in starts.items()}, counts)
     fold = F.lit(0)
-    for value, n in counts.items():
-        mine = keyed.where(F.col(label) == F.lit(value))
-        for f in range(1, folds):
-            start = n * f // folds
-            if start < 1:
-                continue
-            border = int(order_statistic(mine, F.col(_KEY), start - 1, total=n))
-            fold = fold + F.when(
-                (F.col(label) == F.lit(value)) & (F.col(_KEY) > F.lit(border)), 1
-            ).otherwise(0)
+    for value, some in starts.items():
+        for at in some:
+            over = (F.col(label) == F.lit(value)) & (F.col(_KEY) > F.lit(int(borders[value][at - 1])))
+            fold = fold + F.when(over, 1).otherwise(0)
     return keyed.withColumn(name, fold).drop(_KEY)
 
 
