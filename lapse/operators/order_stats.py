@@ -4,8 +4,8 @@ Two tools carry every ordered computation of the library:
 
 * :func:`exact_quantiles` narrows brackets around the wanted ranks (``rank_search``); only a bounded number of
   values is ever ranked.
-* :func:`slice_groups` cuts groups larger than a row limit into ordered slices, so windows run on
-  (key, slice) and per-slice totals supply the offsets. Groups below the limit stay whole and pay
+* :func:`slice_groups` deals groups larger than a row limit by ranges of their order, so windows run on
+  (key, range) and totals per range supply the offsets. Groups below the limit stay whole and pay
   nothing extra.
 """
 
@@ -13,20 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.operators import rank_search as R
+from lapse.session import materialise
 
-SKETCH_ACCURACY = 10_000
 # Rows of one key that a single window task may hold.
 GROUP_ROW_LIMIT = 2_000_000
-# Upper bound on slice borders kept for all hot keys together; they are broadcast (8 bytes each).
-MAX_BORDERS = 200_000
-# Borders of one key: 1,023 at least, more only where its rows ask for them.
-_GRID = (1_024, 16_384)
-_INNER = 2**32
 
 
 # --------------------------------------------------------------------------- exact quantiles
@@ -89,8 +85,8 @@ class SlicedGroups:
         return Window.partitionBy(*self.slice_keys).orderBy(*map(self._ordered, self.order_names))
 
     def slices(self):
-        """Window over the slice totals of one key, in group order."""
-        return Window.partitionBy(*self.keys).orderBy(self._ordered("_slice"))
+        """Window over the slice totals of one key, in group order; slices are numbered in it."""
+        return Window.partitionBy(*self.keys).orderBy("_slice")
 
 
 def slice_groups(
@@ -105,107 +101,39 @@ def slice_groups(
 ) -> SlicedGroups:
     """Prepare ordered work per key without putting a hot key into one task.
 
-    One light aggregate finds keys above ``row_limit`` and the quantile borders of their order
-    column. Their rows get a slice number from those borders; every other key stays in slice 0.
-    Where one order value alone exceeds the limit, its rows are cut by the first tie-breaker in the same
-    way, and so on through all tie-breakers; only rows that agree in all of them, or in the first seven
-    bytes of a text, stay together.
-    ``max_rows_per_key`` states a bound the caller has proven and skips the search.
-    ``spread_ties`` (a whole number per row) lets rows with one and the same order value fill several
-    slices; it is for callers to whom the order among ties means nothing.
+    One light aggregate tells whether a key has more than ``row_limit`` rows. Where none has, windows run on the keys.
+    Otherwise the rows of such keys, and only they, are dealt by ranges of (keys, order, tie-breakers): a range is a slice,
+    its number follows the order, and a key goes on in the next range. That works for any number of hot keys, for texts
+    and for tied order values alike; only rows that agree in all of these columns stay together.
+    ``max_rows_per_key`` states a bound the caller has proven and skips the aggregate.
+    ``spread_ties`` (a whole number per row) lets rows that agree fill several slices; it is for callers to whom the
+    order among ties means nothing.
     """
     keys = tuple(keys)
     names = (order_by, *tie_breakers)
     whole = SlicedGroups(df, keys, names, descending, False)
     if max_rows_per_key is not None and max_rows_per_key <= row_limit:
         return whole
-
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > row_limit)
-    summary = hot.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("_rows").alias("rows"), F.max("_rows").alias("largest")
-    ).first()
-    if not summary["k"]:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > row_limit)
+    hot_rows = sizes.agg(F.sum("_rows")).first()[0]
+    if not hot_rows:
         return whole
-
-    # Enough borders for slices near the limit, and never more than MAX_BORDERS in total.
-    step = max(row_limit // 2, -(-int(summary["rows"]) // MAX_BORDERS))
-    spark = df.sparkSession
-    if summary["k"] > MAX_BORDERS:
-        return slice_groups(
-            df, keys, order_by, tie_breakers, descending, row_limit * 4, spread_ties=spread_ties
-        )
-    cuts = min(max(_GRID[0], -(-int(summary["largest"]) // step)), _GRID[1])
-    grid = [i / cuts for i in range(1, cuts)]
-    along = _sortable(df, order_by)
-    if keys:
-        hot_rows = df.join(hot.drop("_rows"), list(keys), "left_semi")
-    else:
-        hot_rows = df
-    borders = hot_rows.groupBy(*keys).agg(
-        F.percentile_approx(along, grid, max(SKETCH_ACCURACY, 4 * cuts)).alias("_grid"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    pick = F.greatest(F.lit(1), (F.lit(cuts) * F.lit(step) / F.col("_rows")).cast("int"))
-    picked = F.filter(F.col("_grid"), lambda _, i: F.pmod(i + 1, pick) == 0)
-    if spread_ties is None:
-        picked = F.array_distinct(picked)
-    borders = borders.select(*keys, picked.alias("_borders"))
-    # Collected once, so every branch of the plan sees the same borders even after task retries.
-    rows = borders.collect()
-    if keys:
-        lookup = F.broadcast(spark.createDataFrame(rows, borders.schema))
-        joined = df.join(lookup, list(keys), "left")
-    else:
-        joined = df.withColumn("_borders", F.array(*[F.lit(b) for b in rows[0]["_borders"]]))
-    passed = F.size(F.filter(F.col("_borders"), lambda b: b < along))
-    if spread_ties is not None:
-        # A value equal to several borders owns all slices between them.
-        owned = F.size(F.filter(F.col("_borders"), lambda b: b == along)) + 1
-        passed = passed + F.pmod(spread_ties, owned).cast("int")
-    frame = joined.withColumn(
-        "_slice", F.coalesce(F.when(F.col("_borders").isNotNull(), passed), F.lit(0))
-    ).drop("_borders")
-    if spread_ties is None and tie_breakers and dict(df.dtypes)[order_by] != "string":
-        frame = _cut_ties(frame, keys, names, along, descending, row_limit)
-    return SlicedGroups(frame, keys, names, descending, True)
-
-
-def _sortable(df: DataFrame, name: str) -> Column:
-    """A number or instant in the order of the column; texts count by their first seven bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind != "string":
-        return F.col(name).cast("int") if kind == "boolean" else F.col(name)
-    head = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
-def _cut_ties(
-    frame: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], along: Column, descending: bool,
-    row_limit: int,
-) -> DataFrame:
-    """Put order values with too many rows into slices of their own and cut those by the next column."""
-    value, outer = f"_value{len(names)}", f"_outer{len(names)}"
-    tied = (frame.groupBy(*keys, along.alias(value)).agg(F.count(F.lit(1)).alias("_rows"))
-            .where(F.col("_rows") > row_limit))
-    rows = tied.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_tied"))
-    found = rows.collect()
-    if not found:
-        return frame
+    # Ranges come from a sample, so they differ in size: twice as many keep them near the limit.
+    ranges = 2 * -(-int(hot_rows) // row_limit)
+    order = [whole._ordered(name) for name in names]
+    spread = [] if spread_ties is None else [spread_ties]
     if keys:
-        lookup = F.broadcast(frame.sparkSession.createDataFrame(found, rows.schema))
-        marked = frame.join(lookup, list(keys), "left")
+        marks = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+        marked = df.join(marks, reduce(lambda a, b: a & b, same), "left").drop(*[f"_hot_{k}" for k in keys])
     else:
-        marked = frame.withColumn("_tied", F.array(*[F.lit(v) for v in found[0]["_tied"]]))
-    below = F.size(F.filter(F.col("_tied"), lambda v: v < along))
-    upto = F.size(F.filter(F.col("_tied"), lambda v: v <= along))
-    shift = F.coalesce(F.when(F.col("_tied").isNotNull(), below + upto), F.lit(0))
-    marked = marked.withColumn(outer, F.col("_slice") + shift).drop("_slice", "_tied")
-    inner = slice_groups(
-        marked.withColumn(value, along), [*keys, value], names[1], names[2:], descending, row_limit)
-    sub = F.col("_slice") if inner.sliced else F.lit(0)
-    slice_no = F.col(outer).cast("long") * F.lit(_INNER) + sub
-    return inner.frame.withColumn("_slice", slice_no).drop(outer, value)
+        marked = df.withColumn("_hot", F.lit(True))
+    hot = marked.where(F.col("_hot")).drop("_hot")
+    dealt = hot.repartitionByRange(ranges, *[F.col(k) for k in keys], *order, *spread)
+    # Kept as they are: every reader sees the same ranges, also after a task was run again.
+    frozen = materialise(dealt.withColumn("_slice", F.spark_partition_id() + 1))
+    cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn("_slice", F.lit(0))
+    return SlicedGroups(cold.unionByName(frozen), keys, names, descending, True)
 
 
 def _attach(local: DataFrame, heads: DataFrame, groups: SlicedGroups) -> DataFrame:
