@@ -66,8 +66,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines to remove, with their offsets in the document."""
-    return lines.repeated_units(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Every document without the lines that an earlier one has: removed spans, and size and digest of what is left."""
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_passages", F.array_join(spans, ",").alias("removed"), "n_chars",
+        F.sha2("text", 256).alias("left_sha256"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,28 +191,40 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source""",
     "op7_line_dedup": r"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS line
+  SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS line, len(a) AS n
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
 placed AS (
-  SELECT doc_id, line, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i
+  SELECT doc_id, line, i, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines),
 units AS (
-  SELECT doc_id, start, start + length(line) AS "end",
+  SELECT *, start + length(line) AS "end",
     array_to_string(regexp_extract_all(lower(line), '[\p{L}\p{N}\p{M}]+'), ' ') AS unit FROM placed),
+long AS (SELECT doc_id, i, unit, start, len(string_split(unit, ' ')) AS words FROM units WHERE len(string_split(unit, ' ')) >= 8),
 ranked AS (
-  SELECT *, count(*) OVER (PARTITION BY unit) AS copies,
-    first_value(doc_id) OVER w AS first_id, first_value(start) OVER w AS first_start
-  FROM units WHERE len(string_split(unit, ' ')) >= 8 WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start))
-SELECT doc_id, start, "end", first_id, first_start, copies FROM ranked
-WHERE copies > 1 AND NOT (doc_id = first_id AND start = first_start)""",
+  SELECT doc_id, i, words, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM long),
+marked AS (
+  SELECT u.*, coalesce(r.gone, false) AS gone, coalesce(r.words, 0) AS words FROM units u LEFT JOIN ranked r USING (doc_id, i)),
+stretches AS (
+  SELECT doc_id, sum(words) AS words FROM (
+    SELECT doc_id, gone, words, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS stretch FROM marked)
+  WHERE gone GROUP BY doc_id, stretch),
+passages AS (SELECT doc_id, count(*) AS n FROM stretches WHERE words > 50 GROUP BY doc_id),
+cut AS (
+  SELECT doc_id, max(n)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+    coalesce(string_agg(start || ':' || "end", ',' ORDER BY start) FILTER (gone), '') AS removed,
+    coalesce(string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY start) FILTER (NOT gone), '') AS remaining
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, coalesce(p.n, 0)::BIGINT AS n_passages, removed, length(remaining)::BIGINT AS n_chars,
+  sha256(remaining) AS left_sha256
+FROM cut LEFT JOIN passages p USING (doc_id)""",
     "op10_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 escaped AS (
-  SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\#\#') AS body,
-    replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\#\#'), ': ', ':\ ') AS head FROM rows)
+  SELECT *, replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#') AS body,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#'), ': ', ':\ ') AS head FROM rows)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
