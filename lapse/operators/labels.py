@@ -271,12 +271,19 @@ def check_cohorts(
 
 # ------------------------------------------------------------------------- validity assertions
 
-# Label columns that sources ship, and the one of this package.
-FORBIDDEN_FEATURES = ("target_event", "churn", LABEL, "label", "target")
+# Names that a label goes by whatever the source; a source declares its own on top.
+LABEL_NAMES = (LABEL, "label", "target", "target_event")
+
+
+def label_like(columns: Sequence[str], declared: Sequence[str] = ()) -> list[str]:
+    """Columns that may tell the outcome, whatever their case."""
+    names = {n.lower() for n in (*LABEL_NAMES, *declared)}
+    return sorted(c for c in columns if c.lower() in names)
 
 
 def temporal_checks(
-    events: DataFrame, cutoffs: Cutoffs, labels: DataFrame, feature_columns: Sequence[str]
+    events: DataFrame, cutoffs: Cutoffs, labels: DataFrame, feature_columns: Sequence[str],
+    declared: Sequence[str] = (),
 ) -> DataFrame:
     """check, passed, detail for the global temporal split.
 
@@ -284,7 +291,7 @@ def temporal_checks(
     train before test, labels binary.
     """
     spark = events.sparkSession
-    leaked = sorted(c for c in feature_columns if c.lower() in FORBIDDEN_FEATURES)
+    leaked = label_like(feature_columns, declared)
     ends = {
         "train": tm.plus_days(cutoffs.train, cutoffs.window_days),
         "test": tm.plus_days(cutoffs.test, cutoffs.window_days),

@@ -22,8 +22,6 @@ from lapse.sources.registry import expected_inputs, get_dataset
 
 SCHEMA = "stage string, dataset string, check string, status string, details string"
 EXPECTED_EVENT_TYPES = ("view", "cart_add", "purchase")
-# Label columns that sources ship.
-NATIVE_LABEL_NAMES = ("target_event", "churn", "target", "customer_churn")
 DEFAULT_TARGETS = ("olist", "retailrocket", "credit_card", "telco")
 
 
@@ -102,7 +100,7 @@ def ablation_gate(
 
 def temporal_gate(
     events: DataFrame, dataset: str, window: int, expected_window: int = 90,
-    native_label: bool = False, q: float = 0.7,
+    native_label: bool = False, q: float = 0.7, declared: Sequence[str] = (),
 ) -> DataFrame:
     """Span, observed label windows, window length, event types, no native label columns."""
     spark = events.sparkSession
@@ -115,7 +113,7 @@ def temporal_gate(
             r[0] for r in wanted.subtract(events.select("event_type").distinct()).collect())
     else:
         missing = ["event_type column"]
-    leaked = sorted(c for c in events.columns if c.lower() in NATIVE_LABEL_NAMES)
+    leaked = L.label_like(events.columns, declared)
     return _rows(spark, "temporal", dataset, [
         ("data_span", (span or 0) > 0, f"{span} days"),
         ("train_label_window_observed", observed(cut.train), f"cutoff {cut.train:%Y-%m-%d} + {window} d"),
@@ -152,7 +150,7 @@ def dataset_gate(
         if adapter.hard_checks:
             parts.append(temporal_gate(
                 events, adapter.name, adapter.window(s), native_label=adapter.native_label,
-                q=s.train_quantile))
+                q=s.train_quantile, declared=adapter.label_columns))
         if adapter.route == "native" or include_smote:
             data = adapter.split(events, s)
             if adapter.route == "native":

@@ -64,6 +64,11 @@ class Adapter:
     def window(self, settings: Settings) -> int:
         return self.window_days or settings.window_days
 
+    @property
+    def label_columns(self) -> tuple[str, ...]:
+        """Columns of the source that tell the outcome; none of them may be a feature."""
+        return ()
+
     def native_labels(self, events: DataFrame) -> DataFrame:
         raise NotImplementedError(f"{self.name} ships no label")
 
@@ -97,7 +102,7 @@ class Adapter:
         if not self.hard_checks or data.cutoffs is None:
             return None
         labels = data.train.select(L.LABEL).unionByName(data.test.select(L.LABEL))
-        return L.temporal_checks(events, data.cutoffs, labels, data.features)
+        return L.temporal_checks(events, data.cutoffs, labels, data.features, self.label_columns)
 
     def metadata(self, spark: SparkSession) -> DataFrame:
         """One catalogue row."""

@@ -145,7 +145,7 @@ def test_instacart_timeline_ignores_basket_size(spark, root):
 
 
 def test_telco(spark, root):
-    write(root, "telco_customer_churn.csv",
+    write(root, "customers.csv",
           "customerID,gender,SeniorCitizen,tenure,Contract,MonthlyCharges,TotalCharges,Churn\n"
           "a,Male,0,2,One year,10, ,Yes\n b ,Female,1,0,Two year,20,5.5,No\n   ,Male,0,1,One year,1,1,No\n"
           "d,,1,3,,20,9,\n")
@@ -164,7 +164,7 @@ def test_telco(spark, root):
 
 
 def test_credit_card(spark, root):
-    write(root, "BankChurners.csv",
+    write(root, "cards.csv",
           "CLIENTNUM,Attrition_Flag,Gender,Education_Level,Total_Trans_Amt,Credit_Limit,x1,x2\n"
           "1,Attrited Customer,M,Graduate,100,5,9,9\n2,Existing Customer,F,Unknown,50,7,9,9\n")
     adapter = REG.get_dataset("credit_card")

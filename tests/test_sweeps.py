@@ -25,7 +25,7 @@ def root(tmp_path_factory):
             f"{'Month-to-month' if gone else rng.choice(['One year', 'Two year', 'Month-to-month'])},"
             f"{rng.choice(['card', 'check'])},{rng.uniform(20, 100):.2f},{tenure * 30.0:.1f},"
             f"{'Yes' if gone else 'No'}")
-    (folder / "telco_customer_churn.csv").write_text("\n".join(rows) + "\n")
+    (folder / "customers.csv").write_text("\n".join(rows) + "\n")
     return str(folder)
 
 
