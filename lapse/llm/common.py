@@ -34,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-"))
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _OWN[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,11 +49,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_folder = hadoop
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a ``written`` table that nothing reads any more, before the driver ends."""
+    hadoop = table.written_folder
+    hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def added(sums: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.ndarray:
-    """Sum of float32 matrices, one per row: added in levels, so that the driver adds ``fan_in`` at most."""
+    """Sum of float32 matrices, one per row: added in levels of ``fan_in``, the last one in a task; one comes to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(shape, np.float64)
         for batch in batches:
@@ -60,7 +70,7 @@ def added(sums: DataFrame, shape: tuple[int, int], fan_in: int = 16) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], ["m"])
 
     parts = sums.rdd.getNumPartitions()
-    while parts > fan_in:
+    while parts > 1:
         parts = -(-parts // fan_in)
         sums = sums.repartition(parts).mapInArrow(run, "m binary")
     out = np.zeros(shape)

@@ -14,10 +14,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import added, blank, octets, written
+from lapse.llm.common import added, blank, dropped, octets, written
 
 SEED = 42
 # Elements of a search frontier held at a time.
@@ -178,26 +178,52 @@ def _link_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (u, v), v < u, with the components of ``links``: within each partition every node is linked to the smallest it
+    reaches there, so that a partition has no more links than nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*held) if held else ((), ())))
+        nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+        a, b = ends[:len(u)], ends[len(u):]
+        root = np.arange(len(nodes))
+        while True:
+            # Roots of linked nodes are hooked to the smaller one, then paths are halved.
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = low < high
+            if not apart.any():
+                break
+            np.minimum.at(root, high[apart], low[apart])
+            while (root != root[root]).any():
+                root = root[root]
+        out = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[root[out]])], ["u", "v"])
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``links`` (u, v): root is the smallest node of its component.
+    """(node, root) for each node of ``links`` (u, v) with another one: root is the smallest node of its component.
 
-    Alternating large-star and small-star steps: each hooks the neighbours of a node to the smallest of them.
-    The number of steps grows with the logarithm of the longest chain; no node's neighbours are gathered.
+    Links are contracted within partitions; then large-star and small-star steps hook the neighbours of a node to the
+    smallest of them, and so on until every node has one link, to a root. The number of steps grows with the logarithm
+    of the longest chain; no node's neighbours are gathered.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
-    mark = None
+    edges = written(_contracted(links.where("u <> v")), "links")
     while True:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out > 0 and into > 0").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = written(small, "links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+        old, edges = edges, written(_contracted(small), "links")
+        dropped(old)
 
 
 def near_duplicate_components(
@@ -240,10 +266,10 @@ def similar_groups(
 ) -> DataFrame:
     """(node, root) of different texts: texts of a group are linked by a Jaccard similarity of their shingle sets.
 
-    A node is xxhash64 of a text; texts without a similar one are left out. First groups come from candidates that
-    share a BK-tree ball of the whole text's fingerprint or the fingerprint of one of ``SAMPLES`` shingle samples; each
-    is compared with four others in every such bucket, so these grow with the texts. Then a prefix filter finds every
-    similar pair of different groups, whatever bucket it is in. Every candidate pair is checked on the whole sets.
+    A node is xxhash64 of a text; texts without a similar one are left out. First groups come from fingerprints that BK-trees
+    find near, and from texts that share a whole fingerprint or that of one of ``SAMPLES`` shingle samples: each is
+    compared with the first one of every such bucket. Then a prefix filter finds every similar pair of different
+    groups, whatever bucket it is in. Every candidate pair is checked on the whole sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +286,36 @@ def similar_groups(
     texts = docs.select(F.xxhash64(blank(F.col(text_col))).alias("node"), blank(F.col(text_col)).alias("text"))
     prints = written(texts.mapInArrow(run, "node long, fp long, samples array<long>")
                      .groupBy("node").agg(F.first("fp").alias("fp"), F.first("samples").alias("samples")), "prints")
-    stars = components(fingerprint_links(prints.select("fp").distinct(), radius))
-    balls = (prints.join(stars, prints.fp == stars.node, "left")
-             .select(prints.node, F.lit(-1).alias("view"), F.coalesce("root", "fp").alias("key")))
-    buckets = written(balls.unionByName(prints.select("node", F.posexplode("samples").alias("view", "key"))), "buckets")
-    pairs = written(_bucket_pairs(buckets.withColumn("root", F.col("node")), 0), "pairs")
-    links = written(_alike(pairs, _sets(texts, pairs, words), similarity), "alike")
+    pairs = written(_first_pairs(prints, radius), "pairs")
+    sets = _sets(texts, pairs, words)
+    links = _alike(pairs, sets, similarity)
     prefixes = written(_prefixes(texts, words, similarity), "prefixes")
     # Texts without words have no shingle to meet by.
     wordless = prefixes.where("n = 0").select("node")
     links = links.unionByName(wordless.select(F.col("node").alias("u")).crossJoin(wordless.agg(F.min("node").alias("v"))).where("u <> v"))
-    pairs = written(_prefix_pairs(prefixes, components(links), similarity), "pairs")
-    return components(links.unionByName(written(_alike(pairs, _sets(texts, pairs, words), similarity), "alike")))
+    groups = components(links)
+    for used in (prints, pairs, sets):
+        dropped(used)
+    pairs = written(_prefix_pairs(prefixes, groups, similarity), "pairs")
+    sets = _sets(texts, pairs, words)
+    more = _alike(pairs, sets, similarity)
+    found = components(groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    for used in (prefixes, pairs, sets):
+        dropped(used)
+    return found
+
+
+def _first_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): every node with the smallest node of each bucket it is in, and the smallest nodes of near fingerprints."""
+    keys = prints.select("node", F.posexplode(F.concat(F.array("fp"), "samples")).alias("view", "key"))
+    firsts = written(keys.groupBy("view", "key").agg(F.min("node").alias("first"), F.count("*").alias("rows")), "firsts")
+    shared = keys.join(firsts.where("rows > 1").drop("rows"), ["view", "key"]).where("node <> first")
+    of = firsts.where("view = 0").select(F.col("key").alias("fp"), "first")
+    near = (fingerprint_links(of.select("fp"), radius)
+            .join(of.select(F.col("fp").alias("u"), F.col("first").alias("node")), "u")
+            .join(of.select(F.col("fp").alias("v"), "first"), "v"))
+    pairs = shared.select("node", "first").unionByName(near.select("node", "first"))
+    return pairs.select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
 
 
 def _sets(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -283,9 +327,9 @@ def _sets(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
 
 # Counters of shingles by their hash; they only order shingles, so that the rare come first.
-COUNTERS = 1 << 20
-# Rows of a shingle's list that meet in a task at a time.
-LIST_ROWS = 4096
+COUNTERS = 1 << 18
+# Rows of a shingle's list that meet in a task at a time, and the ratio of the sizes of sets in neighbouring bands.
+LIST_ROWS, BAND = 4096, 1.1
 
 
 def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -324,24 +368,37 @@ def _prefix_pairs(prefixes: DataFrame, groups: DataFrame, similarity: float) ->
 
     Sets with ``i`` and ``j`` shingles before the first they share have at most min(n - i, m - j) in common, and need
     share * (n + m) with share = similarity / (1 + similarity). The smaller set of a pair meets that only early in its
-    prefix, so a shingle that no set has early is passed over. A shingle's largest group isn't compared with itself,
-    and a long list is spread over tasks.
+    prefix, so early places search all; and for a place there is a largest size of a smaller set that it can be similar
+    to: sets meet by bands of their size, up to that one. So a passage that many texts hold brings together only those
+    that hold little else. A shingle's largest group isn't compared with itself, and a long list is spread over tasks.
     """
     share = similarity / (1 + similarity)
     rows = (prefixes.join(groups, "node", "left")
             .select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("tokens").alias("place", "token")))
     early = F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6
-    tokens = (rows.groupBy("token", "root").agg(F.count("*").alias("rows"), F.max(early).alias("early"))
-              .groupBy("token").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.sum("rows").alias("rows"),
-                                    F.count("*").alias("roots"), F.max("early").alias("early"))
-              .where("roots > 1 and early").select("token", "main", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("parts")))
-    met = written(rows.join(tokens, "token"), "met")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    x = met.where("root <> main").select("token", part.alias("part"), "node", "n", "root", "place")
-    y = met.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("other"),
-                   F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("place").alias("other_place"), "main")
-    return (x.join(y, ["token", "part"])
-            .where((F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("main")) | (F.col("node") > F.col("other")))
+    # Rows per group; the largest group is found by its count, and of equal counts by its number.
+    grouped = rows.groupBy("token", "root").agg(F.count("*").alias("rows"), F.max(early).alias("early"))
+    tokens = (grouped.groupBy("token").agg(
+        F.max(F.struct("rows", "root"))["root"].alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("roots"), F.max("early").alias("early"))
+        .where("roots > 1 and early").select("token", "main", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("parts")))
+    met = written(rows.join(written(tokens, "tokens"), "token"), "met")
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size) / float(np.log(BAND))).cast("int")
+
+    of_main = F.col("root") == F.col("main")
+    x = met.where(early).select(
+        "token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), of_main.alias("of_main"),
+        band(F.col("n").cast("double")).alias("band"), "node", "n", "root", "place")
+    largest = F.least((F.col("n") - F.col("place") + 1e-6) / share - F.col("n"), F.col("n"))
+    smallest = F.ceil(similarity * F.col("n") - 1e-6).cast("double")
+    y = met.where(largest >= smallest).select(
+        "token", "parts", F.explode(F.when(of_main, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("of_main"),
+        F.sequence(band(smallest), band(largest)).alias("bands"), F.col("node").alias("other"), F.col("n").alias("m"),
+        F.col("root").alias("other_root"), F.col("place").alias("other_place"))
+    y = y.select("*", F.explode("bands").alias("band")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return (x.join(y.drop("parts", "bands"), ["token", "part", "of_main", "band"])
+            .where((F.col("root") != F.col("other_root")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("node") > F.col("other")))
                    & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= share * (F.col("n") + F.col("m")) - 1e-6))
             .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
 
@@ -362,25 +419,3 @@ def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
         sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in octets(batch.column(1))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def _bucket_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each node of a bucket (view, key) of more than one root with the bucket's first and last one, and with
-    the first and last of its cell of about four.
-
-    Nodes are ordered anew in every view and turn, by an exclusive or with a hash, so that a node meets other partners: texts of one group needn't all be similar to one of them. First and last are aggregates that
-    combine before the shuffle; a cell is given by some bits of the node, so that a large bucket has many.
-    """
-    key = ["view", "key"]
-    turned = F.xxhash64("view", F.lit(turn))
-    ordered = buckets.select(*key, "root", F.col("node").bitwiseXOR(turned).alias("place"))
-    ends = (F.min("place").alias("first"), F.max("place").alias("last"))
-    mixed = ordered.groupBy(*key).agg(*ends, F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-    whole = ordered.join(mixed.where("low < high"), key)
-    cell = F.pmod(F.xxhash64("view", "place"), F.ceil(F.col("rows") / 4).cast("long"))
-    celled = whole.where("rows > 3").select(*key, cell.alias("cell"), "place")
-    near = celled.join(celled.groupBy(*key, "cell").agg(*ends).where("first < last"), [*key, "cell"])
-    pairs = whole.select("view", "place", "first", "last").unionByName(near.select("view", "place", "first", "last"))
-    pairs = pairs.select("view", "place", F.explode(F.array("first", "last")).alias("other")).where("place <> other")
-    a, b = F.col("place").bitwiseXOR(turned), F.col("other").bitwiseXOR(turned)
-    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
