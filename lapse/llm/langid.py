@@ -1,9 +1,16 @@
-"""Language identification: averaged hashed subword embeddings and a linear softmax, fitted by SGD in numpy."""
+"""Language identification: averaged hashed subword embeddings and a linear softmax, fitted by SGD in numpy.
+
+The fit runs in one task, over a bounded sample of labelled rows; the driver holds the model only. Rejection is calibrated
+on labelled rows that the fit hasn't seen: a text must be as sure of its language, and its subwords as usual in that
+language, as all but a stated share of those rows. The second catches languages that were not learned: the softmax has to
+choose among the learned ones and may be sure of a wrong one.
+"""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +21,13 @@ from pyspark.sql import functions as F
 from lapse.llm.common import mix, octets
 
 BUCKETS, DIMENSIONS = 1 << 15, 16
-# Labelled rows per language that the model is fitted on, about; and languages, the most frequent first.
-SAMPLE_ROWS, MAX_LANGUAGES = 600, 256
+# Labelled rows per language that the model is fitted on, and that its rejection is calibrated on, about; of all languages
+# together at most TOTAL_ROWS each. More languages than MAX_LANGUAGES are an error.
+SAMPLE_ROWS, HELD_ROWS, TOTAL_ROWS, MAX_LANGUAGES = 600, 2000, 20_000, 256
+# Share of the rows seen by calibration alone that either bar may reject.
+ALPHA = 0.0005
+# Bytes of texts that are scored at a time; a longer text is scored by itself.
+BLOCK_BYTES = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
@@ -28,6 +40,12 @@ _FOLD[128:] = np.arange(128, 256)
 
 def subword_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, index of the text) of all runs of 2, 3 and 4 bytes, words with a separator on both sides."""
+    buckets, docs = zip(*subword_runs(texts))
+    return np.concatenate(buckets), np.concatenate(docs)
+
+
+def subword_runs(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As ``subword_buckets``, for each length of runs, each in order of the texts."""
     data = _FOLD[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)].astype(np.uint64)
     first = np.cumsum([0] + [len(t) + 2 for t in texts])
     keep = np.concatenate(([True], (data[1:] != 0) | (data[:-1] != 0)))  # runs of separators become one
@@ -36,7 +54,7 @@ def subword_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.flatnonzero(keep)
     data = data[keep]
     doc = np.searchsorted(first, place, side="right") - 1
-    buckets, docs = [], []
+    out = []
     h = data
     for n in (2, 3, 4):
         h = h[:-1] * np.uint64(257) + data[n - 1:]
@@ -45,26 +63,64 @@ def subword_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for inner in range(1, n - 1):
             whole &= data[inner: len(h) + inner] != 0
         whole &= (data[: len(h)] != 0) | (data[n - 1:] != 0)
-        buckets.append((mix(h[whole] + np.uint64(n << 40)) % np.uint64(BUCKETS)).astype(np.int64))
-        docs.append(doc[: len(h)][whole])
-    return np.concatenate(buckets), np.concatenate(docs)
+        out.append(((mix(h[whole] + np.uint64(n << 40)) % np.uint64(BUCKETS)).astype(np.int64), doc[: len(h)][whole]))
+    return out
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``table``: embedding times output weights, a row of scores per bucket; a text's scores are their mean."""
+    """``table``: embedding times output weights, a row of scores per bucket; a text's scores are their mean. ``usual``: log
+    share of each bucket in a language; a text's mean has the language's mean ``centre`` and the variance
+    ``spread`` + ``noise`` / subwords."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float
-    threshold: float
-
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        bucket, doc = subword_buckets(texts)
-        n = np.maximum(1, np.bincount(doc, minlength=len(texts)))
-        scores = np.column_stack([np.bincount(doc, self.table[bucket, i], len(texts)) / n for i in range(len(self.languages))])
-        return softmax((scores + self.bias) / self.temperature)
+    usual: np.ndarray
+    temperature: float = 1.0
+    centre: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    noise: np.ndarray | None = None
+    least_score: float = 0.0
+    least_usual: float = -np.inf
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores per language, mean log share in the best one, subwords) of each text."""
+        k = len(self.languages)
+        both = np.concatenate((self.table, self.usual), axis=1)  # one row of both is one read
+        sums, n = np.zeros((len(texts), 2 * k)), np.zeros(len(texts), np.int64)
+        low = 0
+        while low < len(texts):
+            # Texts of about so many bytes at a time: a subword takes some hundred bytes on its way.
+            high, size = low + 1, len(texts[low])
+            while high < len(texts) and size + len(texts[high]) <= BLOCK_BYTES:
+                size += len(texts[high])
+                high += 1
+            for bucket, doc in subword_runs(texts[low:high]):
+                count = np.bincount(doc, minlength=high - low)
+                some = np.flatnonzero(count)
+                if len(some):
+                    starts = (np.cumsum(count) - count)[some]
+                    sums[low + some] += np.add.reduceat(both[bucket], starts, axis=0, dtype=np.float64)
+                n[low:high] += count
+            low = high
+        mean = sums / np.maximum(1, n)[:, None]
+        scores = mean[:, :k] + self.bias
+        return scores, mean[np.arange(len(texts)), k + scores.argmax(axis=1)], n
+
+    def judged(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, its calibrated probability, whether it is rejected) of each text."""
+        scores, usual, n = self.scores(texts)
+        p = softmax(scores / self.temperature)
+        best, sure = p.argmax(axis=1), p.max(axis=1)
+        rejected = sure < self.least_score
+        if self.centre is not None:
+            rejected |= self.unusual(best, usual, n) < self.least_usual
+        return best, sure, rejected
+
+    def unusual(self, best: np.ndarray, usual: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Standard deviations from the language's mean."""
+        return (usual - self.centre[best]) / np.sqrt(self.spread[best] + self.noise[best] / np.maximum(1, n))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -72,70 +128,83 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = MAX_LANGUAGES) -> DataFrame:
-    """About ``rows`` rows (text, lang) of each language, chosen by the id's hash; rows (id, text, lang) come in."""
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+def language_counts(labelled: DataFrame, languages: int = MAX_LANGUAGES) -> dict[str, int]:
+    """Rows of each language."""
+    rows = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()
+    if len(rows) > languages:
+        raise ValueError(f"more than {languages} languages: a model has a column for each")
+    return {r["lang"]: r["n"] for r in rows}
+
+
+def samples(labelled: DataFrame, counts: dict[str, int], rows: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """About ``rows`` rows (text, lang) of each language to fit on, at most six in ten, and ``held`` others to calibrate on;
+    chosen by the id's hash. Rows (id, text, lang) come in."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(4), F.col("id")), 12).cast("double") / float(1 << 52)
-    return docs.join(F.broadcast(counts), "lang").where(u * F.col("n") < rows).select("text", "lang")
+    rows, held = (min(x, TOTAL_ROWS // max(1, len(counts))) for x in (rows, held))
+    bars = {lang: (min(rows / n, 0.6), min(rows / n, 0.6) + held / n) for lang, n in counts.items()}
+    bar = F.create_map(*[F.lit(x) for lang, b in bars.items() for x in (lang, F.array(*map(F.lit, b)))]) if bars else F.lit(None).cast("map<string,array<double>>")
+    placed = labelled.select("text", "lang", u.alias("u"), F.element_at(bar, F.col("lang")).alias("bar"))
+    return (placed.where(F.col("u") < F.col("bar")[0]).select("text", "lang"),
+            placed.where((F.col("u") >= F.col("bar")[0]) & (F.col("u") < F.col("bar")[1])).select("text", "lang"))
+
+
+def pieces_of(text: bytes, pieces: int) -> list[bytes]:
+    """The text, and ``pieces`` runs of 1 to 40 words from anywhere in it, so that short texts are learned too."""
+    words = text.split()
+    draw = np.random.default_rng(np.frombuffer(text[:4096] or b"-", np.uint8).astype(np.int64).sum() + len(text))
+    parts = [text]
+    for _ in range(pieces if words else 0):
+        size = int(np.exp(draw.uniform(0, np.log(40))))
+        at = int(draw.integers(0, max(1, len(words) - size + 1)))
+        parts.append(b" ".join(words[at:at + size]))
+    return parts
 
 
 def example_features(sample: DataFrame, pieces: int = 3) -> DataFrame:
-    """(lang, held, bucket array, weight array) per example: each sampled text whole, and pieces of 1 to 40 words from
-    anywhere in it, so that short texts are learned too. A text is one byte string at a time; an example has at most
-    BUCKETS entries. ``held`` marks a fifth of the texts, for calibration."""
+    """(lang, bucket array, weight array) per example: each sampled text whole, and pieces of it. A text is one byte string at
+    a time; an example has at most BUCKETS entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, held, buckets, weights, whole = [], [], [], [], []
+            lang, buckets, weights = [], [], []
             for text, name in zip(octets(batch.column(0)), batch.column(1).to_pylist()):
-                words = text.split()
-                draw = np.random.default_rng(np.frombuffer(text[:4096] or b"-", np.uint8).astype(np.int64).sum() + len(text))
-                parts = [text]
-                for _ in range(pieces if words else 0):
-                    size = int(np.exp(draw.uniform(0, np.log(40))))
-                    at = int(draw.integers(0, max(1, len(words) - size + 1)))
-                    parts.append(b" ".join(words[at:at + size]))
-                out = draw.random() < 0.2
-                for i, part in enumerate(parts):
+                for part in pieces_of(text, pieces):
                     b, _ = subword_buckets([part])
                     if len(b):
                         u, n = np.unique(b, return_counts=True)
                         lang.append(name)
-                        held.append(bool(out))
                         buckets.append(u.astype(np.int32))
                         weights.append((n / n.sum()).astype(np.float32))
-                        whole.append(i == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(held, pa.bool_()), pa.array(buckets, pa.list_(pa.int32())),
-                 pa.array(weights, pa.list_(pa.float32())), pa.array(whole, pa.bool_())],
-                ["lang", "held", "buckets", "weights", "whole"])
+                [pa.array(lang, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
+                ["lang", "buckets", "weights"])
 
-    return sample.mapInArrow(run, "lang string, held boolean, buckets array<int>, weights array<float>, whole boolean")
+    return sample.mapInArrow(run, "lang string, buckets array<int>, weights array<float>")
 
 
-def fit(examples: pa.Table, epochs: int = 6, rate: float = 4.0, alpha: float = 0.001, seed: int = 4) -> LanguageModel | None:
-    """Minibatch SGD over the examples not held; temperature and rejection threshold from the held ones."""
+def fit(examples: pa.Table, epochs: int = 6, rate: float = 4.0, seed: int = 4) -> LanguageModel | None:
+    """Minibatch SGD over the examples, in an order of their own; None without examples."""
     names = tuple(sorted(set(examples.column("lang").to_pylist())))
     if not names:
         return None
+    # Rows come in any order: sorted by their content, so that a retried task fits the same model.
     label = np.array([names.index(x) for x in examples.column("lang").to_pylist()])
-    held = np.array(examples.column("held").to_pylist(), bool)
-    whole = np.array(examples.column("whole").to_pylist(), bool)
     chunk = examples.column("buckets").combine_chunks()
-    offset = chunk.offsets.to_numpy()
-    bucket = chunk.values.to_numpy()
-    weight = examples.column("weights").combine_chunks().values.to_numpy()
-    base, offset = offset[0], offset - offset[0]
-    bucket, weight = bucket[base:], weight[base:]
+    offset = chunk.offsets.to_numpy().astype(np.int64)
+    bucket = chunk.values.to_numpy()[offset[0]:offset[-1]].astype(np.int64)
+    weight = examples.column("weights").combine_chunks()
+    weight = weight.values.to_numpy()[weight.offsets[0].as_py():weight.offsets[-1].as_py()]
+    offset = offset - offset[0]
+    content = np.add.reduceat(bucket * (bucket % 977 + 1), offset[:-1]) if len(offset) > 1 else np.zeros(0)
+    order_of = np.lexsort((np.diff(offset), content, label))
     draw = np.random.default_rng(seed)
     e = (draw.normal(size=(BUCKETS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
     w = np.zeros((DIMENSIONS, len(names)), np.float32)
     b = np.zeros(len(names), np.float32)
-    train = np.flatnonzero(~held) if (~held).any() else np.arange(len(label))
-    share = np.bincount(label[train], minlength=len(names))
-    balance = (len(train) / (len(names) * np.maximum(1, share))).astype(np.float32)
+    share = np.bincount(label, minlength=len(names))
+    balance = (len(label) / (len(names) * np.maximum(1, share))).astype(np.float32)
     size = 32
-    total, step = epochs * -(-len(train) // size), 0
+    total, step = epochs * -(-len(label) // size), 0
 
     def rows(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = offset[which + 1] - offset[which]
@@ -143,7 +212,7 @@ def fit(examples: pa.Table, epochs: int = 6, rate: float = 4.0, alpha: float = 0
         return bucket[at], weight[at], np.concatenate(([0], np.cumsum(n)[:-1]))
 
     for _ in range(epochs):
-        order = draw.permutation(train)
+        order = draw.permutation(order_of)
         for low in range(0, len(order), size):
             some = order[low:low + size]
             ids, share_of, starts = rows(some)
@@ -158,29 +227,91 @@ def fit(examples: pa.Table, epochs: int = 6, rate: float = 4.0, alpha: float = 0
             w -= lr * (mean.T @ wrong)
             b -= lr * wrong.sum(axis=0)
             np.subtract.at(e, ids, lr * 8 * np.repeat(back, n, axis=0) * share_of[:, None])
-    table = (e @ w).astype(np.float64)
+    # Smoothed by one subword in a thousand, spread over all buckets.
+    usual = np.zeros((BUCKETS, len(names)))
+    np.add.at(usual, (bucket, np.repeat(label, np.diff(offset))), weight)
+    usual = np.log(0.999 * usual / share + 0.001 / BUCKETS)
+    return LanguageModel(names, (e @ w).astype(np.float32), b.astype(np.float64), usual.astype(np.float32))
+
 
-    def scores(which: np.ndarray) -> np.ndarray:
-        ids, share_of, starts = rows(which)
-        return np.add.reduceat(table[ids] * share_of[:, None], starts, axis=0) + b
+def fitted(examples: DataFrame) -> LanguageModel | None:
+    """``fit`` in one task: the sample is bounded, and only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        model = fit(pa.Table.from_batches(held)) if held else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model) if model else None)], pa.binary())], ["model"])
 
-    check = np.flatnonzero(held) if held.any() else train
-    raw = scores(check)
-    # Temperature: the one with the least log loss on the held examples.
-    best = min(np.geomspace(0.05, 20, 61), key=lambda t: -np.log(softmax(raw / t)[np.arange(len(check)), label[check]] + 1e-12).mean())
-    sure = np.sort(softmax(raw / best).max(axis=1)[whole[check]])
-    threshold = float(min(0.5, sure[int(alpha * len(sure))])) if len(sure) else 0.0
-    return LanguageModel(names, table, b.astype(np.float64), float(best), threshold)
+    rows = examples.repartition(1).mapInArrow(run, "model binary").collect()
+    return next((LanguageModel(**m) for m in (pickle.loads(r["model"]) for r in rows) if m), None)
+
+
+def calibrated(model: LanguageModel, held: DataFrame, alpha: float = ALPHA, pieces: int = 3) -> LanguageModel:
+    """The model with its temperature and bars, from rows (text, lang) it wasn't fitted on; as it is if there are none.
+
+    The temperature is the one with the least log loss. The score bar is the ``alpha`` quantile over whole texts. The mean
+    log share of a language's rows has a centre, a variance between texts and one that falls with the subwords, by least
+    squares over whole texts and pieces; the other bar is the ``alpha`` quantile of the standardised values of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, parts, whole = [], [], []
+            for text, name in zip(octets(batch.column(0)), batch.column(1).to_pylist()):
+                some = [p for p in pieces_of(text, pieces) if _letters(p)]
+                lang += [name] * len(some)
+                whole += [i == 0 for i in range(len(some))]
+                parts += some
+            if parts:
+                scores, usual, n = model.scores(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lang), pa.array(whole), pa.array(list(scores.astype(np.float32)), pa.list_(pa.float32())), pa.array(usual), pa.array(n, pa.int64())],
+                    ["lang", "whole", "scores", "usual", "n"])
+
+    rows = held.mapInArrow(run, "lang string, whole boolean, scores array<float>, usual double, n long").toArrow()
+    known = [i for i, x in enumerate(rows.column("lang").to_pylist()) if x in model.languages]
+    if not known:
+        return model
+    rows = rows.take(known)
+    label = np.array([model.languages.index(x) for x in rows.column("lang").to_pylist()])
+    whole = np.array(rows.column("whole").to_pylist(), bool)
+    usual, n = rows.column("usual").to_numpy(), np.maximum(1, rows.column("n").to_numpy())
+    raw = np.array(rows.column("scores").to_pylist(), float)
+    best = raw.argmax(axis=1)
+    temperature = float(min(np.geomspace(0.02, 20, 73), key=lambda t: -np.log(softmax(raw / t)[np.arange(len(label)), label] + 1e-12).mean()))
+    k = len(model.languages)
+    centre, spread, noise = np.full(k, usual.mean()), np.full(k, usual.var() + 1e-9), np.zeros(k)
+    for i in range(k):
+        own = usual[best == i]
+        if len(own) > 1:
+            centre[i] = np.median(own)
+            square = np.minimum((own - centre[i]) ** 2, 9 * ((own - centre[i]) ** 2).mean())
+            line = np.column_stack((np.ones(len(own)), 1 / n[best == i]))
+            spread[i], noise[i] = np.maximum(np.linalg.lstsq(line, square, rcond=None)[0], [1e-4, 0])
+    out = replace(model, temperature=temperature, centre=centre, spread=spread, noise=noise)
+    sure = softmax(raw / temperature).max(axis=1)[whole]
+    far = out.unusual(best, usual, n)
+    return replace(out, least_score=_quantile(sure, alpha), least_usual=_quantile(far, alpha))
+
+
+def _quantile(values: np.ndarray, alpha: float) -> float:
+    return float(np.sort(values)[int(alpha * len(values))]) if len(values) else -np.inf
 
 
 def train(
     docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    rows: int = SAMPLE_ROWS,
+    rows: int = SAMPLE_ROWS, held: int = HELD_ROWS,
 ) -> LanguageModel | None:
     """Model of the labelled rows for which ``learn_from`` holds; None if there are none."""
     labelled = docs.where(F.coalesce(learn_from, F.lit(False))).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    return fit(example_features(labelled_sample(labelled, rows)).toArrow())
+    fit_on, check_on = samples(labelled, language_counts(labelled), rows, held)
+    model = fitted(example_features(fit_on))
+    return calibrated(model, check_on) if model else None
+
+
+def _letters(text: bytes) -> bool:
+    return _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
 def judge(model: LanguageModel | None) -> Callable[[Column], Column]:
@@ -189,15 +320,14 @@ def judge(model: LanguageModel | None) -> Callable[[Column], Column]:
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def judged(column: pa.Array) -> pa.Array:
         texts = octets(column)
-        some = np.array([_LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
-        names, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        some = np.array([_letters(t) for t in texts], bool)
+        names, sure, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if model and some.any():
-            p = model.probabilities(texts)
-            best = np.where(some, p.max(axis=1), 0.0)
-            names = [model.languages[i] if s else UNDETERMINED for i, s in zip(p.argmax(axis=1), some)]
-        bar = model.threshold if model else 2.0
+            best, sure, rejected = model.judged(texts)
+            sure = np.where(some, sure, 0.0)
+            names = [model.languages[i] if s else UNDETERMINED for i, s in zip(best, some)]
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(best), pa.array(~some | (best < bar))], ["lang_pred", "score", "rejected"])
+            [pa.array(names, pa.string()), pa.array(sure), pa.array(~some | rejected)], ["lang_pred", "score", "rejected"])
 
     return judged
 
@@ -206,8 +336,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     """(id, lang_pred, score, rejected) per row, from the whole text alone.
 
     ``score`` is the calibrated probability of the language; a text that is null or has no letter is ``und`` with
-    score 0. Rejected are those and texts whose score is under the model's threshold: the score that all but one in a
-    thousand held-back texts reach, never over 0.5. Without a model every text is ``und``. Repeated rows stay.
+    score 0. Rejected are those, texts less sure of their language and texts with subwords less usual in it than all but a
+    share ``ALPHA`` each of the rows of calibration. Without a model every text is ``und`` and rejected. Repeated rows stay;
+    texts of any length are whole. Other columns are not read.
     """
     return docs.select(F.col(id_col).alias("id"), judge(model)(F.col(text_col)).alias("j")).select("id", "j.*")
 
