@@ -1,7 +1,8 @@
 """Chat logs to training text: events are folded into final messages, then rendered. DataFrame functions only.
 
-Template, per message: ``### role: text</turn>`` and a line feed. Inside texts and roles a backslash is doubled and
-the control strings ``</turn>`` and ``###`` are broken by a backslash; both are undone exactly by ``unescape``.
+Template, per message: ``### role: text</turn>`` and a line feed. Inside texts and roles a backslash is doubled,
+``</turn>`` is broken by a backslash and so are any two ``#`` side by side, so that runs of any length hold no ``###``; all
+of it is undone exactly by ``unescape``.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ from pyspark.sql import functions as F
 
 END = "</turn>"
 # Control string -> how it looks inside a text. A backslash in a text is doubled first, so the right sides are new.
-BROKEN = {END: "<\\/turn>", "###": "#\\#\\#"}
+BROKEN = {END: "<\\/turn>", "##": "#\\#"}
 
 
 def escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for plain, broken in BROKEN.items():
+    # Twice: a run of # is taken two by two, and what is left between the pairs in the second turn.
+    for plain, broken in [*BROKEN.items()] * 2:
         out = F.replace(out, F.lit(plain), F.lit(broken))
     return out
 
 
 def unescape(text: Column) -> Column:
-    for plain, broken in BROKEN.items():
+    for plain, broken in [*BROKEN.items()] * 2:
         text = F.replace(text, F.lit(broken), F.lit(plain))
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
