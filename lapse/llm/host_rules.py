@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import blank
+from lapse.llm.common import blank, written
 
 WINDOW = 5
 SPACES = "\t\n\x0b\x0c\r "
@@ -93,7 +93,8 @@ def host_rules(
 
     Repeated rows are judged and counted each; null ids stay null. Other columns are not read.
     """
-    judged = text_counts(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed())
+    # Written once: verdicts and rows both read the narrow counts, and no text is counted twice.
+    judged = written(text_counts(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()), "counts")
     hosts = host_verdicts(judged.select("host", "base_failed"), max_rate)
     return (judged.alias("d").join(hosts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")), "left")
             .select("d.*", "h.host_docs", "h.host_rate", "h.host_ok",
