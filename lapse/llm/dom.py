@@ -498,10 +498,15 @@ def training_nodes(pages: list[str], layouts: int, seed: int = 8) -> tuple[np.nd
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = 100, layouts: int = 1000, longest: int = 200_000) -> Trees:
     """Trees from ``layouts`` training pages made of the texts of ``rows`` pages, those with the smallest hash of the id
-    among pages of at most ``longest`` characters: a bounded sample for the fit only."""
-    sample = (pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") <= longest)
-              .orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(rows).select("html"))
-    return boost(*training_nodes([r["html"] for r in sample.collect()], layouts))
+    among pages of at most ``longest`` characters: a bounded sample for the fit only. Two hashes a page are ordered; then
+    the pages that have them are read, equal ones once."""
+    hashes = F.struct(F.xxhash64(id_col).alias("id"), F.xxhash64(html_col).alias("html"))
+    some = pages.where(F.length(html_col) <= longest).select(hashes.alias("hash"), F.col(html_col).alias("html"))
+    first = [tuple(r["hash"]) for r in some.select("hash").distinct().orderBy("hash").limit(rows).collect()]
+    picked = F.col("hash.id").isin([i for i, _ in first]) & F.col("hash.html").isin([h for _, h in first])
+    read = some.where(picked).groupBy("hash").agg(F.first("html").alias("html")).collect() if first else []
+    texts = {tuple(r["hash"]): r["html"] for r in read}
+    return boost(*training_nodes([texts[h] for h in first], layouts))
 
 
 def extract(pages: DataFrame, trees: Trees, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
