@@ -1,12 +1,11 @@
-"""Baselines, models, oversampling, segments, attributions and ablation on the driver tables.
-
-Model fits use few rounds and trees here; the full settings are the defaults of the library.
-"""
+"""Baselines, models, oversampling, segments, attributions and ablation on the driver tables, with the library's settings."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.operators import ablation as AB
@@ -21,17 +20,12 @@ from lapse.operators.features import feature_columns
 from lapse.plans import compare, sensitivity
 from lapse.plans.driver import sql as Q
 from lapse.plans.driver.registry import query
-from lapse.plans.run import run_pipeline
+from lapse.plans.run import OPTIONAL_STEPS, run_pipeline
 from lapse.session import cut_lineage, shared_dir
-from lapse.settings import ModelSettings, Settings
+from lapse.settings import Settings
 from lapse.sources import driver as D
 from lapse.sources import driver_adapters as DA
 
-FEW = ModelSettings(
-    lr_max_iter=50, rf_trees=10, rf_depth=5, gbt_rounds=5, gbt_depth=3, boost2_rounds=5,
-    svm_max_iter=10, svm_folds=2)
-SHORT = Settings(models=FEW, ablation_trees=5)
-
 _SUBSCRIBERS = f"""
 s AS (SELECT c_custkey AS customer_id, (c_acctbal < 0)::INT AS lapsed,
              {Q.stable_hash('c_custkey', 'native42')} AS h FROM customer),
@@ -68,18 +62,33 @@ def baseline_predictions(spark, sf):
         ML.random_baseline(data.train, data.test))
 
 
+@query("M6", f"""
+WITH {_SUBSCRIBERS.strip()},
+c AS (SELECT lapsed, count(*) AS n FROM split WHERE NOT held GROUP BY 1),
+t AS (SELECT sum(n) AS n, count(*) AS k, max(n) FILTER (WHERE lapsed = 0) AS neg, max(n) FILTER (WHERE lapsed = 1) AS pos FROM c)
+SELECT c.lapsed, c.n AS rows, round(t.n / (t.k * c.n), 9) AS balanced_weight,
+       round(CASE WHEN c.lapsed = 1 AND neg > 0 AND pos > 0 THEN neg / pos ELSE 1.0 END, 9) AS positive_weight FROM c, t""")
+def class_weights(spark, sf):
+    """The weights that the models give the rows of each class."""
+    train = _subscribers(spark, sf).train
+    counts = OS.class_counts(train)
+    return train.groupBy("lapsed").agg(F.count("*").alias("rows")).select(
+        "lapsed", "rows", F.round(ML.balanced_weight(counts), 9).alias("balanced_weight"),
+        F.round(ML.positive_weight(counts), 9).alias("positive_weight"))
+
+
 @query("M1 M2 M3 M4 M5 M6 M10 E1 W8")
 def model_metrics(spark, sf):
     """Five classifiers on the order matrix, evaluated on the later snapshot."""
     data = _orders(spark, sf)
-    trained = ML.train_models(cut_lineage(data.train), None, FEW)
+    trained = ML.train_models(cut_lineage(data.train))
     return M.evaluate(trained.predict(cut_lineage(data.test)))
 
 
 @query("M11 W7")
 def top_importances(spark, sf):
     data = _orders(spark, sf)
-    trained = ML.train_models(data.train, None, FEW, names=["random_forest", "lightgbm"])
+    trained = ML.train_models(data.train, names=ML.TREE_MODELS)
     return ML.top_features(trained.importances(spark), 5)
 
 
@@ -178,14 +187,50 @@ def mean_absolute_attributions(spark, sf):
     return table.withColumn("mean_abs", F.round("mean_abs", 6))
 
 
-@query("T9 T10 K8")
+@query("T10", """
+WITH m AS (SELECT avg(c_acctbal) AS a, avg(c_nationkey) AS n FROM customer),
+p AS (SELECT 'balance' AS feature, c_custkey AS customer_id, c_acctbal::DOUBLE AS value, 0.5 * (c_acctbal - a) AS attribution FROM customer, m
+      UNION ALL SELECT 'nation', c_custkey, c_nationkey::DOUBLE, -2.0 * (c_nationkey - n) FROM customer, m),
+t AS (SELECT feature FROM p GROUP BY 1 ORDER BY avg(abs(attribution)) DESC, feature LIMIT 1)
+SELECT feature, customer_id, round(value, 6) AS value, round(attribution, 6) AS attribution FROM p JOIN t USING (feature)""")
+def dependence_points(spark, sf):
+    """Value and attribution of every customer for the feature of the largest mean attribution."""
+    rows = D.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"),
+        F.col("c_nationkey").cast("double").alias("nation"))
+    names = ["balance", "nation"]
+    pairs = AT.dependence_pairs(AT.linear_attribution(rows, names, [0.5, -2.0]), rows, names, 1)
+    return pairs.withColumns({c: F.round(c, 6) for c in ("value", "attribution")})
+
+
+@query("T9")
 def tree_attributions(spark, sf):
-    """Shapley values of a fitted forest for every test row."""
-    data = _orders(spark, sf)
-    trained = ML.train_models(data.train, None, FEW, names=["random_forest"])
+    """Shapley values of the three ensembles for every test row."""
+    return _attributions(spark, sf)[0]
+
+
+@query("T9 M2 M3 M4", f"""
+WITH {_SUBSCRIBERS.strip()}
+SELECT model, customer_id, true AS adds_up FROM split, (SELECT unnest(['random_forest', 'xgboost', 'lightgbm']) AS model) WHERE held""")
+def attribution_sums(spark, sf):
+    """Base and attributions of a row add up to the share of the forest and the margins of the boosted ensembles."""
+    table, trained, test = _attributions(spark, sf)
+    total = sum((F.col(f"`{c}`") for c in trained.features), F.col("base_value"))
+    shown = F.when(F.col("model") == "random_forest", total).otherwise(1 / (1 + F.exp(-total)))
+    sums = table.select("model", "customer_id", shown.alias("shown"))
+    p = trained.predict(test).select("model", "customer_id", "p")
+    return sums.join(p, ["model", "customer_id"]).select("model", "customer_id", (F.abs(F.col("shown") - F.col("p")) < 1e-6).alias("adds_up"))
+
+
+def _attributions(spark, sf):
+    data = _subscribers(spark, sf)
+    train, test = cut_lineage(data.train), cut_lineage(data.test)
+    trained = ML.train_models(train, names=ML.TREE_MODELS)
     path = _shared_folder(spark)
     trained.models["random_forest"].write().save(path)
-    return AT.tree_attribution(data.test, trained.features, AT.tree_nodes(spark, path))
+    found = AT.explain_models(trained, test, {"random_forest": path})
+    parts = [table.select(F.lit(name).alias("model"), *table.columns) for name, table in found.items()]
+    return reduce(DataFrame.unionByName, parts), trained, test
 
 
 @query("T11 V8", """
@@ -210,8 +255,7 @@ def _order_cut(spark, sf):
 def ablation_scores(spark, sf):
     data = _subscribers(spark, sf)
     return AB.run_ablation(
-        data.train, "star_subscribers", folds=3, trees=5, models=["logistic_regression"], settings=FEW,
-        declared=DA.SUBSCRIBER_GROUPS)
+        data.train, "star_subscribers", declared=DA.SUBSCRIBER_GROUPS)
 
 
 @query("T13", """
@@ -252,23 +296,17 @@ def window_sensitivity(spark, sf):
     """Models per window on the order stream."""
     events = DA.STAR_ORDERS.events(spark, sf)
     return sensitivity.window_sensitivity(
-        DA.STAR_ORDERS, events, [90, 180, 270], SHORT, models=["logistic_regression"])
+        DA.STAR_ORDERS, events, [90, 180, 270], Settings())
 
 
 @query("F1 L12")
 def pipeline_metrics(spark, sf):
-    """A whole run on the order stream with one model: load, checks, split, fit, evaluate."""
-    result = run_pipeline(
-        spark, DA.STAR_ORDERS, sf, settings=SHORT, models=("logistic_regression",),
-        steps=("curves", "risk", "errors", "checks"))
-    return result.metrics
+    """A whole run on the order stream: load, checks, split, all fits, all optional tables, evaluate."""
+    return run_pipeline(spark, DA.STAR_ORDERS, sf).metrics
 
 
 @query("F1 L5 M7")
 def oversampled_pipeline_metrics(spark, sf):
-    """The same workflow on the user-disjoint route with oversampling."""
-    settings = Settings(models=FEW, min_test_users=5)
-    result = run_pipeline(
-        spark, DA.STAR_SHIPMENTS, sf, settings=settings, use_smote=True,
-        models=("logistic_regression",), steps=())
-    return result.metrics
+    """The same workflow on the user-disjoint route with oversampling; the ablation is the same in both modes and left out."""
+    steps = tuple(s for s in OPTIONAL_STEPS if s != "ablation")
+    return run_pipeline(spark, DA.STAR_SHIPMENTS, sf, use_smote=True, steps=steps).metrics

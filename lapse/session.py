@@ -44,7 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         return None
-    return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-"))
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -200,6 +200,53 @@ def test_segments(matrix):
     found = SG.segment_customers(matrix.drop("lapsed"), 3)
     pdf = found.rows.toPandas()
     assert len(pdf) == 300 and pdf["segment"].nunique() == 3
-    assert abs(pdf["pca_x"].mean()) < 1e-6 and -1 <= found.silhouette <= 1
+    assert abs(pdf["pca_x"].mean()) < 1e-6 and -1 <= found.silhouette <= 1 and -1 <= found.silhouette_squared <= 1
     lone = SG.segment_customers(matrix.drop("lapsed").limit(1))
     assert lone.rows.first()["segment"] == 0
+
+
+def _clouds(spark, n=400):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(n // 4, 3)) + 4 * rng.normal(size=3) for _ in range(4)])
+    return x, spark.createDataFrame([(int(h), v.tolist()) for h, v in zip(rng.integers(0, 1 << 60, n), x)], "h long, x array<double>")
+
+
+def test_the_best_of_all_starts_wins(spark):
+    x, points = _clouds(spark)
+    centres, inertia, each = SG.best_centres(points.repartition(4), 5, 10)
+    assert len(each) == 10 and inertia == each.min()
+    assert inertia == pytest.approx(((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    # A single start with the same draws is one of the ten.
+    draw = np.random.default_rng(42)
+    sample = np.array([r.x for r in points.orderBy("h", "x").collect()])
+    for start in range(3):
+        c = SG.first_centres(sample, 5, draw)
+        for _ in range(300):
+            near = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(5)])
+            if ((new - c) ** 2).sum() <= 1e-4 * sample.var(axis=0).mean():
+                break
+            c = new
+        single = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert each[start] == pytest.approx(single) and inertia <= single + 1e-9
+
+
+def test_silhouette_equals_brute_force(spark):
+    x, points = _clouds(spark, 120)
+    rng = np.random.default_rng(4)
+    segment = rng.integers(0, 3, len(x))
+    segment[0] = 3  # alone
+    rows = [(r.h, r.x) for r in points.collect()]
+    marked = spark.createDataFrame([(h, v, int(s)) for (h, v), s in zip(rows, segment)], "h long, x array<double>, segment int").repartition(3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(len(x)):
+        own = (segment == segment[i]) & (np.arange(len(x)) != i)
+        if not own.any():
+            want.append(0.0)
+            continue
+        a, b = d[i, own].mean(), min(d[i, segment == s].mean() for s in range(4) if s != segment[i])
+        want.append((b - a) / max(a, b))
+    assert SG.silhouette_of(marked, 4) == pytest.approx(np.mean(want))
+    assert abs(SG.silhouette_of(marked, 4, 25) - np.mean(want)) < 0.05
+    assert SG.silhouette_of(marked.where("segment = 1"), 4) is None
