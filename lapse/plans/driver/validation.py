@@ -260,3 +260,29 @@ def smote_gate(spark, sf):
 def dataset_probe(spark, sf):
     """One report row over the event stream; it holds a duration, so it has no SQL twin."""
     return probe.sanity_probe(spark, DA.STAR_CLICKS, sf, sample_customers=None)
+
+
+def _stamp(us: str) -> str:
+    return f"strftime(make_timestamp({us}), '%Y-%m-%d %H:%M:%S')"
+
+
+@query("V11 A7", f"""
+WITH {Q.CLICK.strip()}, {Q.cutoffs('click', 1).strip()}, {Q.points().strip()}, {Q.labels('click', 1).strip()},
+span AS (SELECT count(*) AS n, min(t) AS a, max(t) AS z FROM click),
+side AS (SELECT point, count(*) AS n, avg(lapsed) AS rate FROM labelled GROUP BY 1)
+SELECT 'star_clicks' AS dataset, span.n AS n_events_raw, span.n AS n_events_preprocessed, {_stamp('a')} AS first_event,
+  {_stamp('z')} AS last_event, ((z - a) // {Q.DAY})::BIGINT AS span_days, {_stamp('train_us')} AS train_cutoff, {_stamp('test_us')} AS test_cutoff,
+  last_us >= train_us + {Q.DAY} AS train_label_window_observed, last_us >= test_us + {Q.DAY} AS test_label_window_observed,
+  round((SELECT rate FROM side WHERE point = 'train'), 9) AS lapse_rate_train,
+  round((SELECT rate FROM side WHERE point = 'test'), 9) AS lapse_rate_test,
+  (SELECT n FROM side WHERE point = 'train') AS n_train_customers, (SELECT n FROM side WHERE point = 'test') AS n_test_customers,
+  (SELECT n FROM side WHERE point = 'train') AS sample_rows_train, (SELECT n FROM side WHERE point = 'test') AS sample_rows_test
+FROM span, cut""")
+def dataset_probe_facts(spark, sf):
+    """The probe's counts, dates, cutoffs and rates."""
+    report = probe.sanity_probe(spark, DA.STAR_CLICKS, sf, sample_customers=None)
+    return report.select(
+        "dataset", "n_events_raw", "n_events_preprocessed", "first_event", "last_event", "span_days", "train_cutoff", "test_cutoff",
+        "train_label_window_observed", "test_label_window_observed", F.round("lapse_rate_train", 9).alias("lapse_rate_train"),
+        F.round("lapse_rate_test", 9).alias("lapse_rate_test"), "n_train_customers", "n_test_customers", "sample_rows_train",
+        "sample_rows_test")
