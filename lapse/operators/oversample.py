@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from lapse.session import materialise
 SYNTHETIC = "synthetic"
 # Vectors of one cell; a task compares the vectors of one cell with those of one cell.
 CELL_ROWS = 8_192
+# Vectors that the tree of boxes is made from.
+TREE_ROWS = 100_000
 _BLOCK = 512
 _NEAR = "array<struct<gap: double, x: array<double>>>"
 
@@ -68,29 +72,97 @@ def class_counts(df: DataFrame, label: str = LABEL) -> dict:
     return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def with_cells(
-    vectors: DataFrame, features: Sequence[str], size: int, cell_rows: int,
-    row_limit: int = O.GROUP_ROW_LIMIT,
-) -> DataFrame:
-    """Add ``_along``, the feature with the largest variance, and ``_cell``: equal-sized cells along it.
+@dataclass(frozen=True)
+class BoxTree:
+    """Splits of the space into boxes: a vector at or under a node's threshold goes left; ``cell`` numbers the leaves."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    cell: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray, rows: float, cell_rows: int) -> BoxTree:
+        """Halves along the feature of the largest spread, until a box has about ``cell_rows`` of ``rows`` vectors."""
+        feature, threshold, left, right, cell = [-1], [0.0], [-1], [-1], [-1]
+        share, cells = rows / max(1, len(sample)), 0
+        stack = [(0, np.arange(len(sample)))]
+        while stack:
+            node, held = stack.pop()
+            x = sample[held]
+            spread = x.max(axis=0) - x.min(axis=0) if len(held) else np.zeros(sample.shape[1])
+            j = int(spread.argmax()) if len(spread) else 0
+            if len(held) * share <= cell_rows or not len(spread) or spread[j] == 0:
+                cell[node], cells = cells, cells + 1
+                continue
+            # The middle value, or the one before the largest: both sides have some.
+            values = np.sort(x[:, j])
+            t = values[(len(values) - 1) // 2]
+            if t == values[-1]:
+                t = values[np.searchsorted(values, t, side="left") - 1]
+            feature[node], threshold[node] = j, t
+            for side, part in ((left, held[x[:, j] <= t]), (right, held[x[:, j] > t])):
+                side[node] = len(feature)
+                stack.append((len(feature), part))
+                for column, empty in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (cell, -1)):
+                    column.append(empty)
+        return cls(*map(np.array, (feature, threshold, left, right, cell)))
+
+    def cells_of(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        inner = np.flatnonzero(self.left[at] >= 0)
+        while len(inner):
+            node = at[inner]
+            at[inner] = np.where(x[inner, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
+            inner = inner[self.left[at[inner]] >= 0]
+        return self.cell[at]
 
-    Cells only decide which task compares what; every neighbour search is exact (:func:`neighbours`).
+
+def with_cells(vectors: DataFrame, features: Sequence[str], size: int, cell_rows: int) -> DataFrame:
+    """Add ``_cell``: boxes of about ``cell_rows`` vectors, by a tree over all features.
+
+    The tree is made from the ``TREE_ROWS`` vectors with the smallest hash, a bounded sample. Cells only decide which task
+    compares what; every neighbour search is exact (:func:`neighbours`).
     """
-    spread = vectors.agg(
-        *[F.var_pop(F.col("_x")[i]).alias(str(i)) for i in range(len(features))]
-    ).first()
-    widest = max(range(len(features)), key=lambda i: (spread[i] or 0.0, -i))
-    placed = vectors.withColumn("_along", F.col("_x")[widest])
-    cells = max(1, -(-size // cell_rows))
-    if cells == 1:
-        return placed.withColumn("_cell", F.lit(0).cast("long"))
-    key = F.xxhash64("_x")
-    groups = O.slice_groups(
-        placed.withColumn("_h", key), [], "_along", ["_h"], row_limit=row_limit, spread_ties=F.col("_h")
-    )
-    ranked = O.positions(groups, "_rank")
-    cell = F.floor((F.col("_rank") - 1) * F.lit(cells) / F.lit(size)).cast("long")
-    return ranked.withColumn("_cell", cell).drop("_rank", "_h")
+    if size <= cell_rows:
+        return vectors.withColumn("_cell", F.lit(0).cast("long"))
+    sample = vectors.orderBy(F.xxhash64("_x"), "_x").limit(TREE_ROWS).select("_x").toArrow().column("_x").combine_chunks()
+    tree = BoxTree.of(sample.flatten().to_numpy().reshape(-1, len(features)), size, cell_rows)
+
+    @F.arrow_udf("long")
+    def place(column: pa.Array) -> pa.Array:
+        return pa.array(tree.cells_of(column.flatten().to_numpy().reshape(len(column), -1)))
+
+    return vectors.withColumn("_cell", place("_x"))
+
+
+def _asked(state: DataFrame, low: np.ndarray, high: np.ndarray, cells: np.ndarray, k: int) -> DataFrame:
+    """(_x, _cell, _to) of the other cells whose box is not farther than the worst of a vector's neighbours so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            own = batch.column(1).to_numpy()
+            worst = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            worst = np.where(np.isnan(worst), np.inf, worst)
+            rows, to = [], []
+            for start in range(0, len(x), _BLOCK):
+                part = x[start:start + _BLOCK]
+                gap = np.zeros((len(part), len(cells)))
+                for j in range(part.shape[1]):  # summed as distances are, so that rounding rules out no neighbour
+                    outside = np.maximum(np.maximum(low[None, :, j] - part[:, j, None], part[:, j, None] - high[None, :, j]), 0.0)
+                    gap += outside ** 2
+                row, box = np.nonzero((gap <= worst[start:start + _BLOCK, None]) & (cells[None] != own[start:start + _BLOCK, None]))
+                rows.append(row + start)
+                to.append(cells[box])
+            picked = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(np.concatenate(to) if to else [], pa.int64())],
+                ["_x", "_cell", "_to"])
+
+    worst = F.when(F.size("_near") >= k, F.element_at("_near", -1)["gap"])
+    return state.select("_x", "_cell", worst.alias("worst")).mapInArrow(run, "_x array<double>, _cell long, _to long")
 
 
 def _searched(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -120,45 +192,32 @@ def _searched(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
 def neighbours(
     minority: DataFrame, features: Sequence[str], k: int = 5, cell_rows: int = CELL_ROWS,
-    row_limit: int = O.GROUP_ROW_LIMIT,
 ) -> DataFrame:
     """``_x``, ``_n`` (rows with that vector), ``_near``: the k nearest other rows of each distinct vector.
 
     Exact at every size and the same for every ``cell_rows``: ordered by squared distance, then vector;
-    equal rows are neighbours at distance zero. A vector first meets its own cell, then the cells on both
-    sides, twice as many each time, but only cells that the distance along one feature alone does not rule
-    out; vectors with no such cell left are done. No row with a null feature may come in.
+    equal rows are neighbours at distance zero. A vector first meets its own box of the tree, which bounds the distance of
+    its neighbours, and then all boxes that are not farther than that. No row with a null feature may come in.
     """
     point = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     vectors = materialise(minority.groupBy(point.alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
     size = vectors.count()
-    cells = max(1, -(-size // cell_rows))
-    celled = with_cells(vectors, features, size, cell_rows, row_limit)
-    celled = materialise(celled) if cells > 1 else celled
-    ranges = celled.groupBy("_cell").agg(F.min("_along").alias("_low"), F.max("_along").alias("_high"))
-    own = celled.select(F.col("_cell").alias("_to"), F.lit(0).alias("_off"), "_x")
-    found = _searched(own, celled, k)
-    state = celled.join(found, "_x").withColumnRenamed("_found", "_near")
-    reach = 1
-    while reach < cells:
+    celled = with_cells(vectors, features, size, cell_rows)
+    celled = materialise(celled) if size > cell_rows else celled
+    own = celled.select(F.col("_cell").alias("_to"), F.lit(0).cast("long").alias("_off"), "_x")
+    state = celled.join(_searched(own, celled, k), "_x").withColumnRenamed("_found", "_near")
+    if size > cell_rows:
         state = materialise(state)
-        offsets = F.explode(F.array(*[F.lit(o) for o in range(-2 * reach + 1, 2 * reach) if abs(o) >= reach]))
-        asked = state.select("_x", "_along", "_near", "_cell", offsets.alias("_off")).withColumn(
-            "_to", F.col("_cell") + F.col("_off"))
-        worst = F.when(F.size("_near") >= k, F.element_at("_near", -1)["gap"])
-        apart = F.greatest(F.col("_low") - F.col("_along"), F.col("_along") - F.col("_high"), F.lit(0.0))
-        asked = asked.join(ranges.withColumnRenamed("_cell", "_to"), "_to").where(
-            worst.isNull() | (apart * apart <= worst))
-        asked = materialise(asked.select("_x", "_cell", "_to", "_off"))
-        reach *= 2
-        if asked.isEmpty():
-            # Farther cells are farther along the feature, so nothing is left to search.
-            break
-        more = _searched(asked, celled, k).groupBy("_x").agg(
-            F.flatten(F.collect_list("_found")).alias("_more"))
+        each = range(len(features))
+        boxes = celled.groupBy("_cell").agg(
+            F.array(*[F.min(F.col("_x")[i]) for i in each]).alias("low"), F.array(*[F.max(F.col("_x")[i]) for i in each]).alias("high")).collect()
+        low, high = (np.array([r[c] for r in boxes], float) for c in ("low", "high"))
+        asked = _asked(state, low, high, np.array([r["_cell"] for r in boxes], np.int64), k)
+        # One task holds the queries of one cell and the points of one other.
+        asked = materialise(asked.select("_x", "_to", (F.col("_cell") + 1).alias("_off")))
+        more = _searched(asked, celled, k).groupBy("_x").agg(F.flatten(F.collect_list("_found")).alias("_more"))
         joined = F.concat("_near", F.coalesce("_more", F.array().cast(_NEAR)))
-        state = state.join(more, "_x", "left").withColumn(
-            "_near", F.slice(F.array_sort(joined), 1, k)).drop("_more")
+        state = state.join(more, "_x", "left").withColumn("_near", F.slice(F.array_sort(joined), 1, k)).drop("_more")
     return state.select("_x", "_n", "_near")
 
 

@@ -52,7 +52,7 @@ def test_neighbours_do_not_depend_on_cells(spark, cell_rows):
     x = np.vstack([rng.normal(size=(150, 3)), np.repeat([[0.5, 0.5, 0.5]], 30, axis=0),
                    np.repeat([[2.0, 2.0, 2.0]], 3, axis=0)])
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]))
-    found = OS.neighbours(df, ["a", "b", "c"], 5, cell_rows, row_limit=60).collect()
+    found = OS.neighbours(df, ["a", "b", "c"], 5, cell_rows).collect()
     assert sum(r["_n"] for r in found) == len(x)
     for r in found:
         gaps = sorted(((x - np.array(r["_x"])) ** 2).sum(1))[1:6]
@@ -84,11 +84,34 @@ def test_oversample_balances_between_neighbours(matrix, cell_rows):
 def test_cells_stay_small_with_tied_values(spark):
     pdf = pd.DataFrame({"f": [1.0] * 700 + list(np.linspace(2, 3, 300)), "k": np.arange(1000) / 1e6})
     vectors = spark.createDataFrame(pdf).selectExpr("array(f, k) AS _x")
-    cells = OS.with_cells(vectors, ["f", "k"], 1000, 50, row_limit=60)
+    cells = OS.with_cells(vectors, ["f", "k"], 1000, 50)
     sizes = cells.groupBy("_cell").count().toPandas()["count"]
     assert sizes.max() <= 50 and sizes.sum() == 1000
 
 
+def test_boxes_rule_out_most_pairs(spark):
+    """The widest feature has two values: distance along it alone would rule nothing out."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 2, 2_000) * 20.0, rng.random((2_000, 2)) * 10])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    vectors = df.selectExpr("array(a, b, c) AS _x")
+    celled = OS.with_cells(vectors, list("abc"), 2_000, 20).toPandas()
+    cells = celled.groupby("_cell")["_x"].agg(list)
+    low, high = (np.array([f(np.vstack(v), axis=0) for v in cells]) for f in (np.min, np.max))
+    found = OS.neighbours(df, list("abc"), 5, 20).collect()
+    searched = set()
+    cell = {tuple(v): c for v, c in zip(celled["_x"], celled["_cell"])}
+    ids = np.array(cells.index)
+    for r in found:
+        q = np.array(r["_x"])
+        d = ((x - q) ** 2).sum(axis=1)
+        assert np.allclose([n["gap"] for n in r["_near"]], np.sort(d)[1:6])
+        own = np.sort(((np.vstack(cells[cell[tuple(r["_x"])]]) - q) ** 2).sum(axis=1))[1:6][-1]
+        gap = (np.maximum(np.maximum(low - q, q - high), 0) ** 2).sum(axis=1)
+        searched |= {(cell[tuple(r["_x"])], c) for c in ids[gap <= own]}
+    assert len(found) == 2_000 and len(searched) < 0.1 * len(ids) ** 2
+
+
 def test_splits_are_exact_and_stable(matrix):
     rest, taken = SP.stratified_split(matrix, share=0.3)
     n = OS.class_counts(matrix)
