@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -44,24 +45,30 @@ def run_many(
 ) -> tuple[DataFrame, dict[tuple[str, str], RunResult]]:
     """Run datasets mode by mode; one status row each. With ``resume`` finished runs are skipped.
 
-    Cached frames of a run are freed when it ends, unless ``keep`` asks for them.
+    Modes of a dataset share what it is loaded, cleaned and split to. Cached frames of a run are freed when it ends, those
+    that are shared after the last of its modes, unless ``keep`` asks for them.
     """
     runs = [(d, m) for m in modes for d in (datasets or list_datasets())]
     pending = K.pending_runs(spark, output, runs) if resume and output else runs
-    rows, results = [], {}
+    rows, results, prepared = [], {}, {}
+    left = Counter(name for name, _ in pending)
     for name, mode in runs:
         if (name, mode) not in pending:
             rows.append(_status(mode, name, None, 0.0, None))
             continue
         started = time.time()
         try:
+            left[name] -= 1
             result = run_pipeline(
-                spark, name, roots[name], output, use_smote=mode == "smote", **options)
+                spark, name, roots[name], output, use_smote=mode == "smote", prepared=prepared.get(name), **options)
             results[(name, mode)] = result
+            prepared[name] = result.prepared
             if output:
                 K.mark_done(spark, output, name, mode)
             if not keep:
-                result.release()
+                result.release(shared=left[name] > 0)
+                if not left[name]:
+                    prepared.pop(name).release()
             rows.append(_status(mode, name, result, result.seconds, None))
         except Exception as exc:
             log.warning("%s/%s failed: %s", name, mode, exc)

@@ -62,3 +62,16 @@ def test_full_sweep_runs_both_modes_once(spark, root, tmp_path):
 def test_ablation_only_needs_a_native_split(spark, root):
     with pytest.raises(RuntimeError, match="native-split"):
         sweep.ablation_only(spark, "olist", root)
+
+
+def test_modes_share_one_load(spark, root, monkeypatch):
+    from lapse.plans.sweep import MODES, run_many
+    from lapse.sources import adapters
+
+    calls, load = [], adapters.Labelled.load
+    monkeypatch.setattr(adapters.Labelled, "load", lambda self, *a: (calls.append(self.name), load(self, *a))[1])
+    status, results = run_many(
+        spark, {"telco": root}, None, ["telco"], MODES, settings=SHORT, steps=(), models=("logistic_regression",))
+    assert [r["status"] for r in status.collect()] == ["OK", "OK"] and calls == ["telco"]
+    a, b = (results[("telco", m)] for m in MODES)
+    assert a.data is b.data and a.metrics.count() == b.metrics.count()
