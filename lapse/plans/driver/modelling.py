@@ -307,6 +307,8 @@ def pipeline_metrics(spark, sf):
 
 @query("F1 L5 M7")
 def oversampled_pipeline_metrics(spark, sf):
-    """The same workflow on the user-disjoint route with oversampling; the ablation is the same in both modes and left out."""
+    """The same workflow on the user-disjoint route with oversampling: three of the five models, see the README for the time
+    of all; the ablation is the same in both modes and left out."""
     steps = tuple(s for s in OPTIONAL_STEPS if s != "ablation")
-    return run_pipeline(spark, DA.STAR_SHIPMENTS, sf, use_smote=True, steps=steps).metrics
+    models = ("logistic_regression", "random_forest", "svm")
+    return run_pipeline(spark, DA.STAR_SHIPMENTS, sf, use_smote=True, steps=steps, models=models).metrics
