@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
@@ -57,6 +58,12 @@ def from_micros(value: int) -> datetime:
     return _EPOCH + timedelta(microseconds=int(value))
 
 
+def nearest_micros(value: float) -> int:
+    """Whole microseconds; halves go away from zero, as in SQL (Python's ``round`` takes the even one)."""
+    whole = math.floor(abs(value) + 0.5)
+    return whole if value >= 0 else -whole
+
+
 def to_micros(value: datetime) -> int:
     """Inverse of :func:`from_micros`; naive input is taken as UTC."""
     if value.tzinfo is None:

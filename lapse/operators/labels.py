@@ -50,12 +50,12 @@ def _timeline(events: DataFrame, q: float) -> tuple[datetime, datetime]:
     if row["m"] is None:
         raise ValueError("no events with a time")
     middle = exact_quantiles(events, tm.micros(TIME), [q], total=row["n"])[0]
-    return tm.from_micros(row["m"]), tm.from_micros(round(middle))
+    return tm.from_micros(row["m"]), tm.from_micros(tm.nearest_micros(middle))
 
 
 def time_quantile(events: DataFrame, q: float) -> datetime:
     """Exact interpolated quantile of the event times, on microseconds."""
-    return tm.from_micros(round(exact_quantiles(events, tm.micros(TIME), [q])[0]))
+    return tm.from_micros(tm.nearest_micros(exact_quantiles(events, tm.micros(TIME), [q])[0]))
 
 
 def global_cutoffs(events: DataFrame, window_days: float = 180, q: float = 0.7) -> Cutoffs:
