@@ -13,6 +13,7 @@ from lapse.functions import scalars as S
 from lapse.functions import timing as tm
 from lapse.operators.order_stats import exact_quantiles
 from lapse.schema import CUSTOMER, REQUIRED_COLUMNS, TIME, require_columns
+from lapse.session import spread_shuffles
 
 LABEL = "lapsed"
 
@@ -49,6 +50,8 @@ def _timeline(events: DataFrame, q: float) -> tuple[datetime, datetime]:
     row = events.agg(F.max(tm.micros(TIME)).alias("m"), F.count(TIME).alias("n")).first()
     if row["m"] is None:
         raise ValueError("no events with a time")
+    # Everything after the cutoffs is grouped by customer, over as many rows.
+    spread_shuffles(events.sparkSession, row["n"])
     middle = exact_quantiles(events, tm.micros(TIME), [q], total=row["n"])[0]
     return tm.from_micros(row["m"]), tm.from_micros(tm.nearest_micros(middle))
 
