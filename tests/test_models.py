@@ -254,6 +254,15 @@ def test_the_best_of_all_starts_wins(spark):
         assert each[start] == pytest.approx(single) and inertia <= single + 1e-9
 
 
+def test_distances_by_products_are_those_by_differences():
+    rng = np.random.default_rng(5)
+    sample = rng.normal(size=(40, 6)) + 1e4  # long vectors near each other: a product alone loses their distance
+    x = np.vstack([sample[:5], sample[:5] + 1e-7, rng.normal(size=(10, 6)) - 1e4])
+    want = np.sqrt(((x[:, None] - sample[None]) ** 2).sum(axis=2))
+    assert np.allclose(SG._distances(x, sample), want, rtol=1e-8, atol=0)
+    assert (SG._distances(x, sample)[np.arange(5), np.arange(5)] == 0).all()
+
+
 def test_silhouette_equals_brute_force(spark):
     x, points = _clouds(spark, 120)
     rng = np.random.default_rng(4)
