@@ -318,23 +318,49 @@ def _first_pairs(prints: DataFrame, radius: int) -> DataFrame:
     return pairs.select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
 
 
+# Slots of 64 bits that tell which texts are surely not wanted, by their hash.
+SLOTS = 1 << 17
+
+
 def _sets(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the texts in pairs (a, b)."""
+    """(node, shingles) of the texts in pairs (a, b).
+
+    Texts stay where they are: a bitmap of fixed size rules most others out before their shingles are cut, and only sets are shuffled.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return written(texts.join(wanted, "node", "left_semi").mapInArrow(
-        lambda batches: _set_batches(batches, words), "node long, shingles array<long>")
-        .dropDuplicates(["node"]), "sets")
+    bit = F.pmod("node", F.lit(SLOTS * 64))
+    slots = wanted.select(F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, int(pmod(node, {SLOTS * 64}) & 63))").alias("bit")) \
+        .groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(SLOTS, np.int64)
+    filled[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % (SLOTS * 64)
+            some = batch.filter(pa.array((filled[at >> 6] >> (at & 63) & 1).astype(bool)))
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in octets(some.column(1))]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return written(texts.mapInArrow(run, "node long, shingles array<long>").join(wanted, "node", "left_semi")
+                   .dropDuplicates(["node"]), "sets")
 
 
 # Counters of shingles by their hash; they only order shingles, so that the rare come first.
 COUNTERS = 1 << 18
-# Rows of a shingle's list that meet in a task at a time, and the ratio of the sizes of sets in neighbouring bands.
-LIST_ROWS, BAND = 4096, 1.1
+# Rows of a shingle's list that meet in a task at a time, pairs of rows compared at a time, bits of a set's parities.
+LIST_ROWS, PAIRS, BITS = 4096, 1 << 18, 1024
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of ``BITS`` classes of hashes whether it has an odd number of them: sets whose parities differ in d classes differ in
+    at least d elements."""
+    odd = np.bincount(((hashes >> np.uint64(20)) % np.uint64(BITS)).view(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, n, tokens): size of a text's shingle set, and its rarest shingles, so many that two sets of the similarity
-    share one of them: all are in one order, so the first they share has at most n - ceil(similarity * n) before it."""
+    """(node, n, bits, tokens): size and parities of a text's shingle set, and its rarest shingles, so many that two sets of the
+    similarity share one of them: all are in one order, so the first they share has at most n - ceil(similarity * n) before it."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(COUNTERS, np.int64)
@@ -347,16 +373,18 @@ def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, tokens = [], []
+            sizes, bits, tokens = [], [], []
             for t in octets(batch.column(1)):
                 h = np.unique(shingle_hashes(t, words))
                 order = np.lexsort((h, counts[(h % np.uint64(COUNTERS)).view(np.int64)]))
                 sizes.append(len(h))
+                bits.append(parities(h))
                 tokens.append(h[order[:len(h) - _least(similarity, len(h)) + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "tokens"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
+                ["node", "n", "bits", "tokens"])
 
-    return texts.mapInArrow(run, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, n long, bits binary, tokens array<long>").dropDuplicates(["node"])
 
 
 def _least(share: float, n: int) -> int:
@@ -364,43 +392,105 @@ def _least(share: float, n: int) -> int:
 
 
 def _prefix_pairs(prefixes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of different groups that share a shingle of their prefixes, unless its places rule the similarity out.
+    """(a, b) of different groups that share a shingle of their prefixes, unless its places, their sizes or their parities rule
+    the similarity out.
 
     Sets with ``i`` and ``j`` shingles before the first they share have at most min(n - i, m - j) in common, and need
-    share * (n + m) with share = similarity / (1 + similarity). The smaller set of a pair meets that only early in its
-    prefix, so early places search all; and for a place there is a largest size of a smaller set that it can be similar
-    to: sets meet by bands of their size, up to that one. So a passage that many texts hold brings together only those
-    that hold little else. A shingle's largest group isn't compared with itself, and a long list is spread over tasks.
+    share * (n + m) with share = similarity / (1 + similarity); sets whose parities differ in d classes have at most (n + m - d) / 2 in
+    common. The rows of a shingle meet in tasks, so that what is ruled out is never a row of a join. A list of more than
+    ``LIST_ROWS`` is cut into cells: by bands of sizes, of which similar sets are in one or two that adjoin, and by parts of which
+    every two meet; its largest group meets the others only.
     """
     share = similarity / (1 + similarity)
-    rows = (prefixes.join(groups, "node", "left")
-            .select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("tokens").alias("place", "token")))
+    rows = prefixes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
     early = F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6
+    several = (rows.groupBy("token").agg(F.count("*").alias("rows"), F.max(early).alias("early"))
+               .where("rows > 1 and early").select("token"))
+    met = rows.drop("n").join(written(several, "tokens"), "token")
+    of = prefixes.select("node", "n").join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    met = written(met.join(of, "node"), "met")
     # Rows per group; the largest group is found by its count, and of equal counts by its number.
-    grouped = rows.groupBy("token", "root").agg(F.count("*").alias("rows"), F.max(early).alias("early"))
-    tokens = (grouped.groupBy("token").agg(
-        F.max(F.struct("rows", "root"))["root"].alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("roots"), F.max("early").alias("early"))
-        .where("roots > 1 and early").select("token", "main", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("parts")))
-    met = written(rows.join(written(tokens, "tokens"), "token"), "met")
-
-    def band(size: Column) -> Column:
-        return F.floor(F.log(size) / float(np.log(BAND))).cast("int")
-
-    of_main = F.col("root") == F.col("main")
-    x = met.where(early).select(
-        "token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), of_main.alias("of_main"),
-        band(F.col("n").cast("double")).alias("band"), "node", "n", "root", "place")
-    largest = F.least((F.col("n") - F.col("place") + 1e-6) / share - F.col("n"), F.col("n"))
-    smallest = F.ceil(similarity * F.col("n") - 1e-6).cast("double")
-    y = met.where(largest >= smallest).select(
-        "token", "parts", F.explode(F.when(of_main, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("of_main"),
-        F.sequence(band(smallest), band(largest)).alias("bands"), F.col("node").alias("other"), F.col("n").alias("m"),
-        F.col("root").alias("other_root"), F.col("place").alias("other_place"))
-    y = y.select("*", F.explode("bands").alias("band")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return (x.join(y.drop("parts", "bands"), ["token", "part", "of_main", "band"])
-            .where((F.col("root") != F.col("other_root")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("node") > F.col("other")))
-                   & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= share * (F.col("n") + F.col("m")) - 1e-6))
-            .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+    lists = (met.groupBy("token", "root").agg(F.count("*").alias("rows"))
+             .groupBy("token").agg(F.max(F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("roots"))
+             .where("roots > 1").select(
+                 "token", F.when(F.col("rows") > LIST_ROWS, F.struct(
+                     F.col("main.root").alias("root"), F.ceil(F.col("main.rows") / LIST_ROWS).cast("long").alias("mains"),
+                     F.ceil((F.col("rows") - F.col("main.rows")) / LIST_ROWS).cast("long").alias("others"))).alias("cut")))
+    met = met.join(written(lists, "lists"), "token")
+
+    def upto(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), n - 1)
+
+    def cell(band: Column, mixed: int, one: Column, two: Column) -> Column:
+        return F.shiftleft(F.shiftleft(band * 2 + mixed, 20) + one, 20) + two
+
+    def cells(band: Column) -> Column:
+        mains, others = F.col("cut.mains"), F.col("cut.others")
+        part = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("cut.root"), mains).otherwise(others))
+        return F.when(F.col("root") == F.col("cut.root"), F.transform(upto(others), lambda o: cell(band, 1, part, o))).otherwise(F.concat(
+            F.transform(upto(others), lambda o: cell(band, 0, F.least(part, o), F.greatest(part, o))),
+            F.transform(upto(mains), lambda m: cell(band, 1, m, part))))
+
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / similarity))).cast("long")
+    met = met.select("token", "node", "n", "root", "place", F.explode(F.when(
+        F.col("cut").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.concat(cells(band), cells(band + 1)))).alias("cell"))
+    return (met.join(prefixes.select("node", "bits"), "node")
+            .select("token", "cell", "n", "node", "root", "place", "bits")
+            .repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "node")
+            .mapInArrow(lambda batches: _meetings(batches, similarity), "a long, b long").distinct())
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows with one (token, cell), which come in order of token, cell and n."""
+    held: list[np.ndarray] = [np.empty(0, np.int64)] * 6 + [np.empty((0, BITS // 64), np.uint64)]
+    waiting: list[list[np.ndarray]] = []
+    count = 0
+
+    def met(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, waiting, count
+        held = [np.concatenate(x) for x in zip(held, *waiting)]
+        waiting, count = [], 0
+        # The last cell may go on in the next batch.
+        done = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1])) if len(held[0]) else []
+        cut = len(held[0]) if last else done[-1] + 1 if len(done) else 0
+        found = list(_cell_pairs([h[:cut] for h in held], similarity))
+        held = [h[cut:] for h in held]
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        waiting.append([batch.column(i).to_numpy().astype(np.int64) for i in range(6)] + [words])
+        count += len(words)
+        if count >= 2 * LIST_ROWS:
+            yield from met(False)
+    yield from met(True)
+
+
+def _cell_pairs(rows: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    token, cell, n, node, root, place, bits = rows
+    if not len(n):
+        return
+    share = similarity / (1 + similarity)
+    new = np.concatenate(([False], (np.diff(token) != 0) | (np.diff(cell) != 0)))
+    # A row meets those after it in its cell whose sets aren't too large; of a similar pair the smaller set has the shingle early.
+    base = np.cumsum(new) * (n.max() + 1)
+    most = np.minimum(np.floor(n / similarity + 1e-6).astype(np.int64), n.max())
+    count = np.searchsorted(base + n, base + most, "right") - np.arange(len(n)) - 1
+    count[n - place < 2 * share * n - 1e-6] = 0
+    total = np.cumsum(count)
+    for low in range(0, int(total[-1]), PAIRS):
+        pair = np.arange(low, min(low + PAIRS, int(total[-1])))
+        a = np.searchsorted(total, pair, "right")
+        b = a + 1 + pair - (total[a] - count[a])
+        both = n[a] + n[b]
+        near = (root[a] != root[b]) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= share * both - 1e-6)
+        a, b, both = a[near], b[near], both[near]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        near = (both - apart) / 2 >= share * both - 1e-6
+        x, y = node[a[near]], node[b[near]]
+        yield np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -412,10 +502,3 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                         (F.size("x") + F.size("y") - common).alias("all"))
     # Texts without words have empty sets, and are alike.
     return alike.where((F.col("n") >= F.col("all") * F.lit(similarity)) | (F.col("all") == 0)).select("u", "v")
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in octets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])

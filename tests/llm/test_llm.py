@@ -578,3 +578,39 @@ def test_similar_groups_without_a_shared_bucket(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate([a, b, *strangers, " ", "\n"])], "doc_id long, text string")
     number = {r.node: r.doc_id for r in frame.select("doc_id", F.xxhash64("text").alias("node")).collect()}
     assert sorted(sorted((number[r.node], number[r.root])) for r in simhash.similar_groups(frame).collect()) == [[0, 1], [42, 43]]
+
+
+def test_prefix_pairs_of_a_family(spark, monkeypatch):
+    """Many texts that are nearly similar enough: few pairs come to the check on whole sets, none that is similar is missing."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(80):
+        words = list(base)
+        for at in rng.choice(150, rng.choice((1, 2, 2, 2, 3)), replace=False):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("node"), "text")
+    sets = {r.node: set(simhash.shingle_hashes(r.text.encode(), 5).tolist()) for r in frame.collect()}
+    nodes = sorted(sets)
+    alike = {(b, a) for i, a in enumerate(nodes) for b in nodes[i + 1:] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    prefixes = simhash._prefixes(frame, 5, 0.8)
+    prefixes = spark.createDataFrame(prefixes.collect(), prefixes.schema)
+    none = spark.createDataFrame([], "node long, root long")
+    for rows in (simhash.LIST_ROWS, 5):  # whole lists, and lists cut into cells
+        monkeypatch.setattr(simhash, "LIST_ROWS", rows)
+        pairs = {(r.a, r.b) for r in simhash._prefix_pairs(prefixes, none, 0.8).collect()}
+        assert alike <= pairs and len(alike) > 100 and len(pairs) < len(alike) + 0.3 * (80 * 79 / 2 - len(alike)), (len(alike), len(pairs))
+    main = spark.createDataFrame([(n, nodes[0]) for n in nodes[:40]], "node long, root long")
+    pairs = {(r.a, r.b) for r in simhash._prefix_pairs(prefixes, main, 0.8).collect()}
+    assert {(a, b) for a, b in alike if not {a, b} <= set(nodes[:40])} <= pairs and not any({a, b} <= set(nodes[:40]) for a, b in pairs)
+
+
+def test_sets_of_wanted_texts_only(spark):
+    """Sets of exactly the texts in pairs, also of those that share a place of the bitmap with a wanted one."""
+    step = simhash.SLOTS * 64
+    texts = spark.createDataFrame([(5, "a b"), (5 + step, "c d"), (-3, "e f"), (-3 + step, "g h"), (9, "i j"), (9, "i j")], "node long, text string")
+    pairs = spark.createDataFrame([(5, -3), (9, 5)], "a long, b long")
+    got = {r.node: r.shingles for r in simhash._sets(texts, pairs, 5).collect()}
+    assert set(got) == {5, -3, 9} and all(len(x) == 1 for x in got.values())
+    assert simhash._sets(texts, pairs.limit(0), 5).count() == 0
