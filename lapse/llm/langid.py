@@ -1,9 +1,9 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, fitted by SGD in numpy.
 
 The fit runs in one task, over a bounded sample of labelled rows; the driver holds the model only. Rejection is calibrated
-on labelled rows that the fit hasn't seen: a text must be as sure of its language, and its subwords as usual in that
-language, as all but a stated share of those rows. The second catches languages that were not learned: the softmax has to
-choose among the learned ones and may be sure of a wrong one.
+on all labelled rows that the fit hasn't seen, scored in tasks and brought together as sums and ranks: a text must be as sure
+of its language, and its subwords as usual in that language, as all but a stated share of those rows. The second catches
+languages that were not learned: the softmax has to choose among the learned ones and may be sure of a wrong one.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import mix, octets
+from lapse.llm.common import dropped, mix, octets, written
+from lapse.operators import rank_search as R
 
 BUCKETS, DIMENSIONS = 1 << 15, 16
-# Labelled rows per language that the model is fitted on, and that its rejection is calibrated on, about; of all languages
-# together at most TOTAL_ROWS each. More languages than MAX_LANGUAGES are an error.
-SAMPLE_ROWS, HELD_ROWS, TOTAL_ROWS, MAX_LANGUAGES = 600, 2000, 20_000, 256
+# Labelled rows per language that the model is fitted on, about; of all languages together at most TOTAL_ROWS. More
+# languages than MAX_LANGUAGES are an error.
+SAMPLE_ROWS, TOTAL_ROWS, MAX_LANGUAGES = 600, 20_000, 256
+# Temperatures that calibration chooses from.
+TEMPERATURES = np.geomspace(0.02, 20, 73)
 # Share of the rows seen by calibration alone that either bar may reject.
 ALPHA = 0.0005
 # Bytes of texts that are scored at a time; a longer text is scored by itself.
@@ -136,16 +139,15 @@ def language_counts(labelled: DataFrame, languages: int = MAX_LANGUAGES) -> dict
     return {r["lang"]: r["n"] for r in rows}
 
 
-def samples(labelled: DataFrame, counts: dict[str, int], rows: int, held: int) -> tuple[DataFrame, DataFrame]:
-    """About ``rows`` rows (text, lang) of each language to fit on, at most six in ten, and ``held`` others to calibrate on;
-    chosen by the id's hash. Rows (id, text, lang) come in."""
+def samples(labelled: DataFrame, counts: dict[str, int], rows: int) -> tuple[DataFrame, DataFrame]:
+    """About ``rows`` rows (text, lang) of each language to fit on, at most six in ten, and all others to calibrate on; chosen
+    by the id's hash. Rows (id, text, lang) come in."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(4), F.col("id")), 12).cast("double") / float(1 << 52)
-    rows, held = (min(x, TOTAL_ROWS // max(1, len(counts))) for x in (rows, held))
-    bars = {lang: (min(rows / n, 0.6), min(rows / n, 0.6) + held / n) for lang, n in counts.items()}
-    bar = F.create_map(*[F.lit(x) for lang, b in bars.items() for x in (lang, F.array(*map(F.lit, b)))]) if bars else F.lit(None).cast("map<string,array<double>>")
-    placed = labelled.select("text", "lang", u.alias("u"), F.element_at(bar, F.col("lang")).alias("bar"))
-    return (placed.where(F.col("u") < F.col("bar")[0]).select("text", "lang"),
-            placed.where((F.col("u") >= F.col("bar")[0]) & (F.col("u") < F.col("bar")[1])).select("text", "lang"))
+    rows = min(rows, TOTAL_ROWS // max(1, len(counts)))
+    bars = {lang: min(rows / n, 0.6) for lang, n in counts.items()}
+    bar = F.create_map(*[F.lit(x) for pair in bars.items() for x in pair]) if bars else F.lit(None).cast("map<string,double>")
+    placed = labelled.select("text", "lang", (u < F.element_at(bar, F.col("lang"))).alias("fit"))
+    return placed.where("fit").select("text", "lang"), placed.where("not fit").select("text", "lang")
 
 
 def pieces_of(text: bytes, pieces: int) -> list[bytes]:
@@ -246,66 +248,110 @@ def fitted(examples: DataFrame) -> LanguageModel | None:
     return next((LanguageModel(**m) for m in (pickle.loads(r["model"]) for r in rows) if m), None)
 
 
+def held_scores(model: LanguageModel, held: DataFrame, pieces: int = 3) -> DataFrame:
+    """One row per text and piece of ``held`` (text, lang) in a language of the model: whether it is whole, the language found,
+    its mean log share, its subwords, and the scores of whole ones; and one row per task with ``losses``: rows, then the sum
+    of their log losses at each temperature."""
+    kinds = [pa.bool_(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64())]
+    names = ["whole", "best", "usual", "n", "scores", "losses"]
+    place = {name: i for i, name in enumerate(model.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        losses = np.zeros(1 + len(TEMPERATURES))
+        for batch in batches:
+            label, parts, whole = [], [], []
+            for text, name in zip(octets(batch.column(0)), batch.column(1).to_pylist()):
+                some = [p for p in pieces_of(text, pieces) if _letters(p)] if name in place else []
+                label += [place[name]] * len(some) if some else []
+                whole += [i == 0 for i in range(len(some))]
+                parts += some
+            if not parts:
+                continue
+            scores, usual, n = model.scores(parts)
+            raw = scores.astype(np.float32).astype(float)
+            each = np.arange(len(label))
+            losses += [len(label), *(-np.log(softmax(raw / t)[each, label] + 1e-12).sum() for t in TEMPERATURES)]
+            shown = [row if w else None for row, w in zip(raw.astype(np.float32), whole)]
+            columns = [whole, raw.argmax(axis=1), usual, np.maximum(1, n), shown, [None] * len(label)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip([None] * 5 + [losses.tolist()], kinds)], names)
+
+    return held.mapInArrow(run, "whole boolean, best int, usual double, n long, scores array<float>, losses array<double>")
+
+
 def calibrated(model: LanguageModel, held: DataFrame, alpha: float = ALPHA, pieces: int = 3) -> LanguageModel:
     """The model with its temperature and bars, from rows (text, lang) it wasn't fitted on; as it is if there are none.
 
     The temperature is the one with the least log loss. The score bar is the ``alpha`` quantile over whole texts. The mean
     log share of a language's rows has a centre, a variance between texts and one that falls with the subwords, by least
-    squares over whole texts and pieces; the other bar is the ``alpha`` quantile of the standardised values of all.
+    squares over whole texts and pieces; the other bar is the ``alpha`` quantile of the standardised values of all. Rows stay
+    in tasks: sums per language and ranks come to the driver.
     """
+    table = written(held_scores(model, held, pieces), "calibration")
+    try:
+        sums = table.where("losses is not null").select(F.posexplode("losses").alias("i", "loss"))
+        losses = np.array([r["loss"] for r in sums.groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("i").collect()])
+        if not losses.any():
+            return model
+        rows = table.where("losses is null").drop("losses")
+        temperature = float(TEMPERATURES[losses[1:].argmin()])
+        k = len(model.languages)
+        about = rows.agg(F.avg("usual"), F.var_pop("usual")).first()
+        centre, spread, noise = np.full(k, about[0]), np.full(k, about[1] + 1e-9), np.zeros(k)
+        sizes = {r["best"]: r["rows"] for r in rows.groupBy("best").agg(F.count("*").alias("rows")).collect()}
+        several = sorted(i for i, size in sizes.items() if size > 1)
+        middle = R.quantiles_of(rows.select(F.col("best").alias("series"), F.col("usual").alias("v")), [0.5], sizes)
+        for i in several:
+            centre[i] = middle[i][0]
+        own = rows.where(F.col("best").isin(several)).select(
+            "best", ((F.col("usual") - _of_language(centre)) ** 2).alias("square"), (1 / F.col("n")).alias("part"))
+        caps = np.zeros(k)
+        for r in own.groupBy("best").agg(F.avg("square").alias("mean")).collect():
+            caps[r["best"]] = 9 * r["mean"]
+        square, part = F.least("square", _of_language(caps)), F.col("part")
+        for r in own.groupBy("best").agg(
+                F.count("*").cast("double").alias("rows"), F.sum(part).alias("x"), F.sum(part * part).alias("xx"),
+                F.sum(square).alias("y"), F.sum(part * square).alias("xy")).collect():
+            line = np.linalg.lstsq([[r["rows"], r["x"]], [r["x"], r["xx"]]], [r["y"], r["xy"]], rcond=None)[0]
+            spread[r["best"]], noise[r["best"]] = np.maximum(line, [1e-4, 0])
+        out = replace(model, temperature=temperature, centre=centre, spread=spread, noise=noise)
+        found = R.find_ranks(_sure_and_far(out, rows), lambda counts: {s: [int(alpha * n)] for s, n in counts.items()})
+        bars = [next(iter(found[s].values())) if s in found else -np.inf for s in range(2)]
+        return replace(out, least_score=bars[0], least_usual=bars[1])
+    finally:
+        dropped(table)
+
+
+def _of_language(values: np.ndarray) -> Column:
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("best") + 1)
+
+
+def _sure_and_far(model: LanguageModel, rows: DataFrame) -> DataFrame:
+    """(series, v): 0 and the probability of a whole text's language, 1 and how usual a text's or piece's subwords are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, parts, whole = [], [], []
-            for text, name in zip(octets(batch.column(0)), batch.column(1).to_pylist()):
-                some = [p for p in pieces_of(text, pieces) if _letters(p)]
-                lang += [name] * len(some)
-                whole += [i == 0 for i in range(len(some))]
-                parts += some
-            if parts:
-                scores, usual, n = model.scores(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang), pa.array(whole), pa.array(list(scores.astype(np.float32)), pa.list_(pa.float32())), pa.array(usual), pa.array(n, pa.int64())],
-                    ["lang", "whole", "scores", "usual", "n"])
-
-    rows = held.mapInArrow(run, "lang string, whole boolean, scores array<float>, usual double, n long").toArrow()
-    known = [i for i, x in enumerate(rows.column("lang").to_pylist()) if x in model.languages]
-    if not known:
-        return model
-    rows = rows.take(known)
-    label = np.array([model.languages.index(x) for x in rows.column("lang").to_pylist()])
-    whole = np.array(rows.column("whole").to_pylist(), bool)
-    usual, n = rows.column("usual").to_numpy(), np.maximum(1, rows.column("n").to_numpy())
-    raw = np.array(rows.column("scores").to_pylist(), float)
-    best = raw.argmax(axis=1)
-    temperature = float(min(np.geomspace(0.02, 20, 73), key=lambda t: -np.log(softmax(raw / t)[np.arange(len(label)), label] + 1e-12).mean()))
-    k = len(model.languages)
-    centre, spread, noise = np.full(k, usual.mean()), np.full(k, usual.var() + 1e-9), np.zeros(k)
-    for i in range(k):
-        own = usual[best == i]
-        if len(own) > 1:
-            centre[i] = np.median(own)
-            square = np.minimum((own - centre[i]) ** 2, 9 * ((own - centre[i]) ** 2).mean())
-            line = np.column_stack((np.ones(len(own)), 1 / n[best == i]))
-            spread[i], noise[i] = np.maximum(np.linalg.lstsq(line, square, rcond=None)[0], [1e-4, 0])
-    out = replace(model, temperature=temperature, centre=centre, spread=spread, noise=noise)
-    sure = softmax(raw / temperature).max(axis=1)[whole]
-    far = out.unusual(best, usual, n)
-    return replace(out, least_score=_quantile(sure, alpha), least_usual=_quantile(far, alpha))
-
-
-def _quantile(values: np.ndarray, alpha: float) -> float:
-    return float(np.sort(values)[int(alpha * len(values))]) if len(values) else -np.inf
+            best, usual, n = (batch.column(i).to_numpy() for i in range(3))
+            scores = batch.column(3).drop_null()
+            far = model.unusual(best, usual, n)
+            sure = np.zeros(0)
+            if len(scores):
+                raw = scores.flatten().to_numpy().astype(float).reshape(len(scores), -1)
+                sure = softmax(raw / model.temperature).max(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(2), [len(sure), len(far)]).astype(np.int32)), pa.array(np.concatenate((sure, far)))], ["series", "v"])
+
+    return rows.select("best", "usual", "n", "scores").mapInArrow(run, "series int, v double")
 
 
 def train(
     docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    rows: int = SAMPLE_ROWS, held: int = HELD_ROWS,
+    rows: int = SAMPLE_ROWS,
 ) -> LanguageModel | None:
     """Model of the labelled rows for which ``learn_from`` holds; None if there are none."""
     labelled = docs.where(F.coalesce(learn_from, F.lit(False))).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    fit_on, check_on = samples(labelled, language_counts(labelled), rows, held)
+    fit_on, check_on = samples(labelled, language_counts(labelled), rows)
     model = fitted(example_features(fit_on))
     return calibrated(model, check_on) if model else None
 
